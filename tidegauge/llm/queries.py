@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegauge.llm.common import table
 
@@ -19,5 +20,12 @@ def op2_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {"op2_piece_round_trip": op2_piece_round_trip}
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import simhash
+
+    found = simhash.groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_piece_round_trip, op5_simhash_groups)}
 ORACLES: dict[str, str] = {}
