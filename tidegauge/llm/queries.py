@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import table
+from tidegauge.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +27,22 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_piece_round_trip, op5_simhash_groups)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, lambda c: ~held_out(c))
+    return language_id.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
+    scored = toxicity.predict(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op5_simhash_groups, op7_language_id)}
 ORACLES: dict[str, str] = {}
