@@ -20,6 +20,29 @@ def op2_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import decontamination
+
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Bytes of text in a shard.
+SHARD_BYTES, FINE_SHARD_BYTES = 16 << 20, 64 << 10
+
+
+def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import sharding
+
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def extendible_shards_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with small shards, so that small tables need a deep directory too."""
+    from tidegauge.llm import sharding
+
+    return sharding.shards(table(spark, sf_dir, "documents"), FINE_SHARD_BYTES)
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm import simhash
 
@@ -52,12 +75,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op5_simhash_groups, op6_line_dedup, op7_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op3_decontamination, op4_extendible_shards, op5_simhash_groups, op6_line_dedup, op7_language_id, extendible_shards_fine)}
 #: The white space of the contracts, for DuckDB: \\x20 and \\x09 to \\x0D.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SHARDS = """
+        WITH r AS (
+            SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes,
+                   ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 2) << 30)
+                   | (('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT >> 2) AS h
+            FROM documents
+        ), sizes AS (
+            SELECT d AS depth, h >> (60 - d) AS bucket, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs
+            FROM r, range(0, 61) t(d) GROUP BY ALL
+        ), leaf AS (
+            SELECT r.doc_id, r.n_bytes, r.h, min(s.depth) AS depth
+            FROM r JOIN sizes s ON s.bucket = r.h >> (60 - s.depth) AND (s.shard_bytes <= {limit} OR s.depth = 60) GROUP BY ALL
+        )
+        SELECT l.doc_id, l.n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(l.h >> (60 - l.depth)), l.depth::INT, '0') END AS shard,
+               l.depth::INT AS depth, s.shard_bytes, s.shard_docs, s.shard_bytes > {limit} AS oversize
+        FROM leaf l JOIN sizes s ON s.depth = l.depth AND s.bucket = l.h >> (60 - l.depth)
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_extendible_shards": _SHARDS.format(limit=SHARD_BYTES),
+    "extendible_shards_fine": _SHARDS.format(limit=FINE_SHARD_BYTES),
     "op6_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
