@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Callable[[Column], Colu
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, most_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, most_rows / max(1, sizes.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20))
-    sample = rows.join(chosen, "id")
+    sample = rows.join(F.broadcast(chosen), "id")  # at most about twice most_rows ids, however large the tables
 
     def read(batches):
         for b in batches:
@@ -123,9 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Callable[[Column], Colu
     odds = F.ln((F.col("one") + 0.1) / (n1 + 0.2)) - F.ln((F.col("zero") + 0.1) / (n0 + 0.2))
     weight = F.abs(odds) * F.sqrt((F.col("one") / n1 + F.col("zero") / n0))
     strong = counted.where(f"one >= {LEAST_TEXTS} or zero >= {LEAST_TEXTS}").select("cue", odds.alias("odds"), weight.alias("weight"))
-    features = [r.cue for r in strong.orderBy(F.desc("weight"), "cue").limit(FEATURES).collect()]
-    voters = [r.cue for r in strong.where("abs(odds) > 1").orderBy(F.desc("weight"), "cue").limit(VOTERS).collect()]
-    order = list(dict.fromkeys(voters + features))
+    found = strong.orderBy(F.desc("weight"), "cue").limit(FEATURES).collect()
+    voters = [r.cue for r in found if abs(r.odds) > 1][:VOTERS]
+    order = list(dict.fromkeys(voters + [r.cue for r in found]))
     place = {c: i for i, c in enumerate(order)}
     named = F.array(*[F.lit(c) for c in order])
     rows_ = told.select("y", F.array_intersect("cues", named).alias("cues")).collect()
@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Callable[[Column], Colu
     for i, r in enumerate(rows_):
         x[i, [place[c] for c in r.cues]] = 1
     if voters:
-        for_one = [place[r.cue] for r in strong.where("odds > 1").where(F.col("cue").isin(voters)).select("cue").collect()]
+        odds_of = {r.cue: r.odds for r in found}
+        for_one = [place[c] for c in voters if odds_of[c] > 1]
         silent = (x[:, for_one].sum(1) == 0).astype(float)  # one more voter: none of those for label 1 is there
         q, vote, _ = weights_of(np.c_[x[:, : len(voters)], silent], y)
     else:
