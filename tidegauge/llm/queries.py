@@ -75,7 +75,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op3_decontamination, op4_extendible_shards, op5_simhash_groups, op6_line_dedup, op7_language_id, extendible_shards_fine)}
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import hnsw
+
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns' own calls and results, and beside them each user's turn as a call of an `answer` tool with the
+    assistant's turn after it as the result."""
+    from tidegauge.llm import chat
+
+    turns = table(spark, sf_dir, "conversations")
+    messages, calls, results = chat.extract(turns)
+    call_id = lambda turn: F.substring(F.md5(F.concat_ws(":", "conv_id", turn).cast("binary")), 1, 12)
+    asked = turns.where("role = 'user'").select("conv_id", "turn", call_id(F.col("turn")).alias("call_id"), F.lit("answer").alias("name"), F.to_json(F.struct("turn", F.col("text").alias("question"))).alias("arguments"), F.array().cast("array<string>").alias("depends_on"))
+    given = turns.where("role = 'assistant'").select("conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return chat.link(messages, calls.unionByName(asked), results.unionByName(given), {"answer": {"question": "string", "turn": "integer"}})
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op3_decontamination, op4_extendible_shards, op5_simhash_groups, op6_line_dedup, op7_language_id, op8_nearest_neighbours, op10_tool_call_links, extendible_shards_fine)}
 #: The white space of the contracts, for DuckDB: \\x20 and \\x09 to \\x0D.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,6 +120,25 @@ _SHARDS = """
 ORACLES: dict[str, str] = {
     "op4_extendible_shards": _SHARDS.format(limit=SHARD_BYTES),
     "extendible_shards_fine": _SHARDS.format(limit=FINE_SHARD_BYTES),
+    "op10_tool_call_links": """
+        WITH calls AS (
+            SELECT conv_id, turn, substr(md5(conv_id || ':' || turn), 1, 12) AS call_id,
+                   '{"arguments":{"question":' || to_json(text) || ',"turn":' || turn || '},"id":"' || substr(md5(conv_id || ':' || turn), 1, 12) || '","kind":"tool_call","name":"answer"}' AS json
+            FROM conversations WHERE role = 'user'
+        ), results AS (
+            SELECT conv_id, turn, substr(md5(conv_id || ':' || (turn - 1)), 1, 12) AS call_id, text FROM conversations WHERE role = 'assistant'
+        ), first AS (
+            SELECT conv_id, call_id, min(turn) AS turn FROM calls GROUP BY ALL
+        )
+        SELECT conv_id, turn AS at, 0 AS step, 0 AS level, NULL AS event_id, 'ok' AS status,
+               '{"content":' || to_json(text) || ',"kind":"message","role":' || to_json(role) || '}' AS json FROM conversations
+        UNION ALL
+        SELECT c.conv_id, c.turn, 1, 0, c.call_id, CASE WHEN EXISTS (SELECT 1 FROM results r WHERE r.conv_id = c.conv_id AND r.call_id = c.call_id) THEN 'ok' ELSE 'unanswered' END, json FROM calls c
+        UNION ALL
+        SELECT r.conv_id, greatest(r.turn, f.turn), 2, 0, r.call_id, CASE WHEN f.call_id IS NULL THEN 'orphan' ELSE 'ok' END,
+               '{"content":' || to_json(r.text) || ',"kind":"tool_result","tool_call_id":"' || r.call_id || '"}'
+        FROM results r LEFT JOIN first f ON f.conv_id = r.conv_id AND f.call_id = r.call_id
+    """,
     "op6_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
