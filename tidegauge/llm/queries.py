@@ -81,6 +81,12 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import suffix_dedup
+
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"))
+
+
 def op10_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns' own calls and results, and beside them each user's turn as a call of an `answer` tool with the
     assistant's turn after it as the result."""
@@ -94,7 +100,7 @@ def op10_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(messages, calls.unionByName(asked), results.unionByName(given), {"answer": {"question": "string", "turn": "integer"}})
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op3_decontamination, op4_extendible_shards, op5_simhash_groups, op6_line_dedup, op7_language_id, op8_nearest_neighbours, op10_tool_call_links, extendible_shards_fine)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op3_decontamination, op4_extendible_shards, op5_simhash_groups, op6_line_dedup, op7_language_id, op8_nearest_neighbours, op9_suffix_dedup, op10_tool_call_links, extendible_shards_fine)}
 #: The white space of the contracts, for DuckDB: \\x20 and \\x09 to \\x0D.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
