@@ -87,12 +87,12 @@ def e10_consonance_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win.consonance_dynamics(ticks(spark, sf_dir), ["user_id"], "ts", "value").select("user_id", "event_id", *r6("velocity", "acceleration"))
 
 
-@query(f"""WITH {_TICKS}, {_DYN}, en AS (SELECT *, avg(value * value) OVER (PARTITION BY user_id ORDER BY ts ROWS 9 PRECEDING) + 0.618::DOUBLE * velocity * velocity - 0.1::DOUBLE * abs(velocity) AS energy FROM dyn),
+@query(f"""WITH {_TICKS.replace('event_type, value,', 'event_type, value / 497 AS value,')}, {_DYN}, en AS (SELECT *, avg(value * value) OVER (PARTITION BY user_id ORDER BY ts ROWS 9 PRECEDING) + 0.618::DOUBLE * velocity * velocity - 0.1::DOUBLE * abs(velocity) AS energy FROM dyn),
     p AS (SELECT *, lag(energy, 9) OVER (PARTITION BY user_id ORDER BY ts) AS e0, var_pop(value) OVER (PARTITION BY user_id ORDER BY ts ROWS 19 PRECEDING) AS v FROM en)
     SELECT user_id, event_id, round(energy, 6) AS energy, round(-acceleration + CASE WHEN velocity <= 0 THEN 10 ELSE 0 END + CASE WHEN v > 0.01::DOUBLE THEN v * 100 ELSE 0 END
         + CASE WHEN i > 10 AND abs(energy - e0) / greatest(abs(e0), 1e-9::DOUBLE) > 0.05::DOUBLE THEN abs(energy - e0) * 10 ELSE 0 END, 6) AS meta_loss FROM p""")
 def e11_meta_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return win.meta_loss(ticks(spark, sf_dir), ["user_id"], "ts", "value").select("user_id", "event_id", *r6("energy", "meta_loss"))
+    return win.meta_loss(ticks(spark, sf_dir).withColumn("value", F.col("value") / 497), ["user_id"], "ts", "value").select("user_id", "event_id", *r6("energy", "meta_loss"))
 
 
 @query(f"WITH {_TICKS}, {_DYN} SELECT user_id, round(arg_max(acceleration, ts), 6) AS acceleration FROM dyn GROUP BY user_id HAVING arg_max(acceleration, ts) > 0")
