@@ -18,11 +18,11 @@ def assemble_features(long: DataFrame, key: list[str], name: str, value: str, na
 
 def gram(df: DataFrame, key: list[str], vector: str) -> DataFrame:
     """(key, n, sums, products): counts, sums and row-major sums of products of vectors, folded within partitions first."""
-    dims = df.select(*key, F.posexplode(vector).alias("i", "x"), F.col(vector).alias("_v"))
-    sums = dims.groupBy(*key, "i").agg(F.count("*").alias("n"), F.sum("x").alias("s"), *[F.lit(0).alias("_")])
-    pairs = dims.select(*key, "i", "x", F.posexplode("_v").alias("j", "y")).groupBy(*key, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-    row = sums.groupBy(*key).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda a: a["s"]).alias("sums"))
-    products = pairs.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "j", "p"))), lambda a: a["p"]).alias("products"))
+    dims = df.select(*key, F.posexplode(vector).alias("_i", "_x"), F.col(vector).alias("_v"))
+    sums = dims.groupBy(*key, "_i").agg(F.count("*").alias("_n"), F.sum("_x").alias("_s"))
+    pairs = dims.select(*key, "_i", "_x", F.posexplode("_v").alias("_j", "_y")).groupBy(*key, "_i", "_j").agg(F.sum(F.col("_x") * F.col("_y")).alias("_p"))
+    row = sums.groupBy(*key).agg(F.max("_n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda a: a["_s"]).alias("sums"))
+    products = pairs.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_j", "_p"))), lambda a: a["_p"]).alias("products"))
     return row.join(products, key)
 
 
