@@ -227,7 +227,8 @@ def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     """The rows of `docs` that each group keeps: the one with its smallest id. Of repeated rows with that id, one
     stays. Rows without an id stay."""
     kept = written(groups(docs, shingle, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # a merge join at every size: the ids kept grow with the input, and are not to be broadcast while they happen to be few
+    out = docs.join(kept.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     again = kept.where("n > 1").select("doc_id")
     if not again.isEmpty():
         out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
