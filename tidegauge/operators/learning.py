@@ -73,7 +73,7 @@ def observer_state(df: DataFrame, entity: str, order: str, vector: str, most: in
     """An EDMD of each entity's last vectors, with its trust min(1, gap / gamma); entities with too few or untrusted ones
     are left out."""
     last = df.withColumn("_r", F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(order)))).withColumn("_n", F.count("*").over(Window.partitionBy(entity))).where((F.col("_r") <= most) & (F.col("_n") >= least))
-    fit = st.edmd_fit(last, entity, order, vector, degree=1).withColumn("trust", F.least(F.lit(1.0), F.col("gap") / gamma))
+    fit = st.edmd_fit(last, entity, order, vector, degree=0).withColumn("trust", F.least(F.lit(1.0), F.col("gap") / gamma))
     return fit.where(F.col("trust") >= least_trust)
 
 

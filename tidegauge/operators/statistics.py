@@ -53,10 +53,14 @@ def spectral_summary(profile: DataFrame, source: str, k: int) -> DataFrame:
     return profile.select(source, "cov").mapInPandas(solve, f"{source} {kind}, eigenvalues array<double>, concentration double, effective_rank double")
 
 
-def fit_linear(df: DataFrame, key: list[str], x: str, y: str, ridge: float = 1e-3) -> DataFrame:
+def _weighted(z: Column, weight: str | None) -> Column:
+    return z if weight is None else F.transform(z, lambda a: a * F.sqrt(F.col(weight)))
+
+
+def fit_linear(df: DataFrame, key: list[str], x: str, y: str, ridge: float = 1e-3, weight: str | None = None) -> DataFrame:
     """(key, n, weights row-major (outputs by inputs + bias), r2): ridge regression of vectors y on vectors x, solved on
-    aggregated sums of one small matrix a key."""
-    both = df.withColumn("_z", F.concat(F.array(F.lit(1.0)), F.col(x).cast("array<double>"), F.col(y).cast("array<double>")))
+    aggregated sums of one small matrix a key; rows may have weights."""
+    both = df.withColumn("_z", _weighted(F.concat(F.array(F.lit(1.0)), F.col(x).cast("array<double>"), F.col(y).cast("array<double>")), weight))
     sizes = both.groupBy(*key).agg(F.max(F.size(x)).alias("dx"))
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
 
@@ -70,7 +74,7 @@ def fit_linear(df: DataFrame, key: list[str], x: str, y: str, ridge: float = 1e-
                 hold = ridge * np.eye(p)
                 hold[0, 0] = 0
                 w = np.linalg.lstsq(xx + hold, xy, rcond=None)[0]
-                total = yy - g[0, p:] ** 2 / max(r["n"], 1)
+                total = yy - g[0, p:] ** 2 / max(g[0, 0], 1e-12)
                 error = yy - 2 * (w * xy).sum(0) + np.einsum("ij,ik,kj->j", w, xx, w)
                 r2 = float(1 - error.sum() / total.sum()) if total.sum() > 1e-12 else 0.0
                 out.append((*[r[k] for k in key], int(r["n"]), w.T.ravel().tolist(), r2))
@@ -80,16 +84,17 @@ def fit_linear(df: DataFrame, key: list[str], x: str, y: str, ridge: float = 1e-
 
 
 def edmd_pairs(df: DataFrame, series: str, order: str, vector: str, degree: int = 2) -> DataFrame:
-    """Adds `psi` and `psi_next`: polynomial bases (1, x, products of two) of a row and the one after it."""
-    basis = lambda v: F.concat(F.array(F.lit(1.0)), v, *([F.flatten(F.transform(v, lambda a, i: F.transform(F.slice(v, i + 1, F.size(v)), lambda b: a * b)))] if degree > 1 else []))
+    """Adds `psi` and `psi_next`: polynomial bases (1, x, products of two) of a row and the one after it; x itself for
+    degree 0."""
+    basis = lambda v: v if degree == 0 else F.concat(F.array(F.lit(1.0)), v, *([F.flatten(F.transform(v, lambda a, i: F.transform(F.slice(v, i + 1, F.size(v)), lambda b: a * b)))] if degree > 1 else []))
     rows = df.withColumn("psi", basis(F.col(vector).cast("array<double>")))
     return rows.withColumn("psi_next", F.lead("psi").over(Window.partitionBy(series).orderBy(order))).where("psi_next is not null")
 
 
-def edmd_fit(df: DataFrame, series: str, order: str, vector: str, degree: int = 2) -> DataFrame:
+def edmd_fit(df: DataFrame, series: str, order: str, vector: str, degree: int = 2, weight: str | None = None) -> DataFrame:
     """(series, m, operator, re, im, gap, error, condition): K with psi_k K ~ psi_k+1 from the pairs' products; sums are
-    aggregated, and one small problem a series is solved."""
-    pairs = edmd_pairs(df, series, order, vector, degree).withColumn("_z", F.concat("psi", "psi_next"))
+    aggregated, and one small problem a series is solved; a pair may have its first row's weight."""
+    pairs = edmd_pairs(df, series, order, vector, degree).withColumn("_z", _weighted(F.concat("psi", "psi_next"), weight))
     kind = df.schema[series].dataType.simpleString()
 
     def solve(frames):
@@ -98,7 +103,8 @@ def edmd_fit(df: DataFrame, series: str, order: str, vector: str, degree: int =
             for _, r in pdf.iterrows():
                 d = len(r["sums"])
                 k, m = d // 2, r["n"]
-                full = np.asarray(r["products"]).reshape(d, d) / m
+                full = np.asarray(r["products"]).reshape(d, d)
+                full = full / max(full[0, 0], 1e-12)  # the constant's square: the number of pairs, or their weight
                 g, a, b = full[:k, :k], full[:k, k:], full[k:, k:]
                 op = np.linalg.pinv(g, rcond=1e-10) @ a
                 e = np.linalg.eigvals(op)
@@ -129,6 +135,47 @@ def windowed_edmd(df: DataFrame, series: str, order: str, vector: str, width: in
     return fit.select(F.split("_k", ":")[0].alias(series), F.split("_k", ":")[1].cast("long").alias("window"), "m", "re", "im", "gap", "error", "condition")
 
 
+def fit_calendar_lift(pairs: DataFrame, channels: DataFrame, key: str, x: str, y: str, kappa: float = 2.0, least_weight: float = 0.01, least_rows: int = 5) -> DataFrame:
+    """A weighted fit of y on x for each calendar channel: a pair counts by the channel's amplitude and nearness to its
+    event (von Mises in the phase). channels: (key, channel, theta, amplitude)."""
+    from tidegauge.functions.spectral import von_mises
+
+    rows = pairs.join(channels, key).withColumn("_w", von_mises(F.col("amplitude"), F.col("theta"), kappa)).where(F.col("_w") > least_weight)
+    return fit_linear(rows, ["channel"], x, y, weight="_w").where(F.col("n") >= least_rows)
+
+
+def bootstrap_spectrum(df: DataFrame, series: str, order: str, vector: str, width: int = 60, stride: int = 5, draws: int = 20, seed: int = 0) -> DataFrame:
+    """(series, window, lead, low, high, frequency, stability, variance): each window's leading eigenvalue with its 5 to 95 %
+    range over replicates, in which every pair has a hash-drawn exponential weight; stability is the share of
+    replicates in which it stays within the unit circle."""
+    rows = windowed(df, series, order, width, stride).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    u = hash_uniform(F.col(series), F.col(order), F.col("_r"), F.lit(seed))
+    rows = rows.withColumn("_w", F.when(F.col("_r") == 0, 1.0).otherwise(-F.ln(F.greatest(u, F.lit(1e-9)))))
+    rows = rows.withColumn("_k", F.concat_ws("|", F.col(series).cast("string"), F.col("window").cast("string"), F.col("_r").cast("string")))
+    fit = edmd_fit(rows.drop(series), "_k", order, vector, degree=0, weight="_w")
+    part = lambda i: F.split("_k", r"\|")[i]
+    lead = fit.select(part(0).alias(series), part(1).cast("long").alias("window"), part(2).cast("int").alias("_r"), F.hypot(F.col("re")[0], F.col("im")[0]).alias("_m"), F.abs(F.atan2(F.col("im")[0], F.col("re")[0])).alias("_f"))
+    real, drawn = F.col("_r") == 0, F.when(F.col("_r") > 0, F.col("_m"))
+    return lead.groupBy(series, "window").agg(
+        F.max(F.when(real, F.col("_m"))).alias("lead"), F.percentile(drawn, F.lit(0.05)).alias("low"), F.percentile(drawn, F.lit(0.95)).alias("high"), F.max(F.when(real, F.col("_f"))).alias("frequency"),
+        F.avg(F.when(F.col("_r") > 0, (F.col("_m") <= 1.0 + 1e-9).cast("double"))).alias("stability"), F.coalesce(F.var_pop(drawn), F.lit(0.0)).alias("variance"),
+    )
+
+
+def reharmonize(df: DataFrame, series: str, order: str, vector: str, scales: tuple[int, int, int] = (20, 40, 60), sigma: float = 0.1) -> DataFrame:
+    """(series, ab, ac, bc, coherence): how well the leading frequencies of three window widths lock, pair by pair, over
+    each series' windows; what a regime tracker takes as its vectors."""
+    from tidegauge.operators.joins import coherence
+
+    modes = [bootstrap_spectrum(df, series, order, vector, width=w, stride=max(1, w // 4)).select(F.col(series), F.col("window").alias("idx"), "frequency", "stability", "variance") for w in scales]
+    out = None
+    for name, a, b in (("ab", 0, 1), ("ac", 0, 2), ("bc", 1, 2)):
+        lock = coherence(modes[a], modes[b], series, sigma).select(series, F.col("coherence").alias(name))
+        out = lock if out is None else out.join(lock, series, "full")
+    known = F.array_compact(F.array("ab", "ac", "bc"))
+    return out.withColumn("coherence", F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(known), F.lit(1)))
+
+
 def trial_stats(df: DataFrame, by: list[str], value: str, success: Column, exact: bool = True) -> DataFrame:
     p = (lambda q: F.percentile(F.when(success, F.col(value)), F.lit(q))) if exact else (lambda q: F.percentile_approx(F.when(success, F.col(value)), q, 10_000))
     v = F.when(success, F.col(value))
