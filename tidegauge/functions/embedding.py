@@ -50,8 +50,8 @@ def hash_embed(text: Column, dim: int = 200, most_bytes: int = 4096) -> Column:
 
 def article_vector(embedded: Column, validity: Column, bias: Column, decay: Column) -> Column:
     """An embedding times max(0.1, 0.5 + validity), less its source's bias, times its decay."""
-    scale = F.greatest(F.lit(0.1), 0.5 + validity)
-    return F.zip_with(embedded, bias, lambda x, b: (x * scale - F.coalesce(b, F.lit(0.0))) * decay)
+    parts = F.struct(F.greatest(F.lit(0.1), 0.5 + validity).alias("scale"), decay.alias("decay"))
+    return market.let(parts, lambda p: F.zip_with(embedded, bias, lambda x, b: (x * p["scale"] - F.coalesce(b, F.lit(0.0))) * p["decay"]))
 
 
 def intent_vector(embedded: Column, profile: Column) -> Column:

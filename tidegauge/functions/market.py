@@ -33,8 +33,7 @@ def mean_of(a: Column) -> Column:
 
 def linearity_score(features: Column) -> Column:
     """Population variance over the largest absolute value, at most 1."""
-    m = mean_of(features)
-    squares = mean_of(F.transform(features, lambda x: x * x))
+    m, squares = mean_of(features), mean_of(F.transform(features, lambda x: x * x))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), squares - m * m) / (F.array_max(F.transform(features, lambda x: F.abs(x))) + 1e-10))
 
 
@@ -50,6 +49,11 @@ def weighted_energy(b: Column, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(b, F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once for a row even where `use` has it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
@@ -78,14 +82,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def gram_schmidt_step(v: Column, unit: Column) -> Column:
     """What is left of v outside the direction of a unit vector."""
-    d = dot(v, unit)
-    return F.zip_with(v, unit, lambda x, u: x - d * u)
+    return let(dot(v, unit), lambda d: F.zip_with(v, unit, lambda x, u: x - d * u))
 
 
 def translate(v: Column, a: Column, b: Column) -> Column:
@@ -97,8 +99,8 @@ def argmax_label(scores: Column, labels: list[str]) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def window_vector(features: Column, n_features: int, dim: int) -> Column:

@@ -7,6 +7,8 @@ from math import gcd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegauge.functions.market import let
+
 
 def rationals(largest: int) -> list[tuple[int, int]]:
     return [(p, q) for p in range(1, largest + 1) for q in range(1, largest + 1) if gcd(p, q) == 1]
@@ -66,9 +68,11 @@ def invariants(spec: Column, k: int) -> dict[str, Column]:
 
 def spectral_entropy(amplitudes: Column, k: int) -> Column:
     """Entropy of the amplitudes as shares, over that of k equal ones."""
-    total = F.aggregate(amplitudes, F.lit(0.0), lambda s, x: s + x)
-    terms = F.transform(amplitudes, lambda a: F.when(a > 0, -(a / total) * F.ln(a / total)).otherwise(0.0))
-    return F.when(total > 0, F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.ln(F.lit(float(k)))).otherwise(0.0)
+    def of(total: Column) -> Column:
+        terms = F.transform(amplitudes, lambda a: F.when(a > 0, -(a / total) * F.ln(a / total)).otherwise(0.0))
+        return F.when(total > 0, F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.ln(F.lit(float(k)))).otherwise(0.0)
+
+    return let(F.aggregate(amplitudes, F.lit(0.0), lambda s, x: s + x), of)
 
 
 def resonance(a: Column, b: Column, k: int = 5) -> Column:

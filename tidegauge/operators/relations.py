@@ -87,3 +87,44 @@ def order_by_difficulty(dirs: DataFrame, name: str, depth: str) -> DataFrame:
 
     kept = dirs.where(F.lower(name).rlike("challenge|exercise|problem") & (F.col(depth) <= 3))
     return kept.withColumn("difficulty", difficulty(F.col(name))).orderBy("difficulty", name)
+
+
+def hotspots(modules: DataFrame, k: int) -> DataFrame:
+    """The k most complex modules."""
+    return modules.orderBy(F.desc("complexity"), "module").limit(k)
+
+
+def rank_for_gap(repos: DataFrame, gaps: DataFrame, k: int) -> DataFrame:
+    """(gap, repo, relevance, rank): the k repositories whose words share most with each gap's. repos: (repo, words);
+    gaps: (gap, words)."""
+    r = repos.select("repo", F.explode(F.array_distinct("words")).alias("w"))
+    g = gaps.select("gap", F.explode(F.array_distinct("words")).alias("w"), F.size(F.array_distinct("words")).alias("_n"))
+    score = g.join(r, "w").groupBy("gap", "repo").agg((F.count("*") / F.max("_n")).alias("relevance"))
+    return top_k(score, "relevance", k, ["gap"], ["repo"])
+
+
+def mask_gaps(masks: DataFrame, dim: int, least: float) -> DataFrame:
+    """Domains (domain, dim) whose share of active places is under `least`."""
+    return masks.groupBy("domain").agg((F.countDistinct("dim") / dim).alias("density")).where(F.col("density") < least)
+
+
+def repo_page(df: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, summary, steps): the first long paragraph, and the headings as steps, or the usual ones without any."""
+    from tidegauge.functions.text import headings, summary
+
+    steps = F.transform(headings(F.col(html)), lambda h: h["text"])
+    usual = F.array(*[F.lit(s) for s in ("install", "configure", "run")])
+    return df.select(key, summary(F.col(html)).alias("summary"), F.when(F.size(steps) > 0, steps).otherwise(usual).alias("steps"))
+
+
+def compare_domains(profiles: DataFrame, domain: str, profile: str, n: int, least: float = 0.7) -> DataFrame:
+    """(a, b, similarity, universal) of domains' resampled profiles; universal if every pair is over `least`."""
+    from tidegauge.operators.regimes import compare_profiles, profile_signature
+
+    p = profiles.select(F.col(domain).alias("d"), profile_signature(F.col(profile), n).alias("s"))
+    pairs = p.alias("x").join(p.alias("y"), F.col("x.d") < F.col("y.d")).select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), compare_profiles(F.col("x.s"), F.col("y.s")).alias("similarity"))
+    return pairs.withColumn("universal", F.min("similarity").over(Window.partitionBy(F.lit(1))) > least)
+
+
+def bench_summary(df: DataFrame, error: str, ratio: str) -> DataFrame:
+    return df.agg(F.avg(F.abs(error)).alias("mean_error"), F.max(F.abs(error)).alias("max_error"), F.avg(ratio).alias("mean_ratio"))

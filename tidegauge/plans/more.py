@@ -117,3 +117,58 @@ def f10_project_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h53_window_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = market.window_vector(F.slice("v", 1, 10), 10, 20)
     return vectors(spark, sf_dir).select("vec_id", w.alias("w")).select("vec_id", F.round(F.col("w")[0], 6).alias("first"), F.round(F.col("w")[19], 6).alias("last"))
+
+
+@query("SELECT round(avg(abs(l_discount - 0.05::DOUBLE)), 6) AS mean_error, round(max(abs(l_discount - 0.05::DOUBLE)), 6) AS max_error, round(avg(l_tax / (l_discount + 1)), 6) AS mean_ratio FROM lineitem")
+def d22_bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_discount") - 0.05).alias("e"), (F.col("l_tax") / (F.col("l_discount") + 1)).alias("r"))
+    return relations.bench_summary(li, "e", "r").select(*[F.round(c, 6).alias(c) for c in ("mean_error", "max_error", "mean_ratio")])
+
+
+@query("SELECT p_partkey AS module, p_size AS complexity FROM part ORDER BY p_size DESC, p_partkey LIMIT 20")
+def f06_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.hotspots(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("module"), F.col("p_size").alias("complexity")), 20)
+
+
+@query()
+def e18_compare_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments' monthly order values as profiles, compared pair by pair."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    m = o.groupBy("c_mktsegment", F.trunc("o_orderdate", "month").alias("m")).agg(F.sum("o_totalprice").alias("x"))
+    p = m.groupBy("c_mktsegment").agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "x"))), lambda a: a["x"]).alias("profile"))
+    return relations.compare_domains(p, "c_mktsegment", "profile", 24)
+
+
+@query()
+def h60_repo_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.repo_page(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def h52_article_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed article vectors, scaled by validity; no bias is known for the sources here."""
+    from tidegauge.functions import embedding
+
+    d = {k: c for k, c in tx.densities(F.col("text")).items()}
+    docs = table(spark, sf_dir, "documents").select("doc_id", embedding.hash_embed(F.col("text"), 64, 1024).alias("e"), (d["technical"] + d["citation"] - d["hype"]).alias("validity"))
+    return docs.select("doc_id", embedding.article_vector(F.col("e"), F.col("validity"), F.array_repeat(F.lit(0.0), 64), F.lit(1.0)).alias("v"))
+
+
+@query()
+def j05_regime_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persistent regimes of each user's values and their steps."""
+    from pyspark.sql import Window
+
+    from tidegauge.streaming.states import regime_events
+
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("x"))
+    step = F.coalesce(F.col("x") - F.lag("x").over(Window.partitionBy("user_id").orderBy("ts")), F.lit(0.0))
+    return regime_events(e.withColumn("v", F.array("x", step)), "user_id", "ts", "v").select("user_id", "ts", "regime", "event")
+
+
+@query()
+def j08_bootstrap_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.operators.statistics import bootstrap_spectrum
+
+    x = table(spark, sf_dir, "events").select("user_id", "ts", F.array(F.col("value") / 500, (F.col("event_id") % 7) / 7.0).alias("x"))
+    return bootstrap_spectrum(x, "user_id", "ts", "x", width=60, stride=20, draws=10)
