@@ -199,6 +199,23 @@ def test_repeated_strings_equal_brute_force(spark, hot, monkeypatch):
     assert suffix_dedup.remove(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_strings_repeated_within_one_text_equal_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    rows = [(1, "a" * 150), (2, "b" * 253), (3, "c" * 101), (4, "d" * 100), (5, word(80) + "=-" * 60 + word(90)), (6, "e" * 150), (7, "e" * 150)]
+    for k, p in enumerate((1, 2, 7, 31, 50, 75, 76, 77, 100)):
+        line = word(p)
+        rows += [(10 + 4 * k + j, (line * 200)[: 100 + p + more]) for j, more in enumerate((-1, 0, 1, 60))] if k % 2 else [(10 + 4 * k, word(30) + (line * 200)[: 100 + p])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(frame(spark, rows)).collect()}
+    want = _removed(rows)
+    assert got == want and want[1][1] == 149 and want[2][1] == 252 and want[3][1] == 100 and want[4][1] == 0
+    for i, t in rows:  # each alone
+        if i in (1, 2, 3, 5):
+            assert [r.n_removed for r in suffix_dedup.remove(frame(spark, [(i, t)])).collect()] == [_removed([(i, t)])[i][1]]
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(7)
     item = "".join(rng.choice("abcdefghij klm") for _ in range(120)).strip()

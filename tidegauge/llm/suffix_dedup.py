@@ -8,7 +8,8 @@ their bucket, and neighbouring suffixes mostly do too, so that a bucket gets the
 1. Texts are read in blocks. Runs that are equal within a block are combined there: all but the first are repeats. Only
    the first one's 128-bit digest goes to its bucket, so that a bucket gets each common run once from a block.
 2. In its bucket, a run equal to an earlier one is a repeat as a whole. Buckets with several different runs ask for the
-   bytes of each, as these may share strings only partly; others are done.
+   bytes of each, as these may share strings only partly, and a run that repeats a string within itself asks for its
+   own, even if it is alone; others are done.
 3. Those buckets' suffixes are sorted one bucket at a time: by their first and last PERIOD bytes, and what ties there
    by the ranks of the next difference-cover positions, which were sorted before; two positions always have a cover
    position at the same distance less than PERIOD. Memory holds a block of buckets and the ranks of 6 in 31 positions.
@@ -67,18 +68,42 @@ def _digest(h: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
     return _mix(_mix(h[64][at], h[32][at + 64]), h[4][at + 96])
 
 
+def _inner(h: dict[int, np.ndarray], seeds: np.ndarray, lows: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether two of a run's strings are equal. Equal strings of a run hold its least seed at two places of it, so only
+    runs with it at two places have all their strings compared. lows: the least seed hash from every position on."""
+    top, span = np.pad(lows, MOST_STARTS - 1), 1
+    while span * 2 <= MOST_STARTS:
+        top, span = np.maximum(top[:-span], top[span:]), span * 2
+    top = np.maximum(top[: len(seeds)], top[MOST_STARTS - span : MOST_STARTS - span + len(seeds)])
+    least = np.flatnonzero(seeds == top)  # where the seed is the least one of some string
+
+    def members(first, n):
+        return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+
+    first, end = np.searchsorted(least, at), np.searchsorted(least, at + count + MOST_STARTS - 1)
+    run, k = members(first, end - first)
+    twice = np.flatnonzero(np.bincount(run[seeds[least[k]] == lows[at[run]]], minlength=len(at)) > 1)
+    run, k = members(at[twice], count[twice])
+    digest = _digest(h, k)
+    order = np.lexsort((digest, run))
+    same = (run[order][1:] == run[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+    out = np.zeros(len(at), bool)
+    out[twice[run[order][1:][same]]] = True
+    return out
+
+
 def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, start, starts, bucket, digest) of the runs of all texts."""
+    """(text number, start, starts, bucket, digest, whether it repeats a string within itself) of the runs of all texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
     begin = np.cumsum(sizes) - sizes
     h = _hashes(data)
     low = _mix(h[16][: len(data) - SEED + 1], h[8][16 : 16 + len(data) - SEED + 1])
     low ^= low >> np.uint64(29)
     low *= _M2
-    n, span = len(data) - LENGTH + 1, 1
+    n, span, seeds = len(data) - LENGTH + 1, 1, low
     while span * 2 <= MOST_STARTS:
         low_next = np.minimum(low[:-span], low[span:])
         low, span = low_next, span * 2
@@ -97,7 +122,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     last = np.minimum(ends, (begin + sizes)[owner[at]] - LENGTH + 1) - 1
     count = last - at + 1
     digest = _mix(_mix(_digest(h, at), _digest(h, last)), count.astype(np.uint64))
-    return owner[at], at - begin[owner[at]], count, low[at], digest
+    return owner[at], at - begin[owner[at]], count, low[at], digest, _inner(h, seeds, low, at, count)
 
 
 def combined(ids: np.ndarray, start: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +225,8 @@ def _whole_keys(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-MARK, RUN = 0, 1
+#: INNER is a run that repeats a string within itself.
+MARK, RUN, INNER = 0, 1, 2
 _FOUND = "key long, digest long, doc_id long, start long, starts long, kind long"
 
 
@@ -208,12 +234,12 @@ def _utf8(texts: list[str]) -> list[bytes]:
     return [t.encode("utf-8", "replace") for t in texts]
 
 
-def _told(ids, start, starts, key, digest):
+def _told(ids, start, starts, key, digest, inner):
     """Combined rows of one block: repeats as marks, the first of each key as a run."""
     order, again = combined(ids, start, digest, key)
     cols = [c[order] for c in (key, digest, ids, start, starts)]
     cols[0] = np.where(again, _mix(cols[2].view(np.uint64), cols[3].view(np.uint64)).view(np.int64), cols[0])
-    return _batch([*cols, np.where(again, MARK, RUN)], "key digest doc_id start starts kind")
+    return _batch([*cols, np.where(again, MARK, np.where(inner[order], INNER, RUN))], "key digest doc_id start starts kind")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -224,22 +250,21 @@ def find(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for first, texts in texts_in_pieces(b, "text", READ_CHARS):
-                owner, start, starts, bucket, digest = runs(_utf8(texts))
-                yield _told(ids[first + owner], start, starts, bucket.view(np.int64), digest.view(np.int64))
+                owner, start, starts, bucket, digest, inner = runs(_utf8(texts))
+                yield _told(ids[first + owner], start, starts, bucket.view(np.int64), digest.view(np.int64), inner)
 
     def meet(batches):
         for t in _whole_keys(batches):
             key, digest, ids, start, starts, kind = (c.to_numpy() for c in t.columns)
             mark = kind == MARK
             yield _batch([ids[mark], start[mark], starts[mark], key[mark], np.full(mark.sum(), MARK)], "doc_id start starts key kind")
-            key, digest, ids, start, starts = (c[~mark] for c in (key, digest, ids, start, starts))
+            key, digest, ids, start, starts, inner = (c[~mark] for c in (key, digest, ids, start, starts, kind == INNER))
             order, again = combined(ids, start, digest, key)
-            key, digest, ids, start, starts = (c[order] for c in (key, digest, ids, start, starts))
+            key, digest, ids, start, starts, inner = (c[order] for c in (key, digest, ids, start, starts, inner))
             yield _batch([ids[again], start[again], starts[again], key[again], np.full(again.sum(), MARK)], "doc_id start starts key kind")
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-            key, ids, start, starts = (c[new] for c in (key, ids, start, starts))
-            several = np.zeros(len(key), bool)
+            key, ids, start, starts, several = (c[new] for c in (key, ids, start, starts, inner))
             several[1:] |= key[1:] == key[:-1]
             several[:-1] |= key[1:] == key[:-1]
             yield _batch([ids[several], start[several], starts[several], key[several], np.full(several.sum(), RUN)], "doc_id start starts key kind")
@@ -272,7 +297,7 @@ def find(docs: DataFrame) -> DataFrame:
             none = pa.nulls(0, pa.binary())
             if single[0]:
                 key, ids, start = (np.array(c, np.int64) for c in single)
-                told = _told(ids, start, np.ones(len(key), np.int64), key, key)
+                told = _told(ids, start, np.ones(len(key), np.int64), key, key, np.zeros(len(key), bool))
                 yield pa.RecordBatch.from_arrays([told.column(0), told.column(2), told.column(3), told.column(5), pa.array([b""] * len(told), pa.binary())], ["key", "doc_id", "start", "kind", "bytes"])
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([RUN] * len(strings), pa.int64()), pa.array(strings, pa.binary()) if strings else none], ["key", "doc_id", "start", "kind", "bytes"])
 
