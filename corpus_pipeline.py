@@ -20,8 +20,8 @@ from tidegauge.llm.common import checkpoint_dir, held_out, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies are texts whose five-word shingles are similar by 0.8 or more. Fingerprints of three-word shingles differ
-#: in at most this many bits for nearly all of them; those of five-word shingles would need a far larger radius.
-NEAR_SHINGLE, NEAR_RADIUS = 3, 7
+#: in at most this many bits for most of them; a prefix filter finds the others, and all are verified.
+NEAR_SHINGLE, NEAR_RADIUS, SIMILAR_SHINGLE = 3, 7, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies."""
-    return simhash.keep_one(docs.select(*COLUMNS), NEAR_SHINGLE, NEAR_RADIUS)
+    return simhash.keep_one_similar(docs.select(*COLUMNS), SIMILAR_SHINGLE, NEAR_SHINGLE, NEAR_RADIUS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

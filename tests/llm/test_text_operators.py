@@ -157,6 +157,37 @@ def test_near_copies_equal_brute_force(spark, radius):
     assert simhash.groups(frame(spark, []), 3, radius).count() == 0
 
 
+@pytest.mark.parametrize("radius", [0, 7])
+def test_similar_groups_equal_brute_force(spark, radius):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [*ODD, (None, "same text here"), (9, "w1 w2 w3 w4 W5"), (10, "w1  w2 w3 w4 w5")]
+    for f in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((40, 120, 300)))]
+        for k in range(8):
+            words = list(base)
+            for _ in range(rng.randint(0, len(base) // 25)):
+                words[rng.randrange(len(base))] = f"new{rng.randrange(99)}"
+            rows.append((100 + 10 * f + k, " ".join(words)))
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()) for i, w in ((i, (t or "").lower().split()) for i, t in rows if i is not None)]
+    similar = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    name = {i: i for i, _ in sets}
+    edges = [(i, j) for i, x in sets for j, y in sets if similar(x, y)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in edges:
+            if name[j] < name[i]:
+                name[i], changed = name[j], True
+    got = simhash.similar_groups(frame(spark, rows), radius=radius).collect()
+    assert {r.doc_id: r.component_id for r in got} == name and len(got) == len(sets)
+    docs = frame(spark, rows).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(name.values()))
+    assert simhash.similar_groups(frame(spark, []), radius=radius).count() == 0
+
+
 def test_thresholds_cover_the_radius():
     rng = np.random.default_rng(4)
     sample = rng.integers(0, 2**64, 300, np.uint64)

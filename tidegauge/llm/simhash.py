@@ -9,6 +9,10 @@ part's values up to half a threshold away, so linked fingerprints meet under som
 Null or empty texts have fingerprint zero and link as others do. Fewer words than a shingle: the whole sequence is
 one shingle. Rows repeat and tie freely: a group's id is its smallest id. A null id never names a group that has
 others. An empty table has no groups. Columns of the input beside id and text are not read.
+
+`similar_groups` links texts by the Jaccard similarity of their shingle sets instead. Linked fingerprints are its first
+candidates; those which fingerprints miss come from a prefix filter, which misses none: in any order of all shingles, two
+similar sets share one of their first few. Every candidate is verified on the sets, and only verified ones form groups.
 """
 
 from __future__ import annotations
@@ -19,16 +23,22 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_batches, written
+from tidegauge.llm.common import map_batches, texts_in_pieces, written
 from tidegauge.llm.components import components
 
 BITS = 64
 #: Most fingerprints looked at to choose parts and thresholds; links never depend on the choice.
 SAMPLE = 4_000
 SEED = 42
+#: Texts are similar if their sets share at least this part of their union (numerator, denominator).
+SIMILAR = (4, 5)
+#: Sets looked at, in expectation, to find common shingles, which go last in the order of shingles; links never depend
+#: on them.
+COMMON_SAMPLE, MOST_COMMON = 4_000, 200_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -223,10 +233,138 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "do
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; none for a text without words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < shingle:
+        words, shingle = [b" ".join(words)], 1
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    runs = zip(*(itertools.islice(words, k, None) for k in range(shingle)), strict=False)
+    return np.unique(np.fromiter((digest(join(r), SEED) for r in runs), np.uint64))
+
+
+def _nodes(docs: DataFrame, shingle: int, fp_shingle: int) -> DataFrame:
+    """(doc_id, fp, node, n): node is a hash of the shingle set, n its size."""
+
+    def run(batches):
+        for b in batches:
+            texts = [t.as_py() for t in b.column(1)]
+            fp = np.array([fingerprint(t, fp_shingle) for t in texts], np.uint64).view(np.int64)
+            known = [(xxhash.xxh3_64_intdigest(x.tobytes()), len(x)) for x in (shingle_set(t, shingle) for t in texts)]
+            node = np.array([x[0] for x in known], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(node), pa.array([x[1] for x in known], pa.int64())], ["doc_id", "fp", "node", "n"])
+
+    return map_batches(docs, run, "doc_id long, fp long, node long, n long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar; their texts are joined by id, compressed."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", F.col("first_doc").alias("doc_id")), "node")
+    p, q = SIMILAR
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            texts = [(t.as_py() or "").encode("utf-8", "replace") for t in b.column(1)]
+            # of repeated ids, each row is told by its own set
+            node = np.array([xxhash.xxh3_64_intdigest(shingle_set(t.decode(), shingle).tobytes()) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([press(t) for t in texts], pa.binary())], ["node", "packed"])
+
+    def compare(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        last, x = None, None
+        for b in batches:
+            keep = []
+            for k, (one, left, right) in enumerate(zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True)):
+                if one != last:
+                    last, x = one, shingle_set(unpack(left.as_py()).decode(), shingle)
+                y = shingle_set(unpack(right.as_py()).decode(), shingle)
+                if len(np.intersect1d(x, y, assume_unique=True)) * (p + q) >= (len(x) + len(y)) * p and len(x):
+                    keep.append(k)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
+
+    held = map_batches(docs.hint("merge").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), pack, "node long, packed binary")
+    held = written(held.dropDuplicates(["node"]), "packed")
+    both = pairs.hint("merge").join(held.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b").hint("merge").join(held.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a")
+    return map_batches(both.select("a", "b", "left", "right"), compare, "a long, b long")
+
+
+def _prefixes(docs: DataFrame, total: int, shingle: int) -> DataFrame:
+    """(doc_id, shingle, node, n, at): the first shingles of each set, at least one of which two similar sets have in
+    common; common shingles go last in the order, so that few sets meet under them."""
+
+    def spread(batches):
+        for b in batches:
+            for t in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).view(np.int64))], ["s"])
+
+    some = map_batches(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // COMMON_SAMPLE))) == 0), spread, "s long")
+    found = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toArrow()
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(found.column("s").to_numpy().astype(np.int64)))
+    p, q = SIMILAR
+
+    def run(batches):
+        last = common.value
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held = shingle_set(t.as_py(), shingle)
+                n, node, x = len(held), xxhash.xxh3_64_intdigest(held.tobytes()), held.view(np.int64)
+                if not n:
+                    continue
+                k = n - -(-n * p // q) + 1
+                late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x if len(last) else np.zeros(n, bool)
+                first = x[np.lexsort((x, late))[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i)), pa.array(first), pa.array(np.full(k, node, np.uint64).view(np.int64)), pa.array(np.full(k, n)), pa.array(np.arange(k))], ["doc_id", "shingle", "node", "n", "at"])
+
+    return map_batches(docs, run, "doc_id long, shingle long, node long, n long, at long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, fp_shingle: int = 3, radius: int = 7) -> DataFrame:
+    """(doc_id, component_id) of every row (doc_id, text) with an id; component_id is the smallest id reachable over
+    texts similar by SIMILAR or more. Texts without words are copies of each other."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = written(_nodes(docs, shingle, fp_shingle), "shingle-sets")
+    sets = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("fp").alias("fp"), F.max("n").alias("n")), "distinct-sets")
+    by_fp = sets.groupBy("fp").agg(F.min("node").alias("top"))
+    near = links(by_fp.select("fp"), radius).join(by_fp.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b").select("x", "y")
+    near = near.union(sets.select("fp", "node").join(by_fp, "fp").where("node != top").select("top", "node"))
+    near = written(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "pairs")
+    sure = written(_verified(near, sets, docs, shingle), "similar")
+    # what fingerprints miss: only pairs that are not connected yet
+    first = components(sure)
+    named = sets.join(first, "node", "left").select("node", F.col("first_doc").alias("doc_id"), F.coalesce("component", "node").alias("component"))
+    placed = written(_prefixes(docs, sets.count(), shingle).hint("merge").join(named, ["doc_id", "node"]).drop("doc_id"), "prefixes")
+    mixed = placed.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("shingle")
+    placed = placed.join(mixed, "shingle", "left_semi")
+    p, q = SIMILAR
+    a, b = placed.alias("a"), placed.alias("b")
+    rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    fits = (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p) & (rest * (p + q) >= (F.col("a.n") + F.col("b.n")) * p)
+    pairs = a.hint("merge").join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & fits)
+    pairs = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+    more = written(_verified(pairs, sets, docs, shingle), "similar")
+    found = components(sure.union(more))
+    ids = sets.select("node", "first_doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ids.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    return rows.select("doc_id", "node").join(ids.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     """The rows of `docs` that each group keeps: the one with its smallest id. Of repeated rows with that id, one
     stays. Rows without an id stay."""
-    kept = written(groups(docs, shingle, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    return _kept(docs, groups(docs, shingle, radius))
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, fp_shingle: int = 3, radius: int = 7) -> DataFrame:
+    """The same for groups of texts that are similar."""
+    return _kept(docs, similar_groups(docs, shingle, fp_shingle, radius))
+
+
+def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     # a merge join at every size: the ids kept grow with the input, and are not to be broadcast while they happen to be few
     out = docs.join(kept.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     again = kept.where("n > 1").select("doc_id")
