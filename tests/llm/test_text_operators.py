@@ -281,3 +281,16 @@ def test_shards_fit(spark):
     assert len(got) == len(rows) and (got.groupby("shard").shard_bytes.first() == size).all() and (got.groupby("shard").shard_docs.first() == got.groupby("shard").size()).all()
     assert set(size[size > 2000].index) == set(got[got.oversize].shard) == set(got[got.n_bytes == 5000].shard)
     assert sharding.shards(frame(spark, []), 2000).count() == 0
+
+
+def test_written_shards_hold_every_row_in_its_shard(spark, tmp_path):
+    rows = [(i, "x" * random.Random(i).randint(0, 300)) for i in range(100)] + [(7, "y" * 100)] * 90 + [(7, "other"), (1000, "z" * 5000), (None, None), (None, "v"), (None, "w" * 150)] + [(None, "u" * 150)] * 40
+    docs = frame(spark, rows)
+    placed = sharding.shards(docs, 2000, with_hash=True)
+    sharding.write_shards(docs, placed, str(tmp_path / "out"))
+    back = spark.read.schema("doc_id long, text string, shard string").parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(rows, key=str)
+    size, want = {}, {r.shard: r.shard_bytes for r in placed.collect()}
+    for r in back:
+        size[r.shard[1:]] = size.get(r.shard[1:], 0) + len(r.text or "")
+    assert size == want and max(b for b in size.values() if b != 5000) <= 2000

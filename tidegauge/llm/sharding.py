@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import written
@@ -27,9 +27,10 @@ def _top30(c: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(c, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long").bitwiseAND(0xFFFFFFFF)
 
 
-def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, h) of every row."""
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, h) of every row, and the columns `keep`."""
     return docs.select(
+        *(keep or []),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
         F.shiftleft(F.shiftright(_top30(F.col(id_col).cast("string")), 2), 30).bitwiseOR(F.shiftright(_top30(F.col(text_col).cast("string")), 2)).alias("h"),
@@ -49,9 +50,10 @@ def _fit(cells: DataFrame, at: int, least: int, limit: int) -> DataFrame:
     return cells.join(fits, "cell", "left").select("cell", "b", "n", "f.depth", "f.shard_bytes", "f.shard_docs")
 
 
-def shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """(doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, oversize) of every row. shard is the bucket's hash prefix
-    as binary digits ('' for depth 0), with a number behind it where copies had to be counted apart."""
+    as binary digits ('' for depth 0), with a number behind it where copies had to be counted apart. The hash h, which
+    `write_shards` needs, is given if asked for."""
     rows = written(hashed(docs, id_col, text_col), "hashed")
     total = rows.agg(F.sum("n_bytes").alias("b")).first().b or 0
     at = min(BITS, max(STEP, math.ceil(math.log2(max(1, total) / limit_bytes)) + 6)) if total > limit_bytes else 1
@@ -72,7 +74,7 @@ def shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col:
     for p in placed[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     name = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"lpad(bin(shiftright(h, {BITS} - depth)), depth, '0')"))
-    return out.select("doc_id", "n_bytes", F.concat(name, F.coalesce(F.concat(F.lit("-"), "part"), F.lit(""))).alias("shard"), "depth", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit_bytes).alias("oversize"))
+    return out.select("doc_id", "n_bytes", F.concat(name, F.coalesce(F.concat(F.lit("-"), "part"), F.lit(""))).alias("shard"), "depth", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit_bytes).alias("oversize"), *(["h"] if with_hash else []))
 
 
 def _copies(rows: DataFrame, limit: int, block: int = 10_000) -> DataFrame:
@@ -85,8 +87,21 @@ def _copies(rows: DataFrame, limit: int, block: int = 10_000) -> DataFrame:
     return each.select("doc_id", "n_bytes", "h", F.lit(BITS).alias("depth"), (here * F.col("n_bytes")).alias("shard_bytes"), here.alias("shard_docs"), "part")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the rows of `docs` as one folder for each shard of `placed`. Rows are dealt by shard, so that a shard is
-    one task's file."""
-    where = placed.groupBy("doc_id").agg(F.min("shard").alias("shard"))
-    docs.join(where, docs[id_col] == where["doc_id"]).select(docs["*"], F.concat(F.lit("s"), "shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the rows of `docs` as one folder for each shard of `placed` (with its hashes). Rows are dealt by shard, so that a shard is
+    one task's file. Every row has its own shard: rows of one hash and size are copies of each other, and the k-th of
+    them here takes the place of the k-th there; null ids and texts hash as in `shards`."""
+    cols, key = docs.columns, ["_h", "_b", "_null"]
+    own = F.struct(*[docs[c] for c in cols])
+    rows = hashed(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), own.alias("_row")), "_i", "_t", keep=["_row"])
+    rows = rows.select("_row", F.col("h").alias("_h"), F.col("n_bytes").alias("_b"), F.col("doc_id").isNull().alias("_null"))
+    # where all places of a key are one shard, no counting is needed
+    spots = placed.select(F.col("h").alias("_h"), F.col("n_bytes").alias("_b"), F.col("doc_id").isNull().alias("_null"), F.col("shard").alias("_shard")).groupBy(*key, "_shard").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*key).orderBy("_shard")
+    spots = spots.withColumn("_end", F.sum("_n").over(upto)).withColumn("_from", F.col("_end") - F.col("_n")).withColumn("_parts", F.count("*").over(Window.partitionBy(*key)))
+    alone, dealt = spots.where("_parts = 1").select(*key, "_shard"), spots.where("_parts > 1")
+    one = rows.join(alone, key).select("_row", "_shard")
+    many = rows.join(dealt.select(*key).distinct(), key, "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    many = many.join(dealt, key).where("_k > _from and _k <= _end").select("_row", "_shard")
+    out = one.unionByName(many).select(*[F.col("_row")[c].alias(c) for c in cols], F.concat(F.lit("s"), "_shard").alias("shard"))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
