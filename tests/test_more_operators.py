@@ -92,3 +92,15 @@ def test_observers_and_sections(spark):
     assert len(got) == 2 and abs(sum(r.weight for r in got) - 1) < 1e-9 and got[0].technical > 0 < got[1].hype
     prof = st.source_profile(spark.createDataFrame([("a", [float(i), float(i * i % 5)]) for i in range(9)] + [("b", [float(i % 3), float(i)]) for i in range(9)], "s string, v array<double>"), "s", "v")
     assert learning.fiber_resonance(st.spectral_summary(prof, "s", 2), "s").count() == 1
+
+
+def test_shortest_path_goes_on_until_it_is_settled(spark):
+    from tidegauge.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(104)], "src long, dst long, cost double").coalesce(1)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert {r.node: r.distance for r in graph.shortest_path(edges, 0).collect()} == {i: float(i) for i in range(105)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)

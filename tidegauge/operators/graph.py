@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,14 @@ def _held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shortest_path(edges: DataFrame, source: int, cost: str = "cost", most_rounds: int = 100) -> DataFrame:
+def shortest_path(edges: DataFrame, source: int, cost: str = "cost") -> DataFrame:
     """(node, distance, parent) of all nodes reachable from a source, by relaxing edges until nothing changes. edges:
-    (src, dst, cost), both directions where meant."""
+    (src, dst, cost), both directions where meant. A cycle of negative cost raises an error."""
     spark = edges.sparkSession
     e = _held(edges.select("src", "dst", F.col(cost).cast("double").alias("_c")))
     best = _held(spark.createDataFrame([(source, 0.0, None)], "node long, distance double, parent long"))
-    front = best
-    for _ in range(most_rounds):
+    front, most_rounds = best, None
+    for k in itertools.count(1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("_c")).alias("distance"), F.col("src").alias("parent"))
         both = best.withColumn("_new", F.lit(0)).unionByName(step.withColumn("_new", F.lit(1)))
         merged = _held(both.groupBy("node").agg(F.min(F.struct("distance", "_new", "parent")).alias("m")).select("node", "m.*"))
@@ -30,6 +32,10 @@ def shortest_path(edges: DataFrame, source: int, cost: str = "cost", most_rounds
         best = merged.select("node", "distance", "parent")
         if front.isEmpty():
             break
+        if k % 100 == 0:  # a path without a cycle has fewer edges than there are nodes
+            most_rounds = most_rounds or e.select("dst").distinct().count() + 1
+            if k > most_rounds:
+                raise ValueError("a cycle of negative cost")
     return best
 
 
@@ -42,12 +48,12 @@ def path_cost(path: DataFrame, edges: DataFrame, cost: str = "cost") -> DataFram
     return joined.agg(F.when(F.count("*") == F.count("_c"), F.sum("_c")).alias("cost"))
 
 
-def bfs(edges: DataFrame, source: int, most_rounds: int = 1000) -> DataFrame:
+def bfs(edges: DataFrame, source: int) -> DataFrame:
     """(node, hops) of all nodes reachable from a source; each round only its new nodes move on."""
     spark = edges.sparkSession
     e = _held(edges.select("src", "dst").distinct())
     seen = front = _held(spark.createDataFrame([(source, 0)], "node long, hops int"))
-    for k in range(1, most_rounds):
+    for k in itertools.count(1):
         reached = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = _held(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
@@ -56,11 +62,11 @@ def bfs(edges: DataFrame, source: int, most_rounds: int = 1000) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) by passing on the smallest label, and jumping along labels, until nothing changes."""
     e = _held(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     label = _held(e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("component")).withColumnRenamed("src", "node"))
-    for _ in range(most_rounds):
+    while True:
         near = e.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("_m"))
         moved = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", "_m").alias("component"), F.col("component").alias("_was"))
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("_j"))
@@ -71,7 +77,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return label
 
 
-def cycles(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on a cycle: nodes without an edge in or out among those left are taken off until none
     is; what is left and reaches itself forms the strongly connected sets."""
     e = _held(edges.select("src", "dst").where("src != dst").distinct())
@@ -81,7 +87,7 @@ def cycles(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             break
         e = trimmed
     reach = e
-    for _ in range(most_rounds):
+    while True:
         more = _held(reach.union(reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")).distinct())
         if more.count() == reach.count():
             break
