@@ -64,6 +64,15 @@ def test_language(spark):
     assert none is None and {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
 
 
+def test_more_languages_than_a_plane_holds(spark):
+    rng, letters = random.Random(10), "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choices(letters, k=8)) for _ in range(6)] for k in range(70)}
+    rows = [(12 * k + j, " ".join(rng.choices(words[lang], k=12)), lang) for k, lang in enumerate(words) for j in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.train(docs, lambda c: ~held_out(c))).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     bland, bad = [f"word{k}" for k in range(60)], ["vileone", "viletwo", "vilethree", "rotten"]

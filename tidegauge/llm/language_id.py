@@ -2,7 +2,7 @@
 
 Training: the distinct n-grams of a bounded sample of labelled texts are counted by language (texts that have them),
 and an n-gram belongs to each language in which it is about as usual as in the language where it is most usual. The
-filter is a table of `2**BITS` bit masks, a bit for each language; an n-gram sets its languages' bits at `PROBES`
+filter is a table of `2**BITS` bit masks or more, a bit for each language in planes of 64; an n-gram sets its languages' bits at `PROBES`
 places, so that ANDing the masks found there gives all languages containing it at once. Prediction: languages' bits
 are counted over a text's n-grams, corrected for each language's share of false positives, and the largest count wins.
 
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import map_batches, texts_in_pieces
 
-#: Most labelled texts of a language learned from (in expectation, by a hash of the id), and most languages.
-MOST_TEXTS, MOST_LANGUAGES = 3_000, 64
-#: Letters in an n-gram, size of the filter (2**BITS masks), and places an n-gram takes.
+#: Most labelled texts of a language learned from (in expectation, by a hash of the id), and languages in a plane of masks.
+MOST_TEXTS, PLANE = 3_000, 64
+#: Letters in an n-gram, least size of the filter (2**BITS masks), and places an n-gram takes.
 GRAM, BITS, PROBES = 4, 22, 3
 #: An n-gram belongs to a language if this share of the usage of the language using it most is reached.
 RATIO, LEAST_TEXTS = 0.5, 3
@@ -79,17 +79,17 @@ def places(h: np.ndarray, bits: int = BITS, probes: int = PROBES) -> list[np.nda
 @dataclass
 class Filter:
     languages: list[str]
-    masks: np.ndarray  # uint64, 2**BITS
+    masks: np.ndarray  # uint64, a row of 2**bits for each 64 languages
     false: np.ndarray  # each language's share of absent n-grams that seem present
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each text, corrected number of them in each language)."""
         h, owner = grams(texts)
-        found = np.full(len(h), 2**64 - 1, np.uint64)
-        for at in places(h):
-            found &= self.masks[at]
+        found = np.full((len(self.masks), len(h)), 2**64 - 1, np.uint64)
+        for at in places(h, self.masks.shape[1].bit_length() - 1):
+            found &= self.masks[:, at]
         total = np.bincount(owner, minlength=len(texts))
-        hits = np.stack([np.bincount(owner, (found >> np.uint64(k)) & np.uint64(1), minlength=len(texts)) for k in range(len(self.languages))], 1)
+        hits = np.stack([np.bincount(owner, (found[k // PLANE] >> np.uint64(k % PLANE)) & np.uint64(1), minlength=len(texts)) for k in range(len(self.languages))], 1)
         return total, np.maximum(0.0, (hits - total[:, None] * self.false) / (1 - self.false))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -105,12 +105,12 @@ def train(docs: DataFrame, trainable: Callable[[Column], Column], id_col: str =
     n-grams kept for the filter reach the driver; the latter are at most some hundred thousand, as the sample is
     bounded."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), trainable(F.col(id_col)).alias("t")).where("t and lang is not null")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, most_texts / sizes[k]))]), F.col("lang"))
-    sample = labelled.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 20)) < share * (1 << 20))).select("text", "lang")
+    sample = labelled.where((F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 20)) < share * (1 << 20))).select("text", "lang")
     number = {k: i for i, k in enumerate(languages)}
 
     def count(batches):
@@ -140,19 +140,22 @@ def train(docs: DataFrame, trainable: Callable[[Column], Column], id_col: str =
     usual = counted.where(F.col("gram").isNotNull() & (F.col("n") >= LEAST_TEXTS)).withColumn("p", F.col("n") / texts)
     most = usual.groupBy("gram").agg(F.collect_list(F.struct("lang", "p")).alias("by"), F.max("p").alias("top"))
     kept = most.select("gram", F.transform(F.filter("by", lambda x: x.p >= F.col("top") * RATIO), lambda x: x.lang).alias("langs"))
-    masks, shares = np.zeros(1 << BITS, np.uint64), []
     table = kept.toArrow()
     h = table.column("gram").to_numpy().view(np.uint64)
-    mask = np.array([sum(1 << k for k in x.as_py()) for x in table.column("langs")], np.uint64)
-    for at in places(h):
-        np.bitwise_or.at(masks, at, mask)
+    bits, planes, shares = max(BITS, (4 * PROBES * len(h)).bit_length()), -(-len(languages) // PLANE), []
+    masks, langs = np.zeros((planes, 1 << bits), np.uint64), table.column("langs").to_pylist()
+    for plane in range(planes):
+        mask = np.array([sum(1 << (k % PLANE) for k in x if k // PLANE == plane) for x in langs], np.uint64)
+        for at in places(h, bits):
+            np.bitwise_or.at(masks[plane], at, mask)
     for k in range(len(languages)):
-        shares.append(float(((masks >> np.uint64(k)) & np.uint64(1)).mean()) ** PROBES)
+        shares.append(float(((masks[k // PLANE] >> np.uint64(k % PLANE)) & np.uint64(1)).mean()) ** PROBES)
     return Filter(languages, masks, np.minimum(np.array(shares), 0.99))
 
 
 def predict(docs: DataFrame, model: Filter | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of every row with lang_pred and score; the filter is 32 MB at most."""
+    """The columns `keep` of every row with lang_pred and score; the filter is 32 MB for
+    each 64 languages, and more from some 350,000 n-grams on."""
     keep = keep or ["doc_id"]
     chosen = docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
     row = chosen.schema["row"].dataType.simpleString()
