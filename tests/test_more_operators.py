@@ -104,3 +104,18 @@ def test_shortest_path_goes_on_until_it_is_settled(spark):
         assert {r.node: r.distance for r in graph.shortest_path(edges, 0).collect()} == {i: float(i) for i in range(105)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
+def test_spectra_and_transfer_cover_whole_vectors(spark, tmp_path):
+    import numpy as np
+
+    from tidegauge.plans import registry
+
+    v = np.random.default_rng(11).normal(size=(60, 16)) * np.arange(1, 17)
+    spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = np.linalg.eigvalsh(np.cov(v.T))[::-1]
+    got = registry.QUERIES["d05_spectral_summary"](spark, str(tmp_path)).first()
+    assert np.allclose(got.eigenvalues, want[:5]) and np.isclose(got.concentration, want[0] / want.sum())
+    x = np.c_[np.ones(60), v[:, :8]]
+    w = np.linalg.solve(x.T @ x + 1e-3 * np.diag([0, *[1] * 8]), x.T @ v[:, 8:])
+    assert np.allclose(registry.QUERIES["d06_fit_transfer"](spark, str(tmp_path)).first().weights, w.T.ravel(), atol=1e-6)

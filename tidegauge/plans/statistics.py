@@ -30,12 +30,14 @@ def d04_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d05_spectral_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.spectral_summary(st.source_profile(vectors(spark, sf_dir).withColumn("v", F.slice("v", 1, 8)), "label", "v"), "label", 5)
+    return st.spectral_summary(st.source_profile(vectors(spark, sf_dir), "label", "v"), "label", 5)
 
 
 @query()
 def d06_fit_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir).select("label", F.slice("v", 1, 6).alias("x"), F.slice("v", 7, 3).alias("y"))
+    """The second half of each vector from its first half."""
+    half = F.floor(F.size("v") / 2).cast("int")
+    rows = vectors(spark, sf_dir).select("label", F.slice("v", F.lit(1), half).alias("x"), F.slice("v", half + 1, F.size("v") - half).alias("y"))
     return st.fit_linear(rows, ["label"], "x", "y").select("label", "n", "weights", "r2")
 
 
