@@ -197,6 +197,54 @@ def test_similar_groups_equal_brute_force(spark, radius):
     assert simhash.similar_groups(frame(spark, []), radius=radius).count() == 0
 
 
+def test_similar_groups_among_texts_of_shared_passages(spark, monkeypatch):
+    """Mosaics of a few passages, of which some are near copies; no shingle is looked at first, some, or all."""
+    rng = random.Random(12)
+    parts = [" ".join(f"p{k}w{rng.randrange(40)}" for _ in range(25)) for k in range(9)]
+    rows = []
+    for i in range(70):
+        own = " ".join(f"own{rng.randrange(9999)}" for _ in range(rng.choice((0, 2, 8, 30))))
+        rows.append((i, " ".join([*rng.sample(parts, rng.randint(1, 5)), own])))
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, w in ((i, t.split()) for i, t in rows)]
+    name = {i: i for i, _ in sets}
+    for _ in range(len(sets)):
+        for i, x in sets:
+            for j, y in sets:
+                if 5 * len(x & y) >= 4 * len(x | y) and name[j] < name[i]:
+                    name[i] = name[j]
+    assert len(set(name.values())) < len(name)
+    for look in (0, 2**64 * 3 // 10, 2**64 - 1):
+        monkeypatch.setattr(simhash, "LOOK", np.uint64(look))
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()} == name
+
+
+@pytest.mark.parametrize("step", [7, 60, 2_000_000])
+def test_shingles_equal_brute_force(step, monkeypatch):
+    import pyarrow as pa
+
+    from tidegauge.llm import shingles
+
+    monkeypatch.setattr(shingles, "STEP", step)
+    rng = random.Random(11)
+    texts = [None, "", " \t\n", "He he HE he he he he", "x" * 200, "a b", "\x00 é\u00a0b 日本 c d e"] + ["".join(rng.choice(["a", "B", "b ", " ", "\n", "to ", "To\t", "é"]) for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    array = pa.array(["cut off", *texts], pa.string()).slice(1)
+    sets = {}
+    for size in (1, 3, 5):
+        got = [r for _, h, edges in shingles.words(array) for r in shingles.runs(h, edges, size)]
+        named: dict[int, tuple] = {}
+        for t, run in zip(texts, got, strict=True):
+            words = (t or "").encode().lower().split()
+            want = [tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
+            assert len(run) == len(want)
+            for x, w in zip(run.tolist(), want, strict=True):
+                assert named.setdefault(x, w) == w
+            assert len(shingles.distinct(run)) == len(set(want))
+            share = [sum(x >> k & 1 for x in run.tolist()) * 2 > len(run) for k in range(64)]
+            assert shingles.majority(run) & (2**64 - 1) == sum(1 << k for k in range(64) if share[k])
+        sets[size] = named
+    assert not set(sets[3]) & {x for x, w in sets[5].items() if len(w) == 5}
+
+
 def test_thresholds_cover_the_radius():
     rng = np.random.default_rng(4)
     sample = rng.integers(0, 2**64, 300, np.uint64)

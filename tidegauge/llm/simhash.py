@@ -11,8 +11,9 @@ one shingle. Rows repeat and tie freely: a group's id is its smallest id. A null
 others. An empty table has no groups. Columns of the input beside id and text are not read.
 
 `similar_groups` links texts by the Jaccard similarity of their shingle sets instead. Linked fingerprints are its first
-candidates; those which fingerprints miss come from a prefix filter, which misses none: in any order of all shingles, two
-similar sets share one of their first few. Every candidate is verified on the sets, and only verified ones form groups.
+candidates. Fingerprints miss some pairs at any radius, so among the sets that are not shown to have no similar one, the
+pairs not connected yet come from a prefix filter, which misses none: in any order of all shingles, two similar sets
+share one of their first few. Every candidate is verified on the sets, and only verified ones form groups.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_batches, texts_in_pieces, written
-from tidegauge.llm.components import components
+from tidegauge.llm import shingles
+from tidegauge.llm.common import map_batches, written
+from tidegauge.llm.components import components, contracted
 
 BITS = 64
 #: Most fingerprints looked at to choose parts and thresholds; links never depend on the choice.
@@ -36,9 +38,10 @@ SAMPLE = 4_000
 SEED = 42
 #: Texts are similar if their sets share at least this part of their union (numerator, denominator).
 SIMILAR = (4, 5)
-#: Sets looked at, in expectation, to find common shingles, which go last in the order of shingles; links never depend
-#: on them.
-COMMON_SAMPLE, MOST_COMMON = 4_000, 200_000
+#: Shingles whose hash is below this, three tenths of all, are looked at first, to find the sets most of which is in no
+#: other set; groups never depend on it.
+LOOK = np.uint64(2**64 * 3 // 10)
+SIGN_BITS = 7
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -233,93 +236,161 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "do
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order; none for a text without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < shingle:
-        words, shingle = [b" ".join(words)], 1
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    runs = zip(*(itertools.islice(words, k, None) for k in range(shingle)), strict=False)
-    return np.unique(np.fromiter((digest(join(r), SEED) for r in runs), np.uint64))
-
-
 def _nodes(docs: DataFrame, shingle: int, fp_shingle: int) -> DataFrame:
-    """(doc_id, fp, node, n): node is a hash of the shingle set, n its size."""
+    """(doc_id, fp, node, n, looked): node is a name of the shingle set, n its size, looked how many are below LOOK."""
 
     def run(batches):
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            fp = np.array([fingerprint(t, fp_shingle) for t in texts], np.uint64).view(np.int64)
-            known = [(xxhash.xxh3_64_intdigest(x.tobytes()), len(x)) for x in (shingle_set(t, shingle) for t in texts)]
-            node = np.array([x[0] for x in known], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(node), pa.array([x[1] for x in known], pa.int64())], ["doc_id", "fp", "node", "n"])
+            for first, h, edges in shingles.words(b.column(1)):
+                fp = [shingles.majority(r) for r in shingles.runs(h, edges, fp_shingle)]
+                sets = [shingles.distinct(r) for r in shingles.runs(h, edges, shingle)]
+                out = [fp, [shingles.name_of(x) for x in sets], [len(x) for x in sets], [int(np.searchsorted(x, LOOK)) for x in sets]]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(fp)), *(pa.array(c, pa.int64()) for c in out)], ["doc_id", "fp", "node", "n", "looked"])
+
+    return map_batches(docs, run, "doc_id long, fp long, node long, n long, looked long")
 
-    return map_batches(docs, run, "doc_id long, fp long, node long, n long")
 
+def _longs(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names)
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar; their texts are joined by id, compressed."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", F.col("first_doc").alias("doc_id")), "node")
+
+def _joined(names: list[str], parts: list[tuple]) -> pa.RecordBatch:
+    return _longs(*(np.concatenate([np.zeros(0, np.uint64), *c]) for c in zip(*parts, strict=True)), names=names)
+
+
+def _may_match(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """The sets (node, first_doc, n) that may have a similar one: at most n less SIMILAR's part of n of a set's shingles
+    are in no other set. Only shingles below LOOK are looked at, the same for all texts, which proves this for most."""
+
+    def spread(batches):
+        told: set[int] = set()  # copies in a task speak once
+        for b in batches:
+            for _, h, edges in shingles.words(b.column(0)):
+                parts = []
+                for x in map(shingles.distinct, shingles.runs(h, edges, shingle)):
+                    node = shingles.name_of(x) if len(x) else None
+                    if node is not None and node not in told:
+                        told.add(node)
+                        x = x[: np.searchsorted(x, LOOK)]
+                        parts.append((x, np.full(len(x), node).view(np.uint64)))
+                if parts:
+                    yield _joined(["s", "node"], parts)
+
+    def met(batches):
+        last, kept = None, False  # the last row so far, and whether it has been told as shared
+        for b in batches:
+            s, node = (b.column(k).to_numpy() for k in (0, 1))
+            if last is not None:
+                s, node = np.r_[last[0], s], np.r_[last[1], node]
+            fresh = np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])]
+            s, node = s[fresh], node[fresh]
+            same = s[1:] == s[:-1]
+            shared = np.r_[False, same] | np.r_[same, False]
+            out = shared.copy()
+            out[0] &= last is None or not kept
+            kept = bool(shared[-1] or (len(s) == 1 and kept))
+            last = (s[-1], node[-1])
+            name, k = np.unique(node[out], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(k.astype(np.int64))], ["node", "k"])
+
+    seen = map_batches(docs.select("text"), spread, "s long, node long").repartition("s").sortWithinPartitions("s", "node")
+    shared = map_batches(seen, met, "node long, k long").groupBy("node").agg(F.sum("k").alias("shared"))
     p, q = SIMILAR
+    own = F.col("looked") - F.coalesce("shared", F.lit(0))
+    return sets.where("n > 0").join(shared, "node", "left").where(own <= F.floor((q - p) * F.col("n") / q)).select("node", "first_doc", "n")
+
+
+def _held(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """(node, held, sign): the sets needed, as bytes, and how many of a set are in each of 2**SIGN_BITS parts of all hashes (null
+    if too many for a byte), which bounds what two sets have in common. Texts are compressed for the shuffle that brings them to their sets'
+    first ids; of repeated ids, each row is told by its own set."""
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "replace") for t in b.column(1)]
-            # of repeated ids, each row is told by its own set
-            node = np.array([xxhash.xxh3_64_intdigest(shingle_set(t.decode(), shingle).tobytes()) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([press(t) for t in texts], pa.binary())], ["node", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())], ["doc_id", "packed"])
+
+    def unpack(batches):
+        press = zstandard.ZstdDecompressor().decompress
+        now, told = None, set()
+        for b in batches:
+            ids, nodes, k = b.column(0).to_pylist(), b.column(2).to_pylist(), 0
+            while k < len(ids):
+                upto, size = k, 0
+                while upto < len(ids) and (upto == k or size < shingles.STEP):
+                    size, upto = size + b.column(1)[upto].as_buffer().size * 3, upto + 1
+                texts = pa.array([press(x.as_py()).decode() for x in b.column(1).slice(k, upto - k)], pa.large_string())
+                name, held, sign = [], [], []
+                for _, h, edges in shingles.words(texts):
+                    for x in map(shingles.distinct, shingles.runs(h, edges, shingle)):
+                        i, node = ids[k], nodes[k]
+                        now, told = (now, told) if i == now else (i, set())
+                        if node not in told and shingles.name_of(x) == node:
+                            told.add(node)
+                            name.append(node)
+                            held.append(x.tobytes())
+                            c = np.bincount((x >> np.uint64(64 - SIGN_BITS)).astype(np.int64), minlength=1 << SIGN_BITS)
+                            sign.append(c.tolist() if c.max() < 128 else None)
+                        k += 1
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(held, pa.binary()), pa.array(sign, pa.list_(pa.int8()))], ["node", "held", "sign"])
+
+    packed = map_batches(docs, pack, "doc_id long, packed binary")
+    found = packed.hint("merge").join(needed.select(F.col("first_doc").alias("doc_id"), "node"), "doc_id")
+    return map_batches(found.select("doc_id", "packed", "node"), unpack, "node long, held binary, sign array<tinyint>")
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar."""
+    p, q = SIMILAR
 
     def compare(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
         last, x = None, None
         for b in batches:
             keep = []
             for k, (one, left, right) in enumerate(zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True)):
                 if one != last:
-                    last, x = one, shingle_set(unpack(left.as_py()).decode(), shingle)
-                y = shingle_set(unpack(right.as_py()).decode(), shingle)
-                if len(np.intersect1d(x, y, assume_unique=True)) * (p + q) >= (len(x) + len(y)) * p and len(x):
+                    last, x = one, np.frombuffer(left.as_buffer(), np.uint64)
+                y = np.frombuffer(right.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                if np.count_nonzero(both[1:] == both[:-1]) * (p + q) >= len(both) * p:
                     keep.append(k)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
-    held = map_batches(docs.hint("merge").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), pack, "node long, packed binary")
-    held = written(held.dropDuplicates(["node"]), "packed")
-    both = pairs.hint("merge").join(held.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b").hint("merge").join(held.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a")
+    right = pairs.hint("merge").join(held.select(F.col("node").alias("b"), F.col("held").alias("right")), "b")
+    both = right.hint("merge").join(held.select(F.col("node").alias("a"), F.col("held").alias("left")), "a")
     return map_batches(both.select("a", "b", "left", "right"), compare, "a long, b long")
 
 
-def _prefixes(docs: DataFrame, total: int, shingle: int) -> DataFrame:
-    """(doc_id, shingle, node, n, at): the first shingles of each set, at least one of which two similar sets have in
-    common; common shingles go last in the order, so that few sets meet under them."""
-
-    def spread(batches):
-        for b in batches:
-            for t in b.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).view(np.int64))], ["s"])
-
-    some = map_batches(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // COMMON_SAMPLE))) == 0), spread, "s long")
-    found = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toArrow()
-    common = docs.sparkSession.sparkContext.broadcast(np.sort(found.column("s").to_numpy().astype(np.int64)))
+def _rest(held: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b) pairs of sets in different components that may be similar. placed: (node, n, component). In the order of
+    shingles from rare to frequent, two similar sets have one of their first few in common, and as many after it as
+    their similarity takes."""
     p, q = SIMILAR
 
-    def run(batches):
-        last = common.value
+    def spread(batches):
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held = shingle_set(t.as_py(), shingle)
-                n, node, x = len(held), xxhash.xxh3_64_intdigest(held.tobytes()), held.view(np.int64)
-                if not n:
-                    continue
-                k = n - -(-n * p // q) + 1
-                late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x if len(last) else np.zeros(n, bool)
-                first = x[np.lexsort((x, late))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i)), pa.array(first), pa.array(np.full(k, node, np.uint64).view(np.int64)), pa.array(np.full(k, n)), pa.array(np.arange(k))], ["doc_id", "shingle", "node", "n", "at"])
-
-    return map_batches(docs, run, "doc_id long, shingle long, node long, n long, at long")
+            for k in range(0, len(b), 512):
+                part = b.slice(k, 512)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                yield _longs(np.concatenate(sets), node, names=["s", "node"])
+
+    tokens = map_batches(held.select("node", "held"), spread, "s long, node long").withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1")
+    by_node = Window.partitionBy("node")
+    ranked = tokens.withColumn("at", F.row_number().over(by_node.orderBy("df", "s")) - 1).withColumn("common", F.count("*").over(by_node)).join(placed, "node")
+    at = F.col("n") - F.col("common") + F.col("at")  # those in no other set come first
+    first = ranked.select("s", "node", "n", "component", at.alias("at")).where(F.col("at") <= F.floor((q - p) * F.col("n") / q))
+    first = written(first, "first-shingles")
+    mixed = first.groupBy("s").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("s")
+    first = first.join(mixed, "s", "left_semi").join(held.select("node", "sign"), "node")
+    a, b = first.alias("a"), first.alias("b")
+    rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    both = F.aggregate(F.zip_with("a.sign", "b.sign", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    enough = lambda common: common * (p + q) >= (F.col("a.n") + F.col("b.n")) * p
+    fits = (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p) & enough(rest) & F.coalesce(enough(both), F.lit(True))
+    pairs = a.hint("merge").join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & fits)
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, fp_shingle: int = 3, radius: int = 7) -> DataFrame:
@@ -327,26 +398,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, fp_shingle: int = 3, radiu
     texts similar by SIMILAR or more. Texts without words are copies of each other."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     rows = written(_nodes(docs, shingle, fp_shingle), "shingle-sets")
-    sets = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("fp").alias("fp"), F.max("n").alias("n")), "distinct-sets")
+    sets = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.max("looked").alias("looked")), "distinct-sets")
     by_fp = sets.groupBy("fp").agg(F.min("node").alias("top"))
     near = links(by_fp.select("fp"), radius).join(by_fp.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b").select("x", "y")
     near = near.union(sets.select("fp", "node").join(by_fp, "fp").where("node != top").select("top", "node"))
-    near = written(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), "pairs")
-    sure = written(_verified(near, sets, docs, shingle), "similar")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
+    needed = written(_may_match(docs, sets, shingle), "needed-sets")
+    held = written(_held(docs, needed, shingle), "held-sets")
+    sure = written(_verified(near, held), "similar")
     # what fingerprints miss: only pairs that are not connected yet
-    first = components(sure)
-    named = sets.join(first, "node", "left").select("node", F.col("first_doc").alias("doc_id"), F.coalesce("component", "node").alias("component"))
-    placed = written(_prefixes(docs, sets.count(), shingle).hint("merge").join(named, ["doc_id", "node"]).drop("doc_id"), "prefixes")
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("shingle")
-    placed = placed.join(mixed, "shingle", "left_semi")
-    p, q = SIMILAR
-    a, b = placed.alias("a"), placed.alias("b")
-    rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    fits = (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p) & (rest * (p + q) >= (F.col("a.n") + F.col("b.n")) * p)
-    pairs = a.hint("merge").join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & fits)
-    pairs = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
-    more = written(_verified(pairs, sets, docs, shingle), "similar")
-    found = components(sure.union(more))
+    stars = contracted(sure)
+    names = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    placed = needed.join(names, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    found = components(stars.union(_verified(_rest(held, placed), held)))
     ids = sets.select("node", "first_doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     return rows.select("doc_id", "node").join(ids.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
