@@ -5,7 +5,7 @@ import tarfile
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidegauge.operators import joins, learning, regimes
+from tidegauge.operators import graph, joins, learning, regimes
 from tidegauge.operators import statistics as st
 from tidegauge.sources import files
 
@@ -119,3 +119,40 @@ def test_spectra_and_transfer_cover_whole_vectors(spark, tmp_path):
     x = np.c_[np.ones(60), v[:, :8]]
     w = np.linalg.solve(x.T @ x + 1e-3 * np.diag([0, *[1] * 8]), x.T @ v[:, 8:])
     assert np.allclose(registry.QUERIES["d06_fit_transfer"](spark, str(tmp_path)).first().weights, w.T.ravel(), atol=1e-6)
+
+
+def _strong(edges):
+    nodes = {x for e in edges for x in e}
+    reach = {n: {b for a, b in edges if a == n} for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for n in nodes:
+            more = set().union(*(reach[m] for m in reach[n])) - reach[n] if reach[n] else set()
+            if more:
+                reach[n] |= more
+                changed = True
+    return {(n, min(m for m in reach[n] if n in reach[m])) for n in nodes if n in reach[n]}
+
+
+def test_cycles_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    for n, m in ((12, 14), (25, 40), (30, 45)):
+        edges = {(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2)) if a != b}
+        got = graph.cycles(spark.createDataFrame(sorted(edges) + [(5, 5)], "src long, dst long"))
+        assert {tuple(r) for r in got.collect()} == _strong(edges)
+    assert graph.cycles(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_lift(spark):
+    rng = np.random.default_rng(1)
+    w = rng.normal(size=(3, 5))
+    x = rng.normal(size=(40, 5))
+    rows = [("a", a.tolist(), (w @ a).tolist()) for a in x] + [("few", [1.0] * 5, [1.0] * 3)] * 2
+    df = spark.createDataFrame(rows, "k string, x array<double>, y array<double>")
+    got = st.fit_lift(df, ["k"], "x", "y", ridge=0.5, most_rank=2, bound=0.9).collect()
+    u, size, v = np.linalg.svd(np.linalg.solve(x.T @ x + 0.5 * np.eye(5), x.T @ x @ w.T).T, full_matrices=False)
+    want = (u[:, :2] * size[:2] * min(1, 0.9 / size[0])) @ v[:2]
+    assert [(r.k, r.n, r["rank"]) for r in got] == [("a", 40, 2)] and np.allclose(np.reshape(got[0].matrix, (3, 5)), want) and got[0].radius <= 0.9 + 1e-9
+    lifted = st.apply_lift(df, st.fit_lift(df, ["k"], "x", "y", 0.5, 2, 0.9), ["k"], "x").collect()
+    assert all(r.lifted is None if r.k == "few" else np.allclose(r.lifted, want @ r.x) for r in lifted)

@@ -38,9 +38,9 @@ def pack(df: DataFrame) -> DataFrame:
 
 def apply_anchors(phased: DataFrame, anchors: DataFrame, date_col: str = "d") -> DataFrame:
     """Dates within an anchor's interval take its phases and severity; the first anchor in order counts. anchors: (ord,
-    name, start_date, end_date, anchor, severity), a small table."""
-    hit = phased.select(date_col).distinct().join(F.broadcast(anchors), F.col(date_col).between(F.col("start_date"), F.col("end_date")))
-    first = hit.groupBy(date_col).agg(F.min_by(F.struct("name", "anchor", "severity"), "ord").alias("_a"))
+    name, start_date, end_date, anchor, severity); each is a row for every day, so that days meet by equality."""
+    days = anchors.where("start_date <= end_date").withColumn(date_col, F.explode(F.sequence("start_date", "end_date")))
+    first = days.groupBy(date_col).agg(F.min_by(F.struct("name", "anchor", "severity"), "ord").alias("_a"))
     joined = phased.join(first, date_col, "left")
     return (
         joined.withColumn("theta", F.coalesce("_a.anchor", "theta")).withColumn("amplitudes", F.coalesce(F.when(F.col("_a").isNotNull(), F.array_repeat(F.col("_a.severity"), len(cal.CHANNELS))), F.col("amplitudes")))

@@ -77,24 +77,52 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def _least_reaching(e: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that reaches each node of `e` (src, dst), itself included."""
+    label = _held(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("label", F.col("node")))
+    front = label
+    while True:
+        offered = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("_l"))
+        moved = _held(label.join(offered, "node", "left").select("node", F.least("label", "_l").alias("label"), (F.col("_l") < F.col("label")).alias("_moved")))
+        label, front = moved.select("node", "label"), moved.where("_moved").select("node", "label")
+        if front.isEmpty():
+            return label
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(node, component) of nodes on a cycle: nodes without an edge in or out among those left are taken off until none
-    is; what is left and reaches itself forms the strongly connected sets."""
+    """(node, component) of nodes on a cycle of two nodes or more; component is the smallest node of the strongly connected set.
+
+    Nodes without an edge in or out among those left are taken off. Of the rest, each node learns the smallest node that
+    reaches it; those that reach that node back, over nodes which learned the same, form its set. Found sets are taken
+    off too, until no edge is left. No step holds more rows than there are edges.
+    """
     e = _held(edges.select("src", "dst").where("src != dst").distinct())
-    while True:
-        trimmed = _held(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if trimmed.count() == e.count():
-            break
-        e = trimmed
-    reach = e
-    while True:
-        more = _held(reach.union(reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")).distinct())
-        if more.count() == reach.count():
+    found = e.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    left = e.count()
+    while left:
+        while True:
+            e = _held(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            was, left = left, e.count()
+            if was == left:
+                break
+        if not left:
             break
-        reach = more
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.intersect(back)
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_m")).select("node", F.least("node", "_m").alias("component"))
+        label = _least_reaching(e)
+        one, two = label.select(F.col("node").alias("src"), "label"), label.select(F.col("node").alias("dst"), F.col("label").alias("_l"))
+        back = _held(e.join(one, "src").join(two, "dst").where("label = _l").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label"))
+        closed = front = _held(label.where("node = label"))
+        while True:
+            more = front.join(back.select("src", "dst"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label").distinct()
+            front = _held(more.join(closed, "node", "left_anti"))
+            if front.isEmpty():
+                break
+            closed = _held(closed.unionByName(front))
+        big = closed.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1").select("label")
+        found = found.union(closed.join(big, "label", "left_semi").select("node", F.col("label").alias("component")))
+        gone = closed.select("node")
+        e = _held(e.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+        left = e.count()
+    return found
 
 
 def merge_redundant(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import market
+from tidegauge.operators.blocks import in_blocks
 
 
 def categorize(df: DataFrame, key: list[str], column: str, topics: list[tuple[str, str]], k: int) -> DataFrame:
@@ -19,9 +20,9 @@ def categorize(df: DataFrame, key: list[str], column: str, topics: list[tuple[st
 
 def classify_domain(docs: DataFrame, keywords: DataFrame, key: str, text: str, k: int = 1) -> DataFrame:
     """(key, domain, score) of the k domains that share most words with a text; `unknown` without any. keywords: (ord,
-    domain, word), of a few thousand rows."""
+    domain, word)."""
     words = docs.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("word"))
-    hits = words.join(F.broadcast(keywords), "word").groupBy(key, "ord", "domain").agg(F.count("*").alias("score"))
+    hits = words.join(keywords, "word").groupBy(key, "ord", "domain").agg(F.count("*").alias("score"))
     best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "ord"))).where(F.col("_r") <= k)
     return docs.select(key).join(best.select(key, "domain", "score"), key, "left").select(key, F.coalesce("domain", F.lit("unknown")).alias("domain"), F.coalesce("score", F.lit(0)).alias("score"))
 
@@ -58,8 +59,10 @@ def find_universals(patterns: DataFrame, least: float = 0.85) -> DataFrame:
 def new_only(found: DataFrame, known: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Pairs without a known one of the same dimensions, near similarity and a shared type. Columns: dimensions (sorted
     array), similarity, types (array)."""
-    k = known.select(F.col("dimensions").alias("_d"), F.col("similarity").alias("_s"), F.col("types").alias("_t"))
-    return found.join(k, (F.col("dimensions") == F.col("_d")) & (F.abs(F.col("similarity") - F.col("_s")) <= tolerance) & F.arrays_overlap("types", "_t"), "left_anti")
+    band = lambda c: F.floor(F.col(c) / tolerance)
+    k = known.select(F.col("dimensions").alias("_d"), F.col("similarity").alias("_s"), F.col("types").alias("_t"), F.explode(F.array(*[band("similarity") + d for d in (-1, 0, 1)])).alias("_b"))
+    near = (F.col("dimensions") == F.col("_d")) & (band("similarity") == F.col("_b"))  # bands make it an equi-join
+    return found.join(k, near & (F.abs(F.col("similarity") - F.col("_s")) <= tolerance) & F.arrays_overlap("types", "_t"), "left_anti")
 
 
 def wasserstein(a: Column, b: Column) -> Column:
@@ -94,10 +97,13 @@ def best_match(requests: DataFrame, catalog: DataFrame, key: str, energy: str =
 
 def recognize(queries: DataFrame, atlas: DataFrame, tau: float) -> DataFrame:
     """Each query's nearest atlas entry by frequency, of its own domain if that has any, rejected at tau or farther.
-    queries: (q, domain, w); atlas: (name, domain, w), a small table."""
-    a = F.broadcast(atlas.select("name", F.col("domain").alias("_d"), F.col("w").alias("_w")))
-    near = queries.join(a, F.lit(True)).withColumn("far", F.abs(F.col("w") - F.col("_w"))).withColumn("other", (F.col("_d") != F.col("domain")) | F.col("domain").isNull())
-    best = near.groupBy("q").agg(F.min(F.struct("other", "far", "name")).alias("m"))
+    queries: (q, domain, w); atlas: (name, domain, w), taken in blocks."""
+
+    def best_of(block: DataFrame) -> DataFrame:
+        near = queries.join(block, F.lit(True)).withColumn("far", F.abs(F.col("w") - F.col("_w"))).withColumn("other", (F.col("_d") != F.col("domain")) | F.col("domain").isNull())
+        return near.groupBy("q").agg(F.min(F.struct("other", "far", "name")).alias("m"))
+
+    best = in_blocks(atlas.select("name", F.col("domain").alias("_d"), F.col("w").alias("_w")), "name", best_of).groupBy("q").agg(F.min("m").alias("m"))
     return best.where(F.col("m.far") < tau).select("q", "m.name", F.col("m.far").alias("distance"), (1 - F.col("m.far") / tau).alias("confidence"))
 
 
@@ -176,19 +182,24 @@ def merge_experience(memory: DataFrame, new: DataFrame, key_near: float = 0.15,
 
 
 def nearest_keys(queries: DataFrame, memory: DataFrame, n: int, over: int = 1) -> DataFrame:
-    """(q, id, distance, rank) of the n * over nearest memories by a three-part key. queries: (q, k1, k2, k3), few rows."""
-    q = F.broadcast(queries.select("q", *[F.col(k).alias(f"_{k}") for k in ("k1", "k2", "k3")]))
+    """(q, id, distance, rank) of the n * over nearest memories by a three-part key. queries: (q, k1, k2, k3), taken in
+    blocks; ranks are cut before the shuffle too."""
     far = F.sqrt(sum(((F.col(k) - F.col(f"_{k}")) ** 2 for k in ("k1", "k2", "k3")), F.lit(0.0)))
-    return memory.join(q, F.lit(True)).withColumn("distance", far).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= n * over)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
+    near = lambda q: memory.join(q, F.lit(True)).withColumn("distance", far).withColumn("rank", rank).where(F.col("rank") <= n * over)
+    return in_blocks(queries.select("q", *[F.col(k).alias(f"_{k}") for k in ("k1", "k2", "k3")]), "q", near)
 
 
 def cosine_top_k(queries: DataFrame, store: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """(q, id, similarity, rank) of the k stored vectors nearest to each query by cosine. queries: (q, v), few rows."""
+    """(q, id, similarity, rank) of the k stored vectors nearest to each query by cosine. queries: (q, v), taken in blocks."""
     s = store.select("id", market.normalized(F.col("v")).alias("_u")).where(F.size("_u") > 0)
-    q = F.broadcast(queries.select("q", market.normalized(F.col("v")).alias("_q")))
-    found = s.join(q, F.lit(True)).select("q", "id", market.dot(F.col("_u"), F.col("_q")).alias("similarity"))
-    found = found if least is None else found.where(F.col("similarity") >= least)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+
+    def near(q: DataFrame) -> DataFrame:
+        found = s.join(q, F.lit(True)).select("q", "id", market.dot(F.col("_u"), F.col("_q")).alias("similarity"))
+        found = found if least is None else found.where(F.col("similarity") >= least)
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+
+    return in_blocks(queries.select("q", market.normalized(F.col("v")).alias("_q")), "q", near)
 
 
 def retrieval_chain(queries: DataFrame, store: DataFrame, k: int = 5, steps: int = 5, settle: float = 1e-3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import market, spectral
+from tidegauge.operators.blocks import in_blocks
 
 HORIZONS = ["long", "medium", "short"]
 
@@ -118,9 +119,9 @@ def region_features(df: DataFrame, scalars: list[str], kind: str, kinds: list[st
 
 
 def project_intent(queries: DataFrame, prototypes: DataFrame, least: float) -> DataFrame:
-    """(q, best, scores): cosines with all prototypes (name, v), a small table, and the best one if it reaches `least`."""
-    p = F.broadcast(prototypes.select("name", F.col("v").alias("_p")))
-    s = queries.join(p, F.lit(True)).select("q", "name", F.when(market.norm(F.col("v")) > 0, market.cosine(F.col("v"), F.col("_p"))).alias("s"))
+    """(q, best, scores): cosines with all prototypes (name, v), taken in blocks, and the best one if it reaches `least`."""
+    score = F.when(market.norm(F.col("v")) > 0, market.cosine(F.col("v"), F.col("_p"))).alias("s")
+    s = in_blocks(prototypes.select("name", F.col("v").alias("_p")), "name", lambda p: queries.join(p, F.lit(True)).select("q", "name", score))
     best = s.groupBy("q").agg(F.max_by("name", F.struct("s", "name")).alias("_b"), F.max("s").alias("_m"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "s")))).alias("scores"))
     return best.select("q", F.when(F.col("_m") >= least, F.col("_b")).alias("best"), "scores")
 

@@ -58,7 +58,7 @@ def assign_dims(library: DataFrame, key: str, foundational: Column, width: Colum
 def merge_discoveries(df: DataFrame, centers: DataFrame, near: float = 0.1) -> DataFrame:
     """Points (id, instance, x, y, value) moved by their instance's centre (instance, cx, cy); of points nearer than
     `near` the one with the larger value (then the smaller id) stays; a point goes if any better one is near."""
-    p = df.join(F.broadcast(centers), "instance").select("id", (F.col("x") + F.col("cx")).alias("x"), (F.col("y") + F.col("cy")).alias("y"), "value")
+    p = df.join(centers, "instance").select("id", (F.col("x") + F.col("cx")).alias("x"), (F.col("y") + F.col("cy")).alias("y"), "value")
     cell = lambda c, d=0: F.floor(F.col(c) / near) + d
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = p.withColumn("_o", F.explode(around)).withColumn("_cx", cell("x") + F.col("_o.i")).withColumn("_cy", cell("y") + F.col("_o.j"))
@@ -95,9 +95,9 @@ def hotspots(modules: DataFrame, k: int) -> DataFrame:
 
 
 def rank_for_gap(repos: DataFrame, gaps: DataFrame, k: int) -> DataFrame:
-    """(gap, repo, relevance, rank): the k repositories whose words share most with each gap's. repos: (repo, words);
-    gaps: (gap, words)."""
-    r = repos.select("repo", F.explode(F.array_distinct("words")).alias("w"))
+    """(gap, repo, relevance, rank): the k repositories whose words share most with each gap's. repos: (repo, words), in
+    any number of rows a repository; gaps: (gap, words)."""
+    r = repos.select("repo", F.explode(F.array_distinct("words")).alias("w")).distinct()
     g = gaps.select("gap", F.explode(F.array_distinct("words")).alias("w"), F.size(F.array_distinct("words")).alias("_n"))
     score = g.join(r, "w").groupBy("gap", "repo").agg((F.count("*") / F.max("_n")).alias("relevance"))
     return top_k(score, "relevance", k, ["gap"], ["repo"])

@@ -83,6 +83,37 @@ def fit_linear(df: DataFrame, key: list[str], x: str, y: str, ridge: float = 1e-
     return gram(both, key, "_z").join(sizes, key).mapInPandas(solve, f"{kinds}, n long, weights array<double>, r2 double")
 
 
+def fit_lift(pairs: DataFrame, key: list[str], x: str, y: str, ridge: float = 1.0, most_rank: int = 4, bound: float = 0.9) -> DataFrame:
+    """(key, n, matrix row-major (outputs by inputs), rank, radius): ridge regression without bias of vectors y on vectors
+    x, cut to its leading singular directions and scaled down where the largest singular value is over the bound. Keys
+    with fewer than three pairs have none. Sums are aggregated; one small matrix a key is solved."""
+    both = pairs.withColumn("_z", F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>")))
+    sizes = both.groupBy(*key).agg(F.max(F.size(x)).alias("dx"))
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key)
+
+    def solve(frames):
+        for pdf in frames:
+            out = []
+            for _, r in pdf.iterrows():
+                d, p = len(r["sums"]), int(r["dx"])
+                g = np.asarray(r["products"]).reshape(d, d)
+                u, size, v = np.linalg.svd(np.linalg.solve(g[:p, :p] + ridge * np.eye(p), g[:p, p:]).T, full_matrices=False)
+                rank = max(1, min(most_rank, int((size > 1e-10 * size[0]).sum())))
+                size = size[:rank] * min(1.0, bound / max(size[0], 1e-15))
+                out.append((*[r[k] for k in key], int(r["n"]), ((u[:, :rank] * size) @ v[:rank]).ravel().tolist(), rank, float(size[0])))
+            yield pd.DataFrame(out, columns=[*key, "n", "matrix", "rank", "radius"])
+
+    return gram(both, key, "_z").where("n >= 3").join(sizes, key).mapInPandas(solve, f"{kinds}, n long, matrix array<double>, rank int, radius double")
+
+
+def apply_lift(df: DataFrame, lift: DataFrame, key: list[str], x: str) -> DataFrame:
+    """Adds `lifted`: the lift of a row's key applied to its vector; null where the key has none."""
+    d = F.size(x)
+    row = lambda i: F.aggregate(F.zip_with(F.slice("matrix", i * d + 1, d), F.col(x).cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
+    lifted = F.when(F.col("matrix").isNotNull(), F.transform(F.sequence(F.lit(0), (F.size("matrix") / d).cast("int") - 1), row))
+    return df.join(lift.select(*key, "matrix"), key, "left").withColumn("lifted", lifted).drop("matrix")
+
+
 def edmd_pairs(df: DataFrame, series: str, order: str, vector: str, degree: int = 2) -> DataFrame:
     """Adds `psi` and `psi_next`: polynomial bases (1, x, products of two) of a row and the one after it; x itself for
     degree 0."""

@@ -87,11 +87,11 @@ def e15_spectral_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.spectral_robustness(x, "user_id", "ts", "x", 4)
 
 
-@query("""WITH e AS (SELECT doc_id AS ord, source AS paper_id, lang AS domain, regexp_replace(regexp_extract(text, '^(\\S+\\s+\\S+)', 1), '\\s+', '', 'g') AS c FROM documents) SELECT c AS canonical, count(DISTINCT domain) AS n_domains, count(DISTINCT paper_id) AS n_papers, min(ord) AS first FROM e GROUP BY 1""")
+@query("""WITH e AS (SELECT doc_id AS ord, source AS paper_id, lang AS domain, md5(regexp_replace(text, '\\s+', '', 'g')) AS c FROM documents) SELECT c AS canonical, count(DISTINCT domain) AS n_domains, count(DISTINCT paper_id) AS n_papers, min(ord) AS first FROM e GROUP BY 1""")
 def d27_build_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' first two words stand in for equations."""
-    e = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("paper_id"), F.col("lang").alias("domain"), F.regexp_extract("text", r"^(\S+\s+\S+)", 1).alias("latex"))
-    return relations.build_library(e).select("canonical", F.size("domains").cast("long").alias("n_domains"), F.size("papers").cast("long").alias("n_papers"), "first")
+    """Whole documents stand in for equations; the library's entries are told by their digests."""
+    e = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("paper_id"), F.col("lang").alias("domain"), F.col("text").alias("latex"))
+    return relations.build_library(e).select(F.md5("canonical").alias("canonical"), F.size("domains").cast("long").alias("n_domains"), F.size("papers").cast("long").alias("n_papers"), "first")
 
 
 @query(f"WITH {_DIMS} SELECT lang AS domain, count(DISTINCT dim) AS n FROM dims GROUP BY 1")

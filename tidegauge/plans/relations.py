@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import graph, joins, relations
@@ -96,39 +96,50 @@ def b09_classify_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.classify_pattern(table(spark, sf_dir, "events").withColumn("x", F.col("value") / 500), "user_id", "x", "event_type", F.col("value") > 1).select("user_id", "kind")
 
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey % 60 AS src, l_partkey % 60 AS dst FROM lineitem WHERE l_quantity > 48 AND l_suppkey % 60 <> l_partkey % 60)"
+_LINKS = "w AS (SELECT -1 - l_suppkey AS a, l_partkey AS b, min(l_quantity)::DOUBLE AS cost FROM lineitem GROUP BY ALL), e AS (SELECT a AS src, b AS dst, cost FROM w UNION ALL SELECT b, a, cost FROM w)"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 48")
-    return li.select((F.col("l_suppkey") % 60).alias("src"), (F.col("l_partkey") % 60).alias("dst")).where("src <> dst").distinct()
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers (below zero) and parts of all line items, both ways; the smallest quantity is the cost."""
+    w = table(spark, sf_dir, "lineitem").groupBy((-1 - F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b")).agg(F.min("l_quantity").cast("double").alias("cost"))
+    return w.select(F.col("a").alias("src"), F.col("b").alias("dst"), "cost").union(w.select("b", "a", "cost"))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, b AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM b JOIN e ON src = node WHERE hops < 8) SELECT node, min(hops)::INT AS hops FROM b GROUP BY 1")
+_NEXT = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE src <> dst)"
+
+
+def _next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and those that follow them in an order."""
+    by_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(by_order).alias("dst"))
+    return li.where("src <> dst").distinct()
+
+
+@query(f"WITH RECURSIVE {_LINKS}, b(node, hops) USING KEY (node) AS (SELECT -1::BIGINT, 0 UNION SELECT dst, min(b.hops) + 1 FROM b JOIN e ON src = b.node LEFT JOIN recurring.b r ON r.node = dst WHERE r.node IS NULL GROUP BY dst) SELECT node, hops FROM b")
 def i02_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bfs(_edges(spark, sf_dir), 1)
+    """Hops from supplier 0 to all suppliers and parts."""
+    return graph.bfs(_links(spark, sf_dir), -1)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, w AS (SELECT src, dst, 1 + (src * 7 + dst * 3) % 10 AS c FROM e), b AS (SELECT 1::BIGINT AS node, 0.0::DOUBLE AS d, 0 AS k UNION ALL SELECT dst, min(d + c), k + 1 FROM b JOIN w ON src = node WHERE k < 10 GROUP BY dst, k) SELECT node, min(d) AS distance FROM b GROUP BY 1".replace("UNION ALL SELECT dst, min(d + c), k + 1 FROM b JOIN w ON src = node WHERE k < 10 GROUP BY dst, k", "UNION SELECT dst, min(d + c), max(k) + 1 FROM b JOIN w ON src = node WHERE k < 10 GROUP BY dst"))
+@query(f"WITH RECURSIVE {_LINKS}, b(node, distance) USING KEY (node) AS (SELECT -1::BIGINT, 0::DOUBLE UNION SELECT dst, min(b.distance + cost) FROM b JOIN e ON src = b.node LEFT JOIN recurring.b r ON r.node = dst WHERE r.node IS NULL OR b.distance + cost < r.distance GROUP BY dst) SELECT node, distance FROM b")
 def i01_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir).withColumn("cost", 1 + (F.col("src") * 7 + F.col("dst") * 3) % 10)
-    return graph.shortest_path(e, 1).select("node", "distance")
+    return graph.shortest_path(_links(spark, sf_dir), -1).select("node", "distance")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
+@query()
 def i03_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(_edges(spark, sf_dir))
+    """Strongly connected parts; the closure that SQL would take has the square of the parts as rows."""
+    return graph.cycles(_next(spark, sf_dir))
 
 
-@query(f"WITH {_EDGES.replace('WHERE', 'WHERE l_suppkey % 60 < 6 AND')}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), l AS (SELECT node FROM n WHERE node % 6 < 5 AND node < 30), u AS (SELECT DISTINCT dst FROM e WHERE src NOT IN (SELECT node FROM l)) SELECT n.node, count(e.dst) AS out_degree FROM n LEFT JOIN e ON e.src = n.node WHERE n.node NOT IN (SELECT node FROM l) AND n.node NOT IN (SELECT dst FROM u) GROUP BY 1")
+@query(f"WITH {_NEXT}, n AS (SELECT p_partkey AS node, p_size <= 48 AS known FROM part), u AS (SELECT DISTINCT dst FROM e JOIN n ON src = node WHERE NOT known) SELECT n.node, count(e.dst) AS out_degree FROM n LEFT JOIN e ON e.src = n.node WHERE NOT known AND n.node NOT IN (SELECT dst FROM u) GROUP BY 1")
 def i05_ready_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir).where("src < 6")
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return graph.ready_concepts(nodes, e, nodes.where("node % 6 < 5 and node < 30"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_size")
+    return graph.ready_concepts(parts.select("node"), _next(spark, sf_dir), parts.where("p_size <= 48").select("node"))
 
 
-@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM e)) AS edges")
+@query(f"WITH {_LINKS} SELECT (SELECT count(*) FROM (SELECT a FROM w UNION SELECT b FROM w)) AS nodes, (SELECT count(*) FROM w) AS edges, round((SELECT count(DISTINCT a) FROM w) / (SELECT count(*) FROM (SELECT a FROM w UNION SELECT b FROM w)), 6) AS share")
 def d50_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("kind", F.lit("n"))
-    return relations.graph_summary(nodes, e, "kind", "n").select("nodes", "edges")
+    e = _links(spark, sf_dir)
+    nodes = e.select(F.col("src").alias("node")).distinct().withColumn("kind", F.when(F.col("node") < 0, "supplier").otherwise("part"))
+    return relations.graph_summary(nodes, e, "kind", "supplier").select("nodes", "edges", F.round("share", 6).alias("share"))

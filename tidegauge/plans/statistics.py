@@ -22,10 +22,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG = "long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
 
 
-@query(f"WITH {_LONG}, p AS (SELECT a.label, a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.i < 4 AND b.i < 4 GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, i::INT AS i, j::INT AS j, round(c + CASE WHEN n <= 4 AND i = j THEN 1e-6::DOUBLE ELSE 0 END, 6) AS cov FROM p JOIN n USING (label)")
+@query(f"WITH {_LONG}, p AS (SELECT a.label, a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM long a JOIN long b ON a.vec_id = b.vec_id GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, i::INT AS i, j::INT AS j, round(c + CASE WHEN n <= 64 AND i = j THEN 1e-6::DOUBLE ELSE 0 END, 6) AS cov FROM p JOIN n USING (label)")
 def d04_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = st.source_profile(vectors(spark, sf_dir).withColumn("v", F.slice("v", 1, 4)), "label", "v")
-    return prof.select("label", "n", F.posexplode("cov").alias("k", "c")).select("label", "n", F.floor(F.col("k") / 4).cast("int").alias("i"), (F.col("k") % 4).alias("j"), F.round("c", 6).alias("cov"))
+    prof = st.source_profile(vectors(spark, sf_dir), "label", "v").withColumn("d", F.sqrt(F.size("cov").cast("double")).cast("int"))
+    return prof.select("label", "n", "d", F.posexplode("cov").alias("k", "c")).select("label", "n", F.floor(F.col("k") / F.col("d")).cast("int").alias("i"), (F.col("k") % F.col("d")).alias("j"), F.round("c", 6).alias("cov"))
 
 
 @query()
@@ -41,6 +41,14 @@ def d06_fit_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.fit_linear(rows, ["label"], "x", "y").select("label", "n", "weights", "r2")
 
 
+@query()
+def d07_fit_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of each vector from its first half, by label, and its lift."""
+    half = F.floor(F.size("v") / 2).cast("int")
+    rows = vectors(spark, sf_dir).select("vec_id", "label", F.slice("v", F.lit(1), half).alias("x"), F.slice("v", half + 1, F.size("v") - half).alias("y"))
+    return st.apply_lift(rows, st.fit_lift(rows, ["label"], "x", "y"), ["label"], "x").select("vec_id", "label", "lifted")
+
+
 @query("""WITH p AS (SELECT user_id, value / 500 AS x, lead(value / 500) OVER (PARTITION BY user_id ORDER BY ts) AS y FROM events)
     SELECT user_id, count(*) AS m, round(avg(x), 6) AS g01, round(avg(x * x), 6) AS g11, round(avg(x * y), 6) AS a11 FROM p WHERE y IS NOT NULL GROUP BY 1""")
 def d09_edmd_sums(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,10 +216,11 @@ def h31_workflow_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("conv_id", "dim").agg(F.round(F.least(F.lit(1.0), F.sum("w")), 6).alias("weight"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, t, min(p) AS p FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM documents)) GROUP BY ALL),
-    d AS (SELECT DISTINCT doc_id, t, p, {_fold_sql('md5(t)', 4, 997)} AS dim FROM t WHERE p <= 50), o AS (SELECT doc_id, dim, count(*) AS owners FROM d GROUP BY ALL) SELECT doc_id, t AS token, round(sqrt(count(*) FILTER (owners = 1)), 6) AS salience FROM d JOIN o USING (doc_id, dim) GROUP BY ALL""")
+@query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS t FROM documents),
+    d AS (SELECT doc_id, t, {_fold_sql('md5(t)', 4, 997)} AS dim FROM t), o AS (SELECT doc_id, dim, count(*) AS owners FROM d GROUP BY ALL) SELECT doc_id, t AS token, round(sqrt(count(*) FILTER (owners = 1)), 6) AS salience FROM d JOIN o USING (doc_id, dim) GROUP BY ALL""")
 def h33_token_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("p", "t")).groupBy("doc_id", "t").agg(F.min("p").alias("p")).where("p < 50")
-    d = first.select("doc_id", F.col("t").alias("token"), tx.digest_mod(F.md5(F.col("t").cast("binary")), 32, 997).alias("dim"))
+    """Of all tokens of each document."""
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    d = tokens.withColumn("dim", tx.digest_mod(F.md5(F.col("token").cast("binary")), 32, 997))
     owners = d.groupBy("doc_id", "dim").agg(F.count("*").alias("owners"))
     return d.join(owners, ["doc_id", "dim"]).groupBy("doc_id", "token").agg(F.round(F.sqrt(F.count_if(F.col("owners") == 1).cast("double")), 6).alias("salience"))
