@@ -65,24 +65,34 @@ class CuckooFilter:
     def insert(self, a: np.ndarray, b: np.ndarray) -> None:
         """Raises OverflowError, before which the filter may have taken some keys, when it is too full."""
         t, rng = self.table, np.random.default_rng(len(a))
-        for mark, one, two in zip(*self._places(a, b), strict=True):
-            at = one
-            for place in (one, two):
-                free = np.flatnonzero(t[place] == 0)
+        mark, one, two = self._places(a, b)
+        for k in self._seated(mark, one, two):
+            x, at = mark[k], one[k]
+            for _ in range(500):
+                slot = rng.integers(4)
+                x, t[at, slot] = t[at, slot], x
+                at = int(np.uint64(at) ^ self._hop(np.array([x], np.uint16))[0])
+                free = np.flatnonzero(t[at] == 0)
                 if len(free):
-                    t[place, free[0]] = mark
+                    t[at, free[0]] = x
                     break
             else:
-                for _ in range(500):
-                    slot = rng.integers(4)
-                    mark, t[at, slot] = t[at, slot], mark
-                    at = int(np.uint64(at) ^ self._hop(np.array([mark], np.uint16))[0])
-                    free = np.flatnonzero(t[at] == 0)
-                    if len(free):
-                        t[at, free[0]] = mark
-                        break
-                else:
-                    raise OverflowError("the filter is full")
+                raise OverflowError("the filter is full")
+
+    def _seated(self, mark: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Puts keys into free slots of their first and then their second buckets; gives those for which none was left."""
+        t, left = self.table, np.arange(len(mark))
+        for place in (one, two):
+            order = left[np.argsort(place[left], kind="stable")]
+            bucket = place[order]
+            first = np.searchsorted(bucket, bucket, "left")
+            free = np.cumsum(t[bucket] == 0, axis=1)
+            nth = np.arange(len(bucket)) - first + 1  # a bucket's keys take its free slots in turn
+            fits = nth <= free[:, -1]
+            slot = (free >= nth[:, None]).argmax(1)
+            t[bucket[fits], slot[fits]] = mark[order[fits]]
+            left = order[~fits]
+        return left
 
     def delete(self, a: np.ndarray, b: np.ndarray) -> None:
         """Takes out keys that were inserted."""

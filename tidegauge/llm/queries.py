@@ -54,7 +54,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm import line_dedup
 
     docs = table(spark, sf_dir, "documents")
-    thinned = line_dedup.apply(line_dedup.build(docs, least_chars=40, with_filters=False), docs, least_docs=5)
+    thinned = line_dedup.apply(line_dedup.build(docs, least_chars=40), docs, least_docs=5)
     return thinned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
