@@ -15,6 +15,7 @@ table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import written
 
-SHARD_POINTS, DEGREE, EF, BLOCK_QUERIES = 8192, 16, 96, 256
+SHARD_POINTS, DEGREE, EF = 8192, 16, 96
+#: Queries that meet a copy of a shard's graph in one task, about as many bytes as the graph has, and of those at a time.
+BLOCK_QUERIES, AT_ONCE = 8192, 256
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -182,7 +185,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "
         if len(queries) and len(home):
             graph, v, ids = pickle.loads(home["graph"].iloc[0])  # noqa: S301  written by build
             q = _scaled(np.array(queries["v"].tolist()))
-            for own, x, found in zip(queries["vec_id"], q, graph.search(q, k + 1), strict=True):
+            hits = itertools.chain.from_iterable(graph.search(q[s : s + AT_ONCE], k + 1) for s in range(0, len(q), AT_ONCE))
+            for own, x, found in zip(queries["vec_id"], q, hits, strict=True):
                 near = v[found]
                 scores = (near * x).sum(1) / (np.sqrt((near * near).sum(1)) * np.sqrt((x * x).sum()))
                 one = sorted((-float(s), i) for s, p in zip(scores, found, strict=True) for i in ids[p] if i != own)
