@@ -152,3 +152,15 @@ def test_upsert(spark):
     mem = spark.createDataFrame([(1, 0.0, 0.0, 0.0, [1.0, 0.0], 0.1, 1)], schema)
     new = spark.createDataFrame([(2, 0.01, 0.0, 0.0, [1.0, 0.1], 0.5, 1), (3, 9.0, 0.0, 0.0, [1.0, 0.1], 0.5, 1)], schema)
     assert {(r.id, r.n_obs, r.improvement) for r in joins.merge_experience(mem, new).collect()} == {(1, 2, 0.5), (3, 1, 0.5)}
+
+
+def test_table_functions(spark):
+    from tidegauge.functions import tables
+
+    tables.register(spark)
+    spark.createDataFrame([(1, '<h1>Top <b>x</b></h1><a href="/a">a</a><a href="/b">b</a>', r"so \[ E = m c^2 \] and \[x\]")], "id int, html string, body string").createOrReplaceTempView("pages_in")
+    rows = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert rows("SELECT id, href FROM pages_in, LATERAL page_links(html)") == [(1, "/a"), (1, "/b")]
+    assert rows("SELECT position, level, heading FROM pages_in, LATERAL page_headings(html)") == [(0, 1, "Top  x")]
+    assert rows("SELECT equation FROM pages_in, LATERAL display_equations(body)") == [("E = m c^2",)]
+    assert rows("SELECT position, token FROM text_tokens(' A  b ')") == [(0, "a"), (1, "b")]

@@ -81,8 +81,10 @@ def spectrum_pairs(df: DataFrame, key: str, spectrum: str, bucket: str | None =
 
 def inject_sentiment(tickers: DataFrame, scores: DataFrame) -> DataFrame:
     """Known tickers with their sentiment smoothed by each article in turn: 0.7 old + 0.3 new, within -1 and 1. tickers:
-    (symbol, sentiment); scores: (symbol, ord, score)."""
-    folded = scores.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ord", "score"))).alias("_s"))
+    (symbol, sentiment); scores: (symbol, ord, score). Whatever came 200 articles before weighs under 1e-30, so a symbol's
+    last 200 are folded, however many it has."""
+    last = scores.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ord")))).where("_r <= 200")
+    folded = last.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ord", "score"))).alias("_s"))
     value = F.aggregate(F.coalesce("_s", F.array()), F.col("sentiment").cast("double"), lambda acc, s: market.clip(0.7 * acc + 0.3 * s["score"], -1.0, 1.0))
     return tickers.join(folded, "symbol", "left").withColumn("sentiment", value).drop("_s")
 

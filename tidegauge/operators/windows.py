@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ def sma(df: DataFrame, key: list[str], order: str, value: str, n: int) -> DataFr
     return df.withColumn("_n", F.row_number().over(w)).withColumn("sma", F.avg(value).over(w.rowsBetween(-(n - 1), 0))).where(F.col("_n") >= n).drop("_n")
 
 
-def linear_recurrence(df: DataFrame, key: list[str], order: str, value: str, decay: float, gain: float, out: str, chunk: int = 4096) -> DataFrame:
+def linear_recurrence(df: DataFrame, key: list[str], order: str, value: str, decay: float, gain: float, out: str, chunk: int = 256) -> DataFrame:
     """Adds y with y_1 = x_1 and y_t = decay * y_(t-1) + gain * x_t. A series is folded in chunks that run in parallel;
-    as the recurrence is affine, a chunk's start only enters its values by a power of `decay`."""
+    as the recurrence is affine, a chunk's start only enters its values by a power of `decay`. For a decay below 1, chunks
+    so far back that this power is under 1e-300 add nothing, so that a chunk looks at a bounded number before it."""
     rows = df.withColumn("_i", F.row_number().over(_w(key, order)) - 1).withColumn("_c", F.floor(F.col("_i") / chunk).cast("long"))
     packed = rows.groupBy(*key, "_c").agg(F.sort_array(F.collect_list(F.struct("_i", F.struct(*df.columns).alias("row")))).alias("_rows"))
     x = lambda r: r["row"][value].cast("double")
@@ -29,7 +32,8 @@ def linear_recurrence(df: DataFrame, key: list[str], order: str, value: str, dec
         lambda acc, r: F.concat(acc, F.array(F.when(r["_i"] == 0, x(r)).otherwise(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * decay + x(r) * gain))),
     )
     packed = packed.withColumn("_local", local).withColumn("_size", F.size("_rows")).withColumn("_last", F.element_at("_local", -1))
-    before = F.sort_array(F.collect_list(F.struct("_c", "_size", "_last")).over(Window.partitionBy(*key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)))
+    back = 1 + math.ceil(690 / (-math.log(decay) * chunk)) if 0 < decay < 1 else 0
+    before = F.sort_array(F.collect_list(F.struct("_c", "_size", "_last")).over(Window.partitionBy(*key).orderBy("_c").rowsBetween(-back if back else Window.unboundedPreceding, -1)))
     carry = F.aggregate(before, F.lit(0.0), lambda acc, c: acc * F.pow(F.lit(decay), c["_size"]) + c["_last"])
     done = packed.withColumn("_carry", carry).select(*key, "_carry", F.posexplode(F.arrays_zip("_rows", "_local")).alias("_k", "_z"))
     return done.select("_z._rows.row.*", (F.col("_z._local") + F.col("_carry") * F.pow(F.lit(decay), F.col("_k") + 1)).alias(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions import embedding, market, spectral
+from tidegauge.functions import embedding, market, spectral, tables
 from tidegauge.functions import text as tx
 from tidegauge.operators import calendar as cal_ops
 from tidegauge.operators import joins, learning, regimes, relations
@@ -308,3 +308,10 @@ def d08_calendar_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = daily.select("d", F.array("total", "n").alias("y")).join(daily.select(F.date_add("d", 1).alias("d"), F.array("total", "n").alias("x")), "d")
     channels = cal_ops.phases(pairs.select("d")).select("d", F.posexplode(F.arrays_zip("theta", "amplitudes")).alias("channel", "p")).select("d", "channel", F.col("p.theta").alias("theta"), F.col("p.amplitudes").alias("amplitude"))
     return st.fit_calendar_lift(pairs, channels, "d", "x", "y").select("channel", "n", "weights", "r2")
+
+
+@query("""SELECT page_id, 'link' AS kind, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value FROM pages UNION ALL SELECT page_id, 'token', unnest(list_filter(string_split_regex(lower(trim(url)), '\s+'), lambda t: t <> '')) FROM pages""")
+def k06_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages and tokens of their URLs by SQL table functions."""
+    tables.register(spark)
+    return spark.sql("SELECT p.page_id, 'link' AS kind, l.href AS value FROM {pages} p, LATERAL page_links(p.html) l UNION ALL SELECT p.page_id, 'token', t.token FROM {pages} p, LATERAL text_tokens(p.url) t", pages=table(spark, sf_dir, "pages"))

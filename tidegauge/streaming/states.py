@@ -39,6 +39,23 @@ def _stateful(stream: DataFrame, key: str, fn: Callable, out: str, state: str) -
     return stream.groupBy(key).applyInPandasWithState(fn, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def _in_order(df: DataFrame, key: str, order: str, fn: Callable, out: str) -> DataFrame:
+    """`fn(key, rows, state or None)` gives rows and the state for the key's next rows; series are sorted by Spark and read
+    in batches, so that none is held whole."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = (), None
+        for pdf in frames:
+            for name, rows in pdf.groupby(key, sort=False, dropna=False):
+                name = None if pd.isna(name) else name
+                if name != now:
+                    now, state = name, None
+                told, state = fn(name, rows, state)
+                yield told
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, out)
+
+
 def tick_state(stream: DataFrame, key: str = "symbol", order: str = "ts", price: str = "price") -> DataFrame:
     """Per tick: the last price and its momentum over the tick before; a zero price changes nothing. A batch input gives
     the same rows by windows."""
@@ -172,8 +189,12 @@ def regime_events(df: DataFrame, key: str, order: str, vector: str, **options) -
         told = [tracker.step(np.asarray(x, float)) for x in rows[vector]]
         return pd.DataFrame({key: name, order: rows[order], "regime": [t[0] for t in told], "event": [t[1] for t in told]})
 
+    def onward(name, rows: pd.DataFrame, tracker: RegimeTracker | None) -> tuple[pd.DataFrame, RegimeTracker]:
+        tracker = tracker or RegimeTracker(**options)
+        return walk(name, rows, tracker), tracker
+
     if not df.isStreaming:
-        return df.groupBy(key).applyInPandas(lambda k, rows: walk(k[0], rows, RegimeTracker(**options)), out)
+        return _in_order(df.select(key, order, vector), key, order, onward, out)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = RegimeTracker(**options)
@@ -210,8 +231,12 @@ def duffing_filter(df: DataFrame, key: str, order: str, value: str, noise: float
         frame.insert(0, key, name)
         return frame, theta, cov, last
 
+    def onward(name, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        frame, *after = walk(name, rows, *(state or (np.zeros(3), np.eye(3), [])))
+        return frame, tuple(after)
+
     if not df.isStreaming:
-        return df.groupBy(key).applyInPandas(lambda k, rows: walk(k[0], rows, np.zeros(3), np.eye(3), [])[0], out)
+        return _in_order(df.select(key, order, value), key, order, onward, out)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         theta, cov, last = (np.array(state.get[0]), np.array(state.get[1]).reshape(3, 3), list(state.get[2])) if state.exists else (np.zeros(3), np.eye(3), [])
