@@ -310,7 +310,7 @@ def d08_calendar_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.fit_calendar_lift(pairs, channels, "d", "x", "y").select("channel", "n", "weights", "r2")
 
 
-@query("""SELECT page_id, 'link' AS kind, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value FROM pages UNION ALL SELECT page_id, 'token', unnest(list_filter(string_split_regex(lower(trim(url)), '\s+'), lambda t: t <> '')) FROM pages""")
+@query("""SELECT page_id, 'link' AS kind, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value FROM pages UNION ALL SELECT page_id, 'token', unnest(list_filter(string_split_regex(lower(trim(url)), '\\s+'), lambda t: t <> '')) FROM pages""")
 def k06_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages and tokens of their URLs by SQL table functions."""
     tables.register(spark)
