@@ -156,3 +156,29 @@ def test_lift(spark):
     assert [(r.k, r.n, r["rank"]) for r in got] == [("a", 40, 2)] and np.allclose(np.reshape(got[0].matrix, (3, 5)), want) and got[0].radius <= 0.9 + 1e-9
     lifted = st.apply_lift(df, st.fit_lift(df, ["k"], "x", "y", 0.5, 2, 0.9), ["k"], "x").collect()
     assert all(r.lifted is None if r.k == "few" else np.allclose(r.lifted, want @ r.x) for r in lifted)
+
+
+def test_blocks_hold_every_row_once(spark):
+    from tidegauge.operators.blocks import in_blocks
+
+    rows = spark.range(50).withColumnRenamed("id", "q")
+    for most in (3, 50, 1000):
+        out = in_blocks(rows, "q", lambda b: b.join(spark.range(2), F.lit(True)), most)
+        assert sorted(tuple(r) for r in out.collect()) == [(q, k) for q in range(50) for k in range(2)]
+    assert in_blocks(rows.limit(0), "q", lambda b: b).count() == 0
+
+
+def test_series_in_batches_keep_their_state(spark):
+    from tidegauge.streaming import states
+
+    rng = np.random.default_rng(5)
+    rows = [(k, i, [float(x) for x in rng.normal(size=2) + (3 if i % 60 < 30 else -3)]) for k in ("a", "b", None) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, i long, v array<double>").withColumn("ts", F.timestamp_seconds("i"))
+    whole = states.regime_events(df, "k", "ts", "v").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        parts = states.regime_events(df, "k", "ts", "v").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    named = lambda found: sorted((r.k or "", r.ts, r.regime, r.event) for r in found)
+    assert named(parts) == named(whole) and len(whole) == len(rows) and {r.event for r in whole} >= {"enter", "switch"}
