@@ -182,3 +182,20 @@ def test_series_in_batches_keep_their_state(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     named = lambda found: sorted((r.k or "", r.ts, r.regime, r.event) for r in found)
     assert named(parts) == named(whole) and len(whole) == len(rows) and {r.event for r in whole} >= {"enter", "switch"}
+
+
+def test_redundant_vectors_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 5))
+    rows = [(i, (base[i % 12] * rng.choice([-2.0, 1.0, 3.0]) + rng.normal(size=5) * rng.choice([0.005, 0.05, 0.3])).tolist()) for i in range(80)] + [(90, [0.0] * 5), (91, [0.0] * 5)]
+    v = {i: np.array(x) / np.linalg.norm(x) for i, x in rows if any(x)}
+    for eps in (0.02, 0.2):
+        name = {i: i for i, _ in rows}
+        for _ in rows:
+            for i, x in v.items():
+                for j, y in v.items():
+                    if np.sqrt(max(0.0, 1 - (x @ y) ** 2)) < eps and name[j] < name[i]:
+                        name[i] = name[j]
+        got = graph.merge_redundant(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", eps).collect()
+        sizes = {c: list(name.values()).count(c) for c in set(name.values()) if c < 90}
+        assert {r.component: r.members for r in got if r.component < 90} == sizes and len(sizes) < 80

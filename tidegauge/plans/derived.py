@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidegauge.functions import embedding, market, spectral, tables
 from tidegauge.functions import text as tx
 from tidegauge.operators import calendar as cal_ops
-from tidegauge.operators import joins, learning, regimes, relations
+from tidegauge.operators import graph, joins, learning, regimes, relations
 from tidegauge.operators import statistics as st
+from tidegauge.plans.calendar import _DAYS, _EVENTS, days
 from tidegauge.plans.registry import query, table
 from tidegauge.plans.statistics import r6, vectors
 from tidegauge.plans.text import _CANON
@@ -315,3 +316,27 @@ def k06_table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages and tokens of their URLs by SQL table functions."""
     tables.register(spark)
     return spark.sql("SELECT p.page_id, 'link' AS kind, l.href AS value FROM {pages} p, LATERAL page_links(p.html) l UNION ALL SELECT p.page_id, 'token', t.token FROM {pages} p, LATERAL text_tokens(p.url) t", pages=table(spark, sf_dir, "pages"))
+
+
+@query(f"WITH {_DAYS}, {_EVENTS} SELECT d, c::INT AS channel, round(amp * exp(2 * (cos(theta) - 1)), 6) AS weight FROM phased")
+def h26_von_mises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the calendar channels on every order date."""
+    p = cal_ops.phases(days(spark, sf_dir)).select("d", F.posexplode(F.arrays_zip("theta", "amplitudes")).alias("channel", "p"))
+    return p.select("d", "channel", F.round(spectral.von_mises(F.col("p.amplitudes"), F.col("p.theta"), 2.0), 6).alias("weight"))
+
+
+@query()
+def i04_merge_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearly parallel vectors as one."""
+    return graph.merge_redundant(vectors(spark, sf_dir), "vec_id", "v", 0.05)
+
+
+@query("""WITH u AS (SELECT user_id, event_id // 100 AS g, CASE WHEN event_type IN ('click', 'view') THEN 'bid' ELSE 'offer' END AS side, value FROM events), t AS (SELECT user_id, g, coalesce(sum(value) FILTER (side = 'bid'), 0) AS bid, coalesce(sum(value) FILTER (side = 'offer'), 0) AS ask FROM u GROUP BY ALL)
+    SELECT user_id::VARCHAR AS product_id, count(*) AS n, round(avg((bid - ask) / (bid + ask)), 6) AS imbalance FROM t WHERE bid + ask > 0 GROUP BY 1""")
+def j02_book_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as book messages in JSON, parsed and weighed."""
+    side = F.when(F.col("event_type").isin("click", "view"), "bid").otherwise("offer")
+    books = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 100)).agg(F.collect_list(F.struct(side.alias("side"), F.col("value").cast("string").alias("qty"))).alias("updates"))
+    lines = books.select(F.to_json(F.struct(F.lit("l2_data").alias("channel"), F.array(F.struct(F.col("user_id").cast("string").alias("product_id"), "updates")).alias("events"))).alias("value"))
+    told = states.book_imbalance(states.parse_l2(lines))
+    return told.groupBy("product_id").agg(F.count("*").alias("n"), F.round(F.avg("imbalance"), 6).alias("imbalance"))
