@@ -52,7 +52,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def texts_in_pieces(batch: pa.RecordBatch, column: str, most_chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def texts_in_pieces(batch: pa.RecordBatch, column: str, most_chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of runs of rows of about `most_chars` characters, so that a batch of very long texts never
     has all its working arrays in memory at once. Null counts as empty."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes hashed at a time; a single longer text is a run of its own, hashed in steps of this size.
-STEP = 2_000_000
+STEP = 500_000
 #: A fixed odd multiplier of a word's bytes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C17
 BACK = pow(BASE, -1, 2**64)
