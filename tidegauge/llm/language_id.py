@@ -79,17 +79,18 @@ def places(h: np.ndarray, bits: int = BITS, probes: int = PROBES) -> list[np.nda
 @dataclass
 class Filter:
     languages: list[str]
-    masks: np.ndarray  # uint64, a row of 2**bits for each 64 languages
+    masks: np.ndarray  # a row of 2**bits for each 64 languages, of the smallest unsigned type that holds a bit for each
     false: np.ndarray  # each language's share of absent n-grams that seem present
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each text, corrected number of them in each language)."""
         h, owner = grams(texts)
-        found = np.full((len(self.masks), len(h)), 2**64 - 1, np.uint64)
+        kind = self.masks.dtype.type
+        found = np.full((len(self.masks), len(h)), np.iinfo(kind).max, kind)
         for at in places(h, self.masks.shape[1].bit_length() - 1):
             found &= self.masks[:, at]
         total = np.bincount(owner, minlength=len(texts))
-        hits = np.stack([np.bincount(owner, (found[k // PLANE] >> np.uint64(k % PLANE)) & np.uint64(1), minlength=len(texts)) for k in range(len(self.languages))], 1)
+        hits = np.stack([np.bincount(owner, (found[k // PLANE] >> kind(k % PLANE)) & kind(1), minlength=len(texts)) for k in range(len(self.languages))], 1)
         return total, np.maximum(0.0, (hits - total[:, None] * self.false) / (1 - self.false))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -143,19 +144,20 @@ def train(docs: DataFrame, trainable: Callable[[Column], Column], id_col: str =
     table = kept.toArrow()
     h = table.column("gram").to_numpy().view(np.uint64)
     bits, planes, shares = max(BITS, (4 * PROBES * len(h)).bit_length()), -(-len(languages) // PLANE), []
-    masks, langs = np.zeros((planes, 1 << bits), np.uint64), table.column("langs").to_pylist()
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), PLANE) <= np.iinfo(t).bits)
+    masks, langs = np.zeros((planes, 1 << bits), kind), table.column("langs").to_pylist()
     for plane in range(planes):
-        mask = np.array([sum(1 << (k % PLANE) for k in x if k // PLANE == plane) for x in langs], np.uint64)
+        mask = np.array([sum(1 << (k % PLANE) for k in x if k // PLANE == plane) for x in langs], kind)
         for at in places(h, bits):
             np.bitwise_or.at(masks[plane], at, mask)
     for k in range(len(languages)):
-        shares.append(float(((masks[k // PLANE] >> np.uint64(k % PLANE)) & np.uint64(1)).mean()) ** PROBES)
+        shares.append(float(((masks[k // PLANE] >> kind(k % PLANE)) & kind(1)).mean()) ** PROBES)
     return Filter(languages, masks, np.minimum(np.array(shares), 0.99))
 
 
 def predict(docs: DataFrame, model: Filter | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of every row with lang_pred and score; the filter is 32 MB for
-    each 64 languages, and more from some 350,000 n-grams on."""
+    """The columns `keep` of every row with lang_pred and score; the filter is 4 MB for
+    up to 8 languages, 32 MB for each 64, and more from some 350,000 n-grams on."""
     keep = keep or ["doc_id"]
     chosen = docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
     row = chosen.schema["row"].dataType.simpleString()
