@@ -8,27 +8,20 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _held(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+from tidegauge.operators.store import checkpointed
 
 
 def shortest_path(edges: DataFrame, source: int, cost: str = "cost") -> DataFrame:
     """(node, distance, parent) of all nodes reachable from a source, by relaxing edges until nothing changes. edges:
     (src, dst, cost), both directions where meant. A cycle of negative cost raises an error."""
     spark = edges.sparkSession
-    e = _held(edges.select("src", "dst", F.col(cost).cast("double").alias("_c")))
-    best = _held(spark.createDataFrame([(source, 0.0, None)], "node long, distance double, parent long"))
+    e = checkpointed(edges.select("src", "dst", F.col(cost).cast("double").alias("_c")))
+    best = checkpointed(spark.createDataFrame([(source, 0.0, None)], "node long, distance double, parent long"))
     front, most_rounds = best, None
     for k in itertools.count(1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("_c")).alias("distance"), F.col("src").alias("parent"))
         both = best.withColumn("_new", F.lit(0)).unionByName(step.withColumn("_new", F.lit(1)))
-        merged = _held(both.groupBy("node").agg(F.min(F.struct("distance", "_new", "parent")).alias("m")).select("node", "m.*"))
+        merged = checkpointed(both.groupBy("node").agg(F.min(F.struct("distance", "_new", "parent")).alias("m")).select("node", "m.*"))
         front = merged.where("_new = 1").drop("_new")
         best = merged.select("node", "distance", "parent")
         if front.isEmpty():
@@ -52,26 +45,26 @@ def path_cost(path: DataFrame, edges: DataFrame, cost: str = "cost") -> DataFram
 def bfs(edges: DataFrame, source: int) -> DataFrame:
     """(node, hops) of all nodes reachable from a source; each round only its new nodes move on."""
     spark = edges.sparkSession
-    e = _held(edges.select("src", "dst").distinct())
-    seen = front = _held(spark.createDataFrame([(source, 0)], "node long, hops int"))
+    e = checkpointed(edges.select("src", "dst").distinct())
+    seen = front = checkpointed(spark.createDataFrame([(source, 0)], "node long, hops int"))
     for k in itertools.count(1):
         reached = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = _held(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
+        front = checkpointed(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
-        seen = _held(seen.unionByName(front))
+        seen = checkpointed(seen.unionByName(front))
     return seen
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) by passing on the smallest label, and jumping along labels, until nothing changes."""
-    e = _held(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    label = _held(e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("component")).withColumnRenamed("src", "node"))
+    e = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    label = checkpointed(e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("component")).withColumnRenamed("src", "node"))
     while True:
         near = e.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("_m"))
         moved = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", "_m").alias("component"), F.col("component").alias("_was"))
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("_j"))
-        new = _held(moved.join(jump, "component", "left").select("node", F.least("component", "_j").alias("component"), "_was"))
+        new = checkpointed(moved.join(jump, "component", "left").select("node", F.least("component", "_j").alias("component"), "_was"))
         label = new.select("node", "component")
         if new.where("component < _was").isEmpty():
             break
@@ -80,11 +73,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _least_reaching(e: DataFrame) -> DataFrame:
     """(node, label): the smallest node that reaches each node of `e` (src, dst), itself included."""
-    label = _held(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("label", F.col("node")))
+    label = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("label", F.col("node")))
     front = label
     while True:
         offered = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("_l"))
-        moved = _held(label.join(offered, "node", "left").select("node", F.least("label", "_l").alias("label"), (F.col("_l") < F.col("label")).alias("_moved")))
+        moved = checkpointed(label.join(offered, "node", "left").select("node", F.least("label", "_l").alias("label"), (F.col("_l") < F.col("label")).alias("_moved")))
         label, front = moved.select("node", "label"), moved.where("_moved").select("node", "label")
         if front.isEmpty():
             return label
@@ -97,12 +90,12 @@ def cycles(edges: DataFrame) -> DataFrame:
     reaches it; those that reach that node back, over nodes which learned the same, form its set. Found sets are taken
     off too, until no edge is left. No step holds more rows than there are edges.
     """
-    e = _held(edges.select("src", "dst").where("src != dst").distinct())
+    e = checkpointed(edges.select("src", "dst").where("src != dst").distinct())
     found = e.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     left = e.count()
     while left:
         while True:
-            e = _held(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            e = checkpointed(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             was, left = left, e.count()
             if was == left:
                 break
@@ -110,18 +103,18 @@ def cycles(edges: DataFrame) -> DataFrame:
             break
         label = _least_reaching(e)
         one, two = label.select(F.col("node").alias("src"), "label"), label.select(F.col("node").alias("dst"), F.col("label").alias("_l"))
-        back = _held(e.join(one, "src").join(two, "dst").where("label = _l").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label"))
-        closed = front = _held(label.where("node = label"))
+        back = checkpointed(e.join(one, "src").join(two, "dst").where("label = _l").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label"))
+        closed = front = checkpointed(label.where("node = label"))
         while True:
             more = front.join(back.select("src", "dst"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label").distinct()
-            front = _held(more.join(closed, "node", "left_anti"))
+            front = checkpointed(more.join(closed, "node", "left_anti"))
             if front.isEmpty():
                 break
-            closed = _held(closed.unionByName(front))
+            closed = checkpointed(closed.unionByName(front))
         big = closed.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1").select("label")
         found = found.union(closed.join(big, "label", "left_semi").select("node", F.col("label").alias("component")))
         gone = closed.select("node")
-        e = _held(e.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+        e = checkpointed(e.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
         left = e.count()
     return found
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.ordering import running_sums
+
 
 def top_k(df: DataFrame, score: str, k: int, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """The k rows with the largest score, ranked; within groups where given. The limit is taken before the shuffle too."""
@@ -44,15 +46,12 @@ def universal_functions(library: DataFrame, k: int) -> DataFrame:
     return library.where(F.size("domains") >= k)
 
 
-def assign_dims(library: DataFrame, key: str, foundational: Column, width: Column, buckets: int = 64) -> DataFrame:
-    """First slot of each entry in order of priority (foundational first, then more domains, then key). The running sum
-    is taken in two levels, so that no task sorts all entries."""
+def assign_dims(library: DataFrame, key: str, foundational: Column, width: Column) -> DataFrame:
+    """First slot of each entry in order of priority (foundational first, then more domains, then key). Ranges of entries
+    are written once and summed from there, so that no task sorts all entries."""
     rank = F.struct(F.when(foundational, 0).otherwise(1).alias("f"), (-F.size("domains")).alias("n"), F.col(key).alias("k"))
-    rows = library.withColumn("_w", width).withColumn("_rank", rank).repartitionByRange(buckets, "_rank").withColumn("_p", F.spark_partition_id())
-    local = rows.withColumn("_s", F.sum("_w").over(Window.partitionBy("_p").orderBy("_rank")) - F.col("_w"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_p").agg(F.sum("_w").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    return local.join(starts, "_p").withColumn("first_dim", F.col("_before") + F.col("_s")).drop("_w", "_rank", "_p", "_s", "_before")
+    rows = running_sums(library.withColumn("_width", width).withColumn("_rank", rank), [], ["_rank"], {"_width": "_end"})
+    return rows.withColumn("first_dim", F.col("_end") - F.col("_width")).drop("_width", "_rank", "_end")
 
 
 def merge_discoveries(df: DataFrame, centers: DataFrame, near: float = 0.1) -> DataFrame:
