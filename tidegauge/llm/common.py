@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.operators.store import checkpoint_dir, checkpointed, written
+
+__all__ = ["checkpoint_dir", "checkpointed", "held_out", "map_batches", "table", "texts_in_pieces", "written"]
+
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -23,31 +25,6 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one is set here only where none is, as in tests."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df` as a Parquet table in the shared checkpoint folder: lineage ends there, and lost executors
-    cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

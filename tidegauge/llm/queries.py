@@ -100,11 +100,34 @@ def op10_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(messages, calls.unionByName(asked), results.unionByName(given), {"answer": {"question": "string", "turn": "integer"}})
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op3_decontamination, op4_extendible_shards, op5_simhash_groups, op6_line_dedup, op7_language_id, op8_nearest_neighbours, op9_suffix_dedup, op10_tool_call_links, extendible_shards_fine)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import merkle
+
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import mixing
+
+    mixed = mixing.documents_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), weights=[1, 2, 3])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm import prefix_trie
+
+    return prefix_trie.conversations_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_piece_round_trip, op3_decontamination, op4_extendible_shards, op5_simhash_groups, op6_line_dedup, op7_language_id, op8_nearest_neighbours, op9_suffix_dedup, op10_tool_call_links, op11_merkle_manifest, op12_source_mix, op13_prefix_trie, extendible_shards_fine)}
 #: The white space of the contracts, for DuckDB: \\x20 and \\x09 to \\x0D.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of a column's decimal text: a step for each bit, with a byte of the text put in at each eighth.
+_CRC = """(xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                   lambda v, b: xor(xor(v, b) >> 1, 3988292384 * (xor(v, b) & 1)))))"""
+
 _SHARDS = """
         WITH r AS (
             SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes,
@@ -124,6 +147,107 @@ _SHARDS = """
 """
 
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE heads AS (
+            SELECT doc_id, source AS tree, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents
+        ), hashed AS (
+            SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN {_CRC.format("doc_id")} % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || {_LOWER.format("text")}, '-')) END AS changed FROM heads
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS number, count(*) OVER (PARTITION BY tree) AS n FROM hashed
+        ), lower AS (
+            SELECT tree, 0 AS level, n, number, leaf AS h FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, (n + 15) // 16, number // 16, sha256(string_agg(h, '' ORDER BY number)) FROM lower WHERE n > 1 GROUP BY tree, level, n, number // 16
+        ), subroots AS (
+            SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS number, count(*) OVER () AS n FROM lower WHERE n = 1
+        ), upper AS (
+            SELECT 0 AS level, n, number, subroot AS h FROM subroots
+            UNION ALL
+            SELECT level + 1, (n + 15) // 16, number // 16, sha256(string_agg(h, '' ORDER BY number)) FROM upper WHERE n > 1 GROUP BY level, n, number // 16
+        ), nodes AS (
+            SELECT false AS above, * FROM lower UNION ALL SELECT true, NULL, * FROM upper
+        ), sided AS (
+            SELECT a.above, a.tree, a.level, a.number, coalesce(string_agg(b.h, '' ORDER BY b.number) FILTER (b.number < a.number), '') AS lhs, coalesce(string_agg(b.h, '' ORDER BY b.number) FILTER (b.number > a.number), '') AS rhs
+            FROM nodes a JOIN nodes b ON a.above = b.above AND a.tree IS NOT DISTINCT FROM b.tree AND a.level = b.level AND a.number // 16 = b.number // 16 GROUP BY ALL
+        ), walk AS (
+            SELECT doc_id, leaf, tree, false AS above, 0 AS level, number, n, coalesce(changed, leaf) AS folded, '' AS proof FROM leaves
+            UNION ALL
+            SELECT w.doc_id, w.leaf, w.tree, w.n = 1 OR w.above, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.n = 1 THEN s.number ELSE w.number // 16 END, CASE WHEN w.n = 1 THEN s.n ELSE (w.n + 15) // 16 END,
+                   CASE WHEN w.n = 1 THEN w.folded ELSE sha256(d.lhs || w.folded || d.rhs) END, CASE WHEN w.n = 1 THEN w.proof ELSE w.proof || d.lhs || d.rhs END
+            FROM walk w JOIN subroots s ON s.tree IS NOT DISTINCT FROM w.tree
+            JOIN sided d ON d.above = w.above AND d.level = w.level AND d.number = w.number AND (w.above OR d.tree IS NOT DISTINCT FROM w.tree)
+            WHERE NOT (w.above AND w.n = 1)
+        ), top AS (
+            SELECT h AS root FROM upper WHERE n = 1
+        )
+        SELECT w.doc_id, w.leaf, s.subroot, t.root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = t.root AS verified
+        FROM walk w JOIN subroots s ON s.tree IS NOT DISTINCT FROM w.tree, top t WHERE w.above AND w.n = 1
+    """,
+    "op12_source_mix": f"""
+        WITH judged AS (
+            SELECT doc_id, avg(quality) AS mean FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), items AS (
+            SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, coalesce(0.5 + 1.5 * j.mean, 1.0) AS quality,
+                   (('0x' || substr(md5(md5(coalesce(d.doc_id::VARCHAR, '')) || ':' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+            FROM documents d LEFT JOIN judged j USING (doc_id)
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::HUGEINT AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM items GROUP BY source
+        ), seen AS (
+            SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights, coalesce(sum(cap) OVER before, 0) AS caps_before, coalesce(sum(weight) OVER before, 0) AS weights_before FROM sources
+            WINDOW before AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), filled AS (
+            SELECT *, cap * (weights - weights_before) < weight * (total - caps_before) AS filled FROM seen
+        ), rate AS (
+            SELECT max(total) - coalesce(sum(cap) FILTER (filled), 0) AS amount, max(weights) - coalesce(sum(weight) FILTER (filled), 0) AS rest FROM filled
+        ), aims AS (
+            SELECT source, source_size, CASE WHEN filled THEN cap::DOUBLE ELSE weight::DOUBLE * amount::DOUBLE / rest::DOUBLE END AS target FROM filled, rate
+        ), placed AS (
+            SELECT i.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN floor(a.target / a.source_size)::BIGINT ELSE 0 END AS epochs,
+                   sum(i.size) OVER w AS through, row_number() OVER w AS place
+            FROM items i JOIN aims a ON a.source IS NOT DISTINCT FROM i.source WINDOW w AS (PARTITION BY i.source ORDER BY -ln(i.u) / i.quality, i.u ROWS UNBOUNDED PRECEDING)
+        ), rests AS (
+            SELECT *, target - epochs * source_size AS rest FROM placed
+        ), gaps AS (
+            SELECT *, rest - coalesce(sum(size) FILTER (through <= rest) OVER (PARTITION BY source), 0) AS gap FROM rests
+        ), chosen AS (
+            SELECT source, min({{'miss': abs(gap - size), 'place': place}}) AS last FROM gaps WHERE rest > 0 AND through > rest AND abs(gap - size) < gap GROUP BY source
+        )
+        SELECT g.doc_id, g.size, g.source_size, g.target,
+               g.size * (g.epochs + (g.rest > 0 AND (g.through <= g.rest OR coalesce(c.last.place = g.place, false)))::BIGINT) AS taken
+        FROM gaps g LEFT JOIN chosen c ON c.source IS NOT DISTINCT FROM g.source
+    """,
+    "op13_prefix_trie": f"""
+        WITH own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), convs AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS head, {_CRC.format("conv_id")} % 6 AS h FROM own WHERE i = 1
+        ), counted AS (
+            SELECT c.*, (SELECT count(*) FROM own o WHERE o.conv_id = c.head AND o.i <= c.h) AS k FROM convs c
+        ), turns AS (
+            SELECT c.conv_id, o.i AS d, o.role, o.text FROM counted c JOIN own o ON o.conv_id = c.head AND o.i <= c.h
+            UNION ALL
+            SELECT c.conv_id, o.i - c.h + c.k, o.role, o.text FROM counted c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h
+        ), pre AS (
+            SELECT a.conv_id, a.d, any_value(a.text) AS text, sha256(string_agg(sha256(length(b.role) || ':' || b.role || b.text), ',' ORDER BY b.d)) AS prefix, sha256(coalesce(string_agg(sha256(length(b.role) || ':' || b.role || b.text), ',' ORDER BY b.d) FILTER (b.d < a.d), '')) AS above
+            FROM turns a JOIN turns b ON b.conv_id = a.conv_id AND b.d <= a.d GROUP BY a.conv_id, a.d
+            UNION ALL
+            SELECT conv_id, 0, '', sha256(''), NULL FROM convs
+        ), sized AS (
+            SELECT *, max(d) OVER (PARTITION BY conv_id) AS n FROM pre
+        ), nodes AS (
+            SELECT d, prefix, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n_convs, length(any_value(text)) AS chars, max(n) > d AS goes_on,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+            FROM sized GROUP BY d, prefix
+        ), under AS (
+            SELECT a.d, a.prefix, count(*) FILTER (n.d = a.d + 1) AS n_children, count(*) FILTER (NOT n.goes_on) AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+            FROM nodes n JOIN pre a ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY a.d, a.prefix
+        )
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, u.n_children, u.n_leaves, u.saved_tokens, n.ends_sha256
+        FROM nodes n JOIN under u USING (d, prefix) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.above
+    """,
     "op4_extendible_shards": _SHARDS.format(limit=SHARD_BYTES),
     "extendible_shards_fine": _SHARDS.format(limit=FINE_SHARD_BYTES),
     "op10_tool_call_links": """
