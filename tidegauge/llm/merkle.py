@@ -35,26 +35,35 @@ def leaf(row: dict[str, Column]) -> Column:
     return _hash(F.concat(*[F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in said]))
 
 
-def _slots(fanout: int) -> list[str]:
-    return [f"_s{i}" for i in range(fanout)]
+def _slots(payload: list[str], fanout: int) -> list[str]:
+    """Where the children's hashes are in a run."""
+    return [f"_s{i}.hash" if payload else f"_s{i}" for i in range(fanout)]
 
 
 def _level(nodes: DataFrame, payload: list[str], fanout: int) -> DataFrame:
-    """Runs of siblings: (tree, n, number, a slot column for each child, and its payload's slot beside it). n is the
-    number of nodes on the children's level."""
-    own = F.col("number") % fanout
-    child = F.struct("hash", *payload) if payload else F.col("hash")
-    spread = [F.max(F.when(own == i, child)).alias(s) for i, s in enumerate(_slots(fanout))]
+    """Runs of siblings: (tree, n, number, and for each child a slot column with its hash, and its payload if any). n is
+    the number of nodes on the children's level."""
+    child = f"struct({', '.join(['hash', *payload])})" if payload else "hash"
+    spread = [F.expr(f"max(CASE WHEN number % {fanout} = {i} THEN {child} END)").alias(f"_s{i}") for i in range(fanout)]
     return nodes.groupBy("tree", "n", F.floor(F.col("number") / fanout).alias("number")).agg(*spread)
 
 
-def _hashes(payload: list[str], fanout: int) -> list[Column]:
-    return [F.col(s)["hash"] if payload else F.col(s) for s in _slots(fanout)]
+def _parents(runs: DataFrame, payload: list[str], fanout: int) -> DataFrame:
+    slots = _slots(payload, fanout)
+    whole = F.expr(f"concat_ws('', {', '.join(slots)})")
+    return runs.select("tree", F.ceil(F.col("n") / fanout).alias("n"), "number", F.when(F.col("n") == 1, F.col(slots[0])).otherwise(_hash(whole)).alias("hash"))
 
 
-def _parents(runs: DataFrame, payload: list[str], fanout: int) -> DataFrame:
-    slots = _hashes(payload, fanout)
-    return runs.select("tree", F.ceil(F.col("n") / fanout).alias("n"), "number", F.when(F.col("n") == 1, slots[0]).otherwise(_hash(F.concat_ws("", *slots))).alias("hash"))
+def _children(payload: list[str], fanout: int) -> Column:
+    """A run's children as structs (number, hash, path, payload); a child's path is its siblings, and then its parent's
+    path. A lone node is not hashed on its way up, so it has none."""
+    slots = _slots(payload, fanout)
+    out = []
+    for i, own in enumerate(slots):
+        lhs, rhs = (f"concat_ws('', {', '.join(side)})" if side else "''" for side in (slots[:i], slots[i + 1 :]))
+        more = "".join(f", _s{i}.{c} AS {c}" for c in payload)
+        out.append(f"struct(number * {fanout} + {i} AS number, {own} AS hash, if(n = 1, path, concat(array(struct({lhs} AS lhs, {rhs} AS rhs)), path)) AS path{more})")
+    return F.expr(f"filter(array({', '.join(out)}), c -> c.hash IS NOT NULL)")
 
 
 def _climb(leaves: DataFrame, payload: list[str], fanout: int, name: str) -> tuple[list[DataFrame], DataFrame]:
@@ -74,25 +83,20 @@ def _climb(leaves: DataFrame, payload: list[str], fanout: int, name: str) -> tup
 
 def _descend(levels: list[DataFrame], tops: DataFrame, carried: list[str], payload: list[str], fanout: int) -> DataFrame:
     """Leaves with the siblings of all levels, from `tops`: (tree, top, path, carried columns). A path is an array of
-    (left, right), the lowest level first."""
+    (lhs, rhs), the lowest level first."""
     nodes = None
     for k in range(len(levels), 0, -1):
         here = tops.where(F.col("top") == k).select("tree", F.lit(0).cast("long").alias("number"), "path", *carried)
         above = here if nodes is None else nodes.unionByName(here)
         above = above.select(F.col("tree").alias("_tree"), F.col("number").alias("_number"), "path", *carried)
         met = levels[k - 1].join(above, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("number") == F.col("_number")))
-        slots = _hashes(payload if k == 1 else [], fanout)
-        step = lambda i, slots=slots: F.struct(F.concat_ws("", *slots[:i]).alias("left"), F.concat_ws("", *slots[i + 1 :]).alias("right"))
-        path = lambda i, step=step: F.when(F.col("n") == 1, F.col("path")).otherwise(F.concat(F.array(step(i)), F.col("path")))
-        more = lambda i, k=k: [F.col(_slots(fanout)[i])[c].alias(c) for c in payload] if k == 1 else []
-        children = F.array(*[F.struct((F.col("number") * fanout + i).alias("number"), slots[i].alias("hash"), path(i).alias("path"), *more(i)) for i in range(fanout)])
-        nodes = met.select("tree", *carried, F.inline(F.filter(children, lambda c: c["hash"].isNotNull())))
+        nodes = met.select("tree", *carried, F.inline(_children(payload if k == 1 else [], fanout)))
         nodes = nodes.drop("hash") if k > 1 else nodes
     return nodes
 
 
 def _fold(start: Column, path: Column) -> Column:
-    return F.aggregate(path, start, lambda acc, step: _hash(F.concat(step["left"], acc, step["right"])))
+    return F.aggregate(path, start, lambda acc, step: _hash(F.concat(step["lhs"], acc, step["rhs"])))
 
 
 def manifest(rows: DataFrame, columns: list[str], id_col: str, source_col: str, tampered: Column, changed: dict[str, Column], fanout: int = FANOUT) -> DataFrame:
@@ -107,12 +111,12 @@ def manifest(rows: DataFrame, columns: list[str], id_col: str, source_col: str,
     levels, roots = _climb(ranked, ["id", "tampered"], fanout, "merkle")
     sources = numbered(roots.withColumnRenamed("tree", "source"), [], ["source"], "number", "n").withColumn("tree", F.lit(None).cast("string"))
     upper, whole = _climb(sources, ["source", "top"], fanout, "merkle-sources")
-    start = whole.select("tree", "top", F.array().cast("array<struct<left:string,right:string>>").alias("path"), F.col("hash").alias("root"))
+    start = whole.select("tree", "top", F.array().cast("array<struct<lhs:string,rhs:string>>").alias("path"), F.col("hash").alias("root"))
     tops = _descend(upper, start, ["root"], ["source", "top"], fanout)
     tops = written(tops.select(F.col("source").alias("tree"), "top", "path", F.col("hash").alias("subroot"), "root"), "merkle-tops")
     proved = _descend(levels, tops, ["subroot", "root"], ["id", "tampered"], fanout)
     folded = _fold(F.coalesce("tampered", "hash"), F.col("path"))
-    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["lhs"], s["rhs"])), "")
     out = proved.select("id", F.col("hash").alias("leaf"), "subroot", "root", _hash(siblings).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 

@@ -45,9 +45,10 @@ def numbered(df: DataFrame, by: list[str], order: list[str | Column], ordinal: s
     return _joined(held, ranges, by).withColumn(ordinal, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
 
 
-def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str], row: str | None = None) -> DataFrame:
     """df with, for each column of `sums`, the sum of it over the group's rows up to and with this one, under the name
-    given. Null values count as nothing."""
+    given. Null values count as nothing. `row` names a column for a number that is each row's own and grows with the
+    order."""
     held = _ranges(df, by, order, "sums")
     _, before = _windows(by)
     ranges = held.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{name}") for c, name in sums.items()])
@@ -55,4 +56,5 @@ def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums:
     inside = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     local = held.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_local_{name}") for c, name in sums.items()])
     out = _joined(local, ranges, by).withColumns({name: F.col(f"_before_{name}") + F.col(f"_local_{name}") for name in sums.values()})
+    out = out.withColumn(row, F.col("_at")) if row else out
     return out.drop("_at", "_range", *[f"_{k}_{name}" for name in sums.values() for k in ("before", "local")])
