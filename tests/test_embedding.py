@@ -34,3 +34,16 @@ def test_weighted_fits_and_replicates(spark):
     series = spark.createDataFrame([("s", t, [float(0.9**t * np.cos(0.3 * t)), float(0.9**t * np.sin(0.3 * t))]) for t in range(70)], "s string, t int, x array<double>")
     got = st.bootstrap_spectrum(series, "s", "t", "x", width=40, stride=30, draws=4).collect()
     assert len(got) == 2 and all(abs(r.frequency - 0.3) < 1e-3 and abs(r.lead - 0.9) < 1e-3 for r in got) and all(r.low <= r.high for r in got)
+
+
+def test_positions_never_start_over(spark):
+    import hashlib
+
+    text, dim = "aé " * 7000, 20
+    want = [0.0] * dim
+    for p, b in enumerate(text.encode()):
+        h = int(hashlib.md5(f"{b}_{p}".encode()).hexdigest(), 16)
+        want[h % dim] += 1 if h // dim % 2 == 0 else -1
+    norm = sum(x * x for x in want) ** 0.5
+    got = spark.createDataFrame([(text,)], "t string").select(embedding.hash_embed(F.col("t"), dim).alias("v")).first().v
+    assert all(abs(g - w / norm) < 1e-12 for g, w in zip(got, want, strict=True))

@@ -11,34 +11,35 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import market
 
+#: Positions whose hashes a worker keeps, 4 bytes for each of 256 bytes; those beyond are hashed again for each text.
+KEPT = 1 << 14
+_UNSET = np.iinfo(np.int32).min
 _TABLES: dict[int, np.ndarray] = {}
 
 
-def _places(dim: int, length: int) -> np.ndarray:
-    """For each position and byte: place and sign of its hash, as place + dim for a plus and -1 - place for a minus;
-    worked out for positions as they first come."""
-    table = _TABLES.get(dim, np.zeros((0, 256), np.int32))
-    if len(table) < length:
-        more = np.zeros((length - len(table), 256), np.int32)
-        for p in range(len(table), length):
-            for b in range(256):
-                h = int(hashlib.md5(f"{b}_{p}".encode()).hexdigest(), 16)
-                more[p - len(table), b] = h % dim + dim if h // dim % 2 == 0 else -1 - h % dim
-        table = _TABLES[dim] = np.concatenate([table, more])
-    return table
+def _place(dim: int, byte: int, position: int) -> int:
+    """Place and sign of a byte's hash at a position: place + dim for a plus and -1 - place for a minus."""
+    h = int(hashlib.md5(f"{byte}_{position}".encode()).hexdigest(), 16)
+    return h % dim + dim if h // dim % 2 == 0 else -1 - h % dim
 
 
-def hash_embed(text: Column, dim: int = 200, most_bytes: int = 4096) -> Column:
-    """Signed hashes of (byte, position) pairs summed into `dim` places, over the sum's norm. Positions past `most_bytes`
-    start over at 0, so that the table of hashes stays small for texts of any length."""
+def _places(dim: int, data: np.ndarray) -> np.ndarray:
+    table = _TABLES.setdefault(dim, np.full((KEPT, 256), _UNSET, np.int32))
+    near = np.arange(min(len(data), KEPT))
+    new = near[table[near, data[:KEPT]] == _UNSET]
+    table[new, data[new]] = [_place(dim, b, p) for b, p in zip(data[new].tolist(), new.tolist(), strict=True)]
+    far = [_place(dim, b, p) for p, b in enumerate(data[KEPT:].tolist(), KEPT)]
+    return np.concatenate([table[near, data[:KEPT]], np.array(far, np.int32)])
+
+
+def hash_embed(text: Column, dim: int = 200) -> Column:
+    """Signed hashes of (byte, position) pairs of the whole text summed into `dim` places, over the sum's norm."""
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            b = np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8)
-            at = np.arange(len(b)) % most_bytes
-            code = _places(dim, int(at.max()) + 1)[at, b] if len(b) else np.zeros(0, np.int32)
+            code = _places(dim, np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8))
             plus, minus = code[code >= 0] - dim, -1 - code[code < 0]
             v = np.bincount(plus, minlength=dim)[:dim] - np.bincount(minus, minlength=dim)[:dim].astype(float)
             n = np.linalg.norm(v)

@@ -6,22 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import calendar as cal
-
-#: Most dates of an explicit event table, which comes to every task as one array for each channel.
-MOST_EVENTS = 100_000
+from tidegauge.operators.nearest import beside
 
 
 def nearest_event_phase(dates: DataFrame, events: DataFrame, channel: str, date_col: str = "d") -> DataFrame:
-    """Adds theta and amplitude of the nearest event before or after each date. events: (kind, d, ord); of equally near
-    events the one with the smallest ord. Without events theta is pi and amplitude 0."""
+    """Adds theta and amplitude of the nearest event before or after each date, in weekdays. events: (kind, d, ord), any
+    number of them; of equally near events the one with the smallest ord. Without events theta is pi and amplitude 0."""
     i = cal.CHANNELS.index(channel)
-    own = events.where(F.col("kind") == channel)
-    if own.limit(MOST_EVENTS + 1).count() > MOST_EVENTS:
-        raise ValueError(f"an event table has at most {MOST_EVENTS} dates of a kind")
-    listed = own.groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "d"))), lambda x: x.d).alias("_events"))
-    distance = cal.nearest_distance(F.col(date_col), F.col("_events"))
-    joined = dates.withColumn("kind", F.lit(channel)).join(F.broadcast(listed), "kind", "left").drop("kind").withColumn("_distance", distance)
-    return joined.withColumn("theta", cal.theta(F.col("_distance"), cal.PERIODS[i])).withColumn("amplitude", cal.amplitude(F.col("_distance"), cal.HALFLIVES[i])).drop("_events", "_distance")
+    own = events.where((F.col("kind") == channel) & F.col("d").isNotNull()).groupBy(cal.weekday_ordinal(F.col("d")).cast("long").alias("_day")).agg(F.min("ord").alias("ord"))
+    listed = own.select("_day", F.struct(F.col("_day").alias("day"), F.col("ord").alias("ord")).alias("entry"))
+    met = beside(dates.withColumn("_day", cal.weekday_ordinal(F.col(date_col)).cast("long")), listed, [], "_day")
+    sides = F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}.day") - F.col("_day")).alias("far"), F.col(f"{s}.ord").alias("ord"), (F.col(f"{s}.day") - F.col("_day")).alias("dist"))) for s in ("before", "after")])
+    met = met.withColumn("_distance", F.array_min(F.array_compact(sides))["dist"]).drop("_day", "before", "after")
+    return met.withColumn("theta", cal.theta(F.col("_distance"), cal.PERIODS[i])).withColumn("amplitude", cal.amplitude(F.col("_distance"), cal.HALFLIVES[i])).drop("_distance")
 
 
 def phases(dates: DataFrame, date_col: str = "d", earnings_from_2020: bool = False) -> DataFrame:

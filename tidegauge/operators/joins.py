@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import market
 from tidegauge.operators.blocks import in_blocks
+from tidegauge.operators.nearest import beside, nearest_in_space
 
 
 def categorize(df: DataFrame, key: list[str], column: str, topics: list[tuple[str, str]], k: int) -> DataFrame:
@@ -97,16 +100,22 @@ def best_match(requests: DataFrame, catalog: DataFrame, key: str, energy: str =
     return best.select(key, "m.*")
 
 
-def recognize(queries: DataFrame, atlas: DataFrame, tau: float) -> DataFrame:
-    """Each query's nearest atlas entry by frequency, of its own domain if that has any, rejected at tau or farther.
-    queries: (q, domain, w); atlas: (name, domain, w), taken in blocks."""
-
-    def best_of(block: DataFrame) -> DataFrame:
-        near = queries.join(block, F.lit(True)).withColumn("far", F.abs(F.col("w") - F.col("_w"))).withColumn("other", (F.col("_d") != F.col("domain")) | F.col("domain").isNull())
-        return near.groupBy("q").agg(F.min(F.struct("other", "far", "name")).alias("m"))
+def recognize(queries: DataFrame, atlas: DataFrame, tau: float, largest: int = 8) -> DataFrame:
+    """(q, name, distance, confidence, ratio): each query's nearest atlas entry by frequency, of its own domain if that has
+    any, rejected at tau or farther, and the small ratio nearest to that of the two frequencies (0:1 for a zero one).
+    Equally near ones go by name. queries: (q, domain, w); atlas: (name, domain, w)."""
+    from tidegauge.functions.spectral import ratio_label
 
-    best = in_blocks(atlas.select("name", F.col("domain").alias("_d"), F.col("w").alias("_w")), "name", best_of).groupBy("q").agg(F.min("m").alias("m"))
-    return best.where(F.col("m.far") < tau).select("q", "m.name", F.col("m.far").alias("distance"), (1 - F.col("m.far") / tau).alias("confidence"))
+    asked = queries.select("q", "domain", F.col("w").cast("double").alias("w"))
+    listed = atlas.where("w is not null").select("name", "domain", F.col("w").cast("double").alias("w"))
+    entry = F.struct(F.col("w"), F.col("name")).alias("entry")
+    own = beside(asked, listed.where("domain is not null").groupBy("domain", "w").agg(F.min("name").alias("name")).select("domain", "w", entry), ["domain"], "w")
+    alone = F.col("before").isNull() & F.col("after").isNull()
+    others = beside(own.where(alone).select("q", "domain", "w"), listed.groupBy("w").agg(F.min("name").alias("name")).select("w", entry), [], "w")
+    sides = F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("w") - F.col(f"{s}.w")).alias("far"), F.col(f"{s}.name").alias("name"), F.col(f"{s}.w").alias("at"))) for s in ("before", "after")])
+    best = own.where(~alone).unionByName(others).withColumn("m", F.array_min(F.array_compact(sides))).where(F.col("m.far") < tau)
+    ratio = F.when(F.abs("m.at") < 1e-12, "0:1").otherwise(ratio_label(F.col("w") / F.col("m.at"), largest))
+    return best.select("q", "m.name", F.col("m.far").alias("distance"), (1 - F.col("m.far") / tau).alias("confidence"), ratio.alias("ratio"))
 
 
 def coherence(a: DataFrame, b: DataFrame, key: str, sigma: float, most_pairs: int = 15) -> DataFrame:
@@ -172,11 +181,12 @@ def merge_experience(memory: DataFrame, new: DataFrame, key_near: float = 0.15,
     """Upserts rows (id, k1, k2, k3, spec, improvement, n_obs): a new row near an old one in key and spectrum raises its
     count and keeps the better improvement; others are added."""
     m, n = memory.alias("m"), new.alias("n")
-    bucket = lambda c: F.floor(F.col(c) / key_near)
-    probes = n.withColumn("_b", F.explode(F.array(*[bucket("k1") + d for d in (-1, 0, 1)])))
-    far = F.sqrt(sum(((F.col(f"m.{k}") - F.col(f"n.{k}")) ** 2 for k in ("k1", "k2", "k3")), F.lit(0.0)))
+    keys = ("k1", "k2", "k3")
+    cell = lambda *step: F.struct(*[(F.floor(F.col(k) / key_near) + d).alias(k) for k, d in zip(keys, step, strict=True)])
+    probes = n.withColumn("_b", F.explode(F.array(*[cell(*step) for step in itertools.product((-1, 0, 1), repeat=3)])))
+    far = F.sqrt(sum(((F.col(f"m.{k}") - F.col(f"n.{k}")) ** 2 for k in keys), F.lit(0.0)))
     apart = market.norm(F.zip_with(F.col("m.spec"), F.col("n.spec"), lambda x, y: x - y))
-    hits = m.withColumn("_b", bucket("k1")).alias("m").join(probes.alias("n"), F.col("m._b") == F.col("n._b")).where((far <= key_near) & (apart < spectrum_near))
+    hits = m.withColumn("_b", cell(0, 0, 0)).alias("m").join(probes.alias("n"), F.col("m._b") == F.col("n._b")).where((far <= key_near) & (apart < spectrum_near))
     best = hits.groupBy(F.col("n.id").alias("new_id")).agg(F.min_by(F.struct(F.col("m.id").alias("id")), F.struct(far.alias("far"), F.col("m.id"))).alias("o"), F.max("n.improvement").alias("improvement"))
     gain = best.groupBy(F.col("o.id").alias("id")).agg(F.count("*").alias("_more"), F.max("improvement").alias("_best"))
     kept = memory.join(gain, "id", "left").withColumn("n_obs", F.col("n_obs") + F.coalesce("_more", F.lit(0))).withColumn("improvement", F.greatest("improvement", F.coalesce("_best", "improvement"))).drop("_more", "_best")
@@ -184,12 +194,9 @@ def merge_experience(memory: DataFrame, new: DataFrame, key_near: float = 0.15,
 
 
 def nearest_keys(queries: DataFrame, memory: DataFrame, n: int, over: int = 1) -> DataFrame:
-    """(q, id, distance, rank) of the n * over nearest memories by a three-part key. queries: (q, k1, k2, k3), taken in
-    blocks; ranks are cut before the shuffle too."""
-    far = F.sqrt(sum(((F.col(k) - F.col(f"_{k}")) ** 2 for k in ("k1", "k2", "k3")), F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
-    near = lambda q: memory.join(q, F.lit(True)).withColumn("distance", far).withColumn("rank", rank).where(F.col("rank") <= n * over)
-    return in_blocks(queries.select("q", *[F.col(k).alias(f"_{k}") for k in ("k1", "k2", "k3")]), "q", near)
+    """(q, distance, rank, memory's columns) of the n * over nearest memories by a three-part key; equally near ones by id.
+    queries: (q, k1, k2, k3)."""
+    return nearest_in_space(queries, memory, n * over, ["k1", "k2", "k3"])
 
 
 def cosine_top_k(queries: DataFrame, store: DataFrame, k: int, least: float | None = None) -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from tidegauge.operators.store import written
 
 
-def _ranges(df: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
+def _ranges(df: DataFrame, by: list[str], order: list[str | Column], name: str, ranges: int | None = None) -> DataFrame:
     """df with _at, which grows along (by, order), and _range, written."""
     keys = [*by, *order, F.col("_salt")]
-    dealt = df.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt")
+    dealt = df.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*keys).drop("_salt")
     return written(dealt.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_range", F.shiftright("_at", 33))
 
 
@@ -45,11 +45,11 @@ def numbered(df: DataFrame, by: list[str], order: list[str | Column], ordinal: s
     return _joined(held, ranges, by).withColumn(ordinal, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
 
 
-def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str], row: str | None = None) -> DataFrame:
+def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str], row: str | None = None, ranges: int | None = None) -> DataFrame:
     """df with, for each column of `sums`, the sum of it over the group's rows up to and with this one, under the name
     given. Null values count as nothing. `row` names a column for a number that is each row's own and grows with the
-    order."""
-    held = _ranges(df, by, order, "sums")
+    order; `ranges` is how many there are, where the session is not to decide."""
+    held = _ranges(df, by, order, "sums", ranges)
     _, before = _windows(by)
     ranges = held.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{name}") for c, name in sums.items()])
     ranges = ranges.select(*by, "_range", *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in sums.values()])

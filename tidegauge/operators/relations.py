@@ -46,11 +46,11 @@ def universal_functions(library: DataFrame, k: int) -> DataFrame:
     return library.where(F.size("domains") >= k)
 
 
-def assign_dims(library: DataFrame, key: str, foundational: Column, width: Column) -> DataFrame:
+def assign_dims(library: DataFrame, key: str, foundational: Column, width: Column, buckets: int | None = None) -> DataFrame:
     """First slot of each entry in order of priority (foundational first, then more domains, then key). Ranges of entries
     are written once and summed from there, so that no task sorts all entries."""
     rank = F.struct(F.when(foundational, 0).otherwise(1).alias("f"), (-F.size("domains")).alias("n"), F.col(key).alias("k"))
-    rows = running_sums(library.withColumn("_width", width).withColumn("_rank", rank), [], ["_rank"], {"_width": "_end"})
+    rows = running_sums(library.withColumn("_width", width).withColumn("_rank", rank), [], ["_rank"], {"_width": "_end"}, ranges=buckets)
     return rows.withColumn("first_dim", F.col("_end") - F.col("_width")).drop("_width", "_rank", "_end")
 
 

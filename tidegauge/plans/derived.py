@@ -10,6 +10,7 @@ from tidegauge.functions import text as tx
 from tidegauge.operators import calendar as cal_ops
 from tidegauge.operators import graph, joins, learning, regimes, relations
 from tidegauge.operators import statistics as st
+from tidegauge.operators.store import written
 from tidegauge.plans.calendar import _DAYS, _EVENTS, days
 from tidegauge.plans.registry import query, table
 from tidegauge.plans.statistics import r6, vectors
@@ -99,7 +100,7 @@ def _vector(names: list[str]) -> F.Column:
 @query()
 def d44_project_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much nearer each document's hashed vector is to the subspace of good documents than to that of others."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", embedding.hash_embed(F.col("text"), 32, 1024).alias("v"))
+    docs = written(table(spark, sf_dir, "documents").select("doc_id", embedding.hash_embed(F.col("text"), 32).alias("v")), "embedded")  # read once for each basis
     bases = learning.fit_subspaces(docs.join(table(spark, sf_dir, "labels"), "doc_id"), "v", "quality", 4)
     if not {0, 1} <= set(bases):
         return docs.select("doc_id", F.lit(None).cast("double").alias("validity"))
@@ -168,19 +169,23 @@ def _spectrum(v: F.Column, n: int) -> F.Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.get(v, i * 2).alias("re"), F.get(v, i * 2 + 1).alias("im")))
 
 
-@query("""WITH z AS (SELECT vec_id, list_transform(range(0, 8), lambda i: sqrt(embedding[i * 2 + 1]::DOUBLE ** 2 + embedding[i * 2 + 2]::DOUBLE ** 2)) AS m, list_transform(range(0, 8), lambda i: abs(embedding[i * 2 + 2]::DOUBLE)) AS im FROM embeddings)
-    SELECT vec_id, round(list_max(m), 6) AS radius, len(list_filter(m, lambda x: x > 0.9::DOUBLE))::INT AS n_slow, len(list_filter(im, lambda x: x > 0.1::DOUBLE))::INT AS n_oscillating FROM z""")
+@query("""WITH z AS (SELECT vec_id, list_transform(range(0, 32), lambda i: sqrt(embedding[i * 2 + 1]::DOUBLE ** 2 + embedding[i * 2 + 2]::DOUBLE ** 2)) AS m, list_transform(range(0, 32), lambda i: abs(embedding[i * 2 + 2]::DOUBLE)) AS im,
+        list_reverse_sort(list_transform(range(0, 32), lambda i: {'m': sqrt(embedding[i * 2 + 1]::DOUBLE ** 2 + embedding[i * 2 + 2]::DOUBLE ** 2), 're': embedding[i * 2 + 1]::DOUBLE, 'im': embedding[i * 2 + 2]::DOUBLE})) AS z FROM embeddings)
+    SELECT vec_id, round(list_max(m), 6) AS radius, len(list_filter(m, lambda x: x > 0.9::DOUBLE))::INT AS n_slow, len(list_filter(im, lambda x: x > 0.1::DOUBLE))::INT AS n_oscillating,
+        round(z[1].re, 6) AS re_1, round(z[1].im, 6) AS im_1, round(z[2].re, 6) AS re_2, round(z[2].im, 6) AS im_2, round(z[3].re, 6) AS re_3, round(z[3].im, 6) AS im_3, round(z[4].re, 6) AS re_4, round(z[4].im, 6) AS im_4 FROM z""")
 def h42_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spectral.invariants(F.col("z"), 4)
-    return vectors(spark, sf_dir).withColumn("z", _spectrum(F.col("v"), 8)).select("vec_id", F.round(f["radius"], 6).alias("radius"), f["n_slow"].alias("n_slow"), f["n_oscillating"].alias("n_oscillating"))
+    return vectors(spark, sf_dir).withColumn("z", _spectrum(F.col("v"), 32)).select(
+        "vec_id", F.round(f["radius"], 6).alias("radius"), f["n_slow"].alias("n_slow"), f["n_oscillating"].alias("n_oscillating"), *[F.round(f[f"top_{part}"][i], 6).alias(f"{part}_{i + 1}") for i in range(4) for part in ("re", "im")]
+    )
 
 
-@query("""WITH x AS (SELECT vec_id, label, list_slice(embedding, 1, 8)::DOUBLE[] AS s, embedding[9]::DOUBLE AS c, 1 + vec_id % 5 AS r FROM embeddings), f AS (SELECT label, s AS s0, c AS c0, r AS r0 FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+@query("""WITH x AS (SELECT vec_id, label, list_slice(embedding, 1, 63)::DOUBLE[] AS s, embedding[64]::DOUBLE AS c, 1 + vec_id % 5 AS r FROM embeddings), f AS (SELECT label, s AS s0, c AS c0, r AS r0 FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
     n AS (SELECT *, sqrt(list_sum(list_transform(s, lambda a: a * a))) AS k, sqrt(list_sum(list_transform(s0, lambda a: a * a))) AS k0 FROM x JOIN f USING (label))
-    SELECT vec_id, round(0.5::DOUBLE * sqrt(list_sum(list_transform(range(1, 9), lambda i: (s[i] / k - s0[i] / k0) ** 2))) + 0.3::DOUBLE * abs(c - c0) + 0.2::DOUBLE * abs(r - r0) / greatest(r, r0, 1), 6) AS distance FROM n""")
+    SELECT vec_id, round(0.5::DOUBLE * sqrt(list_sum(list_transform(range(1, 64), lambda i: (s[i] / k - s0[i] / k0) ** 2))) + 0.3::DOUBLE * abs(c - c0) + 0.2::DOUBLE * abs(r - r0) / greatest(r, r0, 1), 6) AS distance FROM n""")
 def h46_patch_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of each patch to the first one of its label."""
-    x = vectors(spark, sf_dir).select("vec_id", "label", F.slice("v", 1, 8).alias("s"), F.col("v")[8].alias("c"), (1 + F.col("vec_id") % 5).alias("r"))
+    x = vectors(spark, sf_dir).select("vec_id", "label", F.slice("v", 1, 63).alias("s"), F.col("v")[63].alias("c"), (1 + F.col("vec_id") % 5).alias("r"))
     first = x.groupBy("label").agg(F.min_by(F.struct(F.col("s").alias("s0"), F.col("c").alias("c0"), F.col("r").alias("r0")), "vec_id").alias("f")).select("label", "f.*")
     return x.join(first, "label").select("vec_id", F.round(embedding.patch_distance(*[F.col(c) for c in ("s", "s0", "c", "c0", "r", "r0")]), 6).alias("distance"))
 
@@ -188,16 +193,17 @@ def h46_patch_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def h54_intent_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as intents, with their densities as the profile."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", embedding.hash_embed(F.col("text"), 64, 1024).alias("e"), F.array(*[c.cast("double") for c in tx.densities(F.col("text")).values()]).alias("p"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", embedding.hash_embed(F.col("text"), 64).alias("e"), F.array(*[c.cast("double") for c in tx.densities(F.col("text")).values()]).alias("p"))
     return items.select("item_id", embedding.intent_vector(F.col("e"), F.col("p")).alias("v"))
 
 
-@query("""WITH x AS (SELECT vec_id, list_slice(embedding, 1, 8)::DOUBLE[] AS f, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, NOT list_bool_or(flatten(list_transform(range(1, 9), lambda i: list_transform(range(1, 9), lambda j: j > i AND abs(f[i] - f[j]) < 0.001::DOUBLE)))) AS safe,
-    round(list_max(list_transform(range(0, 4), lambda i: v[i * 2 + 1] * (1 + v[i + 9]))), 6) AS margin FROM x""")
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, NOT list_bool_or(flatten(list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: j > i AND abs(v[i] - v[j]) < 0.001::DOUBLE)))) AS safe,
+    round(list_max(list_transform(range(0, 21), lambda i: v[i * 2 + 1] * (1 + v[i + 44]))), 6) AS margin FROM x""")
 def h57_scaled_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collapse check of eight frequencies, and the stability margin of a spectrum scaled part by part (H-57, B-07)."""
-    z = spectral.scale_spectrum(_spectrum(F.col("v"), 4), F.transform(F.slice("v", 9, 4), lambda x: 1 + x))
-    return vectors(spark, sf_dir).select("vec_id", spectral.collapse_safe(F.slice("v", 1, 8), 0.001).alias("safe"), F.round(spectral.hurwitz_margin(z), 6).alias("margin"))
+    """Collapse check of all frequencies, and the stability margin of a spectrum of 21 values scaled by the last 21 parts
+    (H-57, B-07)."""
+    z = spectral.scale_spectrum(_spectrum(F.col("v"), 21), F.transform(F.slice("v", 44, 21), lambda x: 1 + x))
+    return vectors(spark, sf_dir).select("vec_id", spectral.collapse_safe(F.col("v"), 0.001).alias("safe"), F.round(spectral.hurwitz_margin(z), 6).alias("margin"))
 
 
 @query("SELECT p_partkey, round(least(3, greatest(-3, ln(greatest(p_retailprice / 1000, 1e-12::DOUBLE)))), 6) AS throughput, round(least(3, greatest(-3, ln(greatest(p_size / 10.0::DOUBLE, 1e-12::DOUBLE)))), 6) AS intensity, round(least(3, greatest(-3, p_size / 15.0::DOUBLE)), 6) AS ratio FROM part")
@@ -206,11 +212,11 @@ def h58_perf_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", p.alias("p")).select("p_partkey", *[F.round(F.col("p")[i], 6).alias(k) for i, k in enumerate(("throughput", "intensity", "ratio"))])
 
 
-@query("""WITH z AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), f AS (SELECT vec_id, list_concat([v[60], v[61], v[62]], [(label = 0)::INT::DOUBLE, (label = 1)::INT::DOUBLE, (label = 2)::INT::DOUBLE, (label = 3)::INT::DOUBLE], [v[1], v[3], v[5], 0], [v[2], v[4], v[6], 0]) AS f FROM z)
+@query("""WITH z AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), f AS (SELECT vec_id, list_concat([v[60], v[61], v[62]], [(label = 0)::INT::DOUBLE, (label = 1)::INT::DOUBLE, (label = 2)::INT::DOUBLE, (label = 3)::INT::DOUBLE], [v[1], v[3], v[5], v[7]], [v[2], v[4], v[6], v[8]]) AS f FROM z)
     SELECT vec_id, len(f)::INT AS n, round(list_sum(list_transform(range(1, 16), lambda i: f[i] * i)), 6) AS weighted FROM f""")
 def h59_region_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifteen features of each vector as a region, told by their size and a weighted sum."""
-    rows = vectors(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("kind"), *[F.col("v")[59 + i].alias(f"x{i}") for i in range(3)], _spectrum(F.col("v"), 3).alias("z"))
+    rows = vectors(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("kind"), *[F.col("v")[59 + i].alias(f"x{i}") for i in range(3)], _spectrum(F.col("v"), 32).alias("z"))
     f = regimes.region_features(rows, ["x0", "x1", "x2"], "kind", ["0", "1", "2", "3"], "z")
     weighted = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return f.select("vec_id", F.size("features").alias("n"), F.round(weighted, 6).alias("weighted"))
@@ -239,11 +245,14 @@ def j15_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", *r6("delta_regime", "delta_fundamental"))
 
 
-@query()
+@query("""WITH z AS (SELECT vec_id, label, list_max(list_transform(range(0, 32), lambda i: {'re': embedding[i * 2 + 1]::DOUBLE, 'im': abs(embedding[i * 2 + 2]::DOUBLE)})) AS t, list_max(list_transform(range(0, 32), lambda i: abs(embedding[i * 2 + 2]::DOUBLE))) AS most FROM embeddings),
+    b AS (SELECT *, lag(t.re) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM z), s AS (SELECT *, CASE WHEN before < 0 AND t.re >= 0 THEN 'bifurcation' WHEN abs(t.re) <= 0.05::DOUBLE THEN 'critical' ELSE 'stable' END AS status FROM b)
+    SELECT vec_id, label, status, CASE WHEN status = 'stable' THEN NULL WHEN t.im > 0.000001::DOUBLE THEN 'hopf' ELSE 'saddle_node' END AS type, round(t.re, 6) AS top, round(abs(t.re), 6) AS distance, round(coalesce(t.re - before, 0), 6) AS step, round(most, 6) AS turn FROM s""")
 def e09_bifurcation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra of each label's vectors in order of their ids."""
-    z = vectors(spark, sf_dir).select("vec_id", "label", _spectrum(F.col("v"), 4).alias("z"))
-    return regimes.bifurcation_status(z, ["label"], "vec_id", "z").select("vec_id", "label", "status", "type", "features")
+    z = vectors(spark, sf_dir).select("vec_id", "label", _spectrum(F.col("v"), 32).alias("z"))
+    told = regimes.bifurcation_status(z, ["label"], "vec_id", "z")
+    return told.select("vec_id", "label", "status", "type", *[F.round(F.col("features")[i], 6).alias(k) for i, k in enumerate(("top", "distance", "step", "turn"))])
 
 
 @query("""WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT label, v AS w FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) SELECT vec_id, round(1 / (1 + list_min(flatten(list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j: abs(v[i] - w[j])))))), 6) AS resonance FROM x JOIN f USING (label)""")

@@ -11,6 +11,7 @@ from tidegauge.operators import calendar as cal_ops
 from tidegauge.operators import graph, joins, learning, regimes, relations
 from tidegauge.plans.calendar import _DAYS, _EVENTS, days
 from tidegauge.plans.registry import query, table
+from tidegauge.plans.statistics import _RAT
 from tidegauge.plans.text import _DIMS, _dims
 
 
@@ -26,18 +27,19 @@ def c03_find_universals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.find_universals(p, 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-_MODES = "modes AS (SELECT vec_id, i AS idx, embedding[i * 2 + 1]::DOUBLE AS alpha, abs(embedding[i * 2 + 2]::DOUBLE) + 0.01::DOUBLE AS omega FROM embeddings, range(0, 4) t(i))"
+_MODES = "modes AS (SELECT vec_id, i AS idx, embedding[i * 2 + 1]::DOUBLE AS alpha, abs(embedding[i * 2 + 2]::DOUBLE) + 0.01::DOUBLE AS omega FROM embeddings, range(0, 32) t(i))"
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.cast("long").alias("idx"), F.get("v", i * 2).alias("alpha"), (F.abs(F.get("v", i * 2 + 1)) + 0.01).alias("omega")))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(i.cast("long").alias("idx"), F.get("v", i * 2).alias("alpha"), (F.abs(F.get("v", i * 2 + 1)) + 0.01).alias("omega")))
     return vectors(spark, sf_dir).select("vec_id", F.inline(parts))
 
 
-@query(f"WITH {_MODES} SELECT vec_id, round(sum(greatest(alpha, 0) ** 2), 6) AS e_stab, round(sum(1 / (1 + abs(alpha))), 6) AS e_damp, round(sum((omega - 0.1::DOUBLE) ** 2), 6) AS e_freq FROM modes GROUP BY 1")
+@query(f"""WITH {_MODES}, r(p, q) AS (VALUES {_RAT}), h AS (SELECT vec_id, sum(tau) AS e_harm FROM (SELECT x.vec_id, x.idx, y.idx, min(abs(x.omega - p / q::DOUBLE * y.omega)) AS tau FROM modes x JOIN modes y ON x.vec_id = y.vec_id AND x.idx < y.idx, r GROUP BY ALL) GROUP BY 1)
+    SELECT vec_id, round(sum(greatest(alpha, 0) ** 2), 6) AS e_stab, round(sum(1 / (1 + abs(alpha))), 6) AS e_damp, round(sum((omega - 0.1::DOUBLE) ** 2), 6) AS e_freq, round(any_value(e_harm), 6) AS e_harm FROM modes JOIN h USING (vec_id) GROUP BY 1""")
 def h44_spectral_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = regimes.spectral_energy(_modes(spark, sf_dir), "vec_id", 0.1)
-    return e.select("vec_id", *[F.round(c, 6).alias(c) for c in ("e_stab", "e_damp", "e_freq")])
+    return e.select("vec_id", *[F.round(c, 6).alias(c) for c in ("e_stab", "e_damp", "e_freq", "e_harm")])
 
 
 @query()
@@ -150,7 +152,7 @@ def h52_article_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.functions import embedding
 
     d = {k: c for k, c in tx.densities(F.col("text")).items()}
-    docs = table(spark, sf_dir, "documents").select("doc_id", embedding.hash_embed(F.col("text"), 64, 1024).alias("e"), (d["technical"] + d["citation"] - d["hype"]).alias("validity"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", embedding.hash_embed(F.col("text"), 64).alias("e"), (d["technical"] + d["citation"] - d["hype"]).alias("validity"))
     return docs.select("doc_id", embedding.article_vector(F.col("e"), F.col("validity"), F.array_repeat(F.lit(0.0), 64), F.lit(1.0)).alias("v"))
 
 
@@ -171,4 +173,4 @@ def j08_bootstrap_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.operators.statistics import bootstrap_spectrum
 
     x = table(spark, sf_dir, "events").select("user_id", "ts", F.array(F.col("value") / 500, (F.col("event_id") % 7) / 7.0).alias("x"))
-    return bootstrap_spectrum(x, "user_id", "ts", "x", width=60, stride=20, draws=10)
+    return bootstrap_spectrum(x, "user_id", "ts", "x")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import graph, joins, relations
 from tidegauge.operators import statistics as st
 from tidegauge.plans.registry import query, table
+from tidegauge.plans.statistics import _RAT
 
 
 @query("""WITH t AS (SELECT c_mktsegment AS symbol, stddev_pop(o_totalprice) / avg(o_totalprice) AS v, avg(o_totalprice) / 200000 AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), e AS (SELECT a.symbol AS a, b.symbol AS b, a.m - b.m AS corr FROM t a JOIN t b ON a.symbol < b.symbol),
@@ -40,12 +41,14 @@ def c08_inject_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.inject_sentiment(t, s).select("symbol", F.round("sentiment", 6).alias("sentiment"))
 
 
-@query("WITH a AS (SELECT p_brand AS name, p_type AS domain, avg(p_retailprice) AS w FROM part GROUP BY ALL), q AS (SELECT p_partkey AS q, p_type AS domain, p_retailprice AS w FROM part), m AS (SELECT q, name, abs(q.w - a.w) AS far, (a.domain <> q.domain)::INT AS other FROM q, a), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY q ORDER BY other, far, name) = 1) SELECT q, name, round(far, 6) AS distance, round(1 - far / 50, 6) AS confidence FROM b WHERE far < 50")
+@query(f"""WITH a AS (SELECT p_brand AS name, p_type AS domain, avg(p_retailprice) AS w FROM part GROUP BY ALL), q AS (SELECT p_partkey AS q, p_type AS domain, p_retailprice AS w FROM part),
+    m AS (SELECT q, name, q.w AS wq, a.w AS wa, abs(q.w - a.w) AS far, (a.domain <> q.domain)::INT AS other FROM q, a), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY q ORDER BY other, far, name) = 1), r(p, q) AS (VALUES {_RAT})
+    SELECT b.q, any_value(name) AS name, round(any_value(far), 6) AS distance, round(1 - any_value(far) / 50, 6) AS confidence, arg_min(r.p || ':' || r.q, (abs(wq / wa - r.p / r.q::DOUBLE), r.p + r.q, r.p || ':' || r.q)) AS ratio FROM b, r WHERE far < 50 GROUP BY b.q""")
 def c10_recognize(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     atlas = p.groupBy(F.col("p_brand").alias("name"), F.col("p_type").alias("domain")).agg(F.avg("p_retailprice").alias("w"))
     q = p.select(F.col("p_partkey").alias("q"), F.col("p_type").alias("domain"), F.col("p_retailprice").alias("w"))
-    return joins.recognize(q, atlas, 50.0).select("q", "name", F.round("distance", 6).alias("distance"), F.round("confidence", 6).alias("confidence"))
+    return joins.recognize(q, atlas, 50.0).select("q", "name", F.round("distance", 6).alias("distance"), F.round("confidence", 6).alias("confidence"), "ratio")
 
 
 @query("SELECT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
