@@ -351,3 +351,10 @@ def test_written_shards_hold_every_row_in_its_shard(spark, tmp_path):
     for r in back:
         size[r.shard[1:]] = size.get(r.shard[1:], 0) + len(r.text or "")
     assert size == want and max(b for b in size.values() if b != 5000) <= 2000
+
+
+def test_texts_of_marks_have_no_language(spark):
+    rows = [(i, "the quick brown fox and the lazy dog number " + "abcdef"[i % 6]) for i in range(60)] + [(100, "\u0301\u0301\u0301\u0301"), (101, "12 34 !?"), (102, "a\u0301bc def")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("lang", F.lit("en"))
+    told = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.train(docs, lambda c: c < 100)).collect()}
+    assert told[100] == "und" and told[101] == "und" and told[102] == "en" and told[3] == "en"

@@ -90,3 +90,18 @@ def test_pipeline(spark):
     assert not {9001, 9002, 9003} & seen["language_id"] and {9004, 9005, None} <= seen["language_id"]
     assert 9004 in seen["simhash_near_dedup"] and 9005 not in seen["simhash_near_dedup"]
     assert seen["piece_encoding"] == seen["benchmark_decontamination"]
+
+
+def test_retries_and_rows_without_turn_or_id(spark):
+    call = lambda i: {"id": i, "name": "add", "arguments": {"a": 1, "b": 2}, "depends_on": []}
+    rows = [
+        (1, 0, "assistant", _say([call("A")])), (1, 1, "tool", _say(tool_call_id="A", content="3")), (1, 3, "assistant", _say([call("A")])), (1, 4, "assistant", _say([call("A"), call("A")])),
+        (2, None, "assistant", _say([call("B")])), (2, 2, "assistant", _say([call("B")])), (2, 3, "tool", _say(tool_call_id="B", content="x")), (3, None, "assistant", _say([call("C")])), (3, 1, "tool", _say(tool_call_id="C", content="y")),
+        (4, 1, "assistant", _say([call(None)])), (4, 2, "assistant", _say([call(None)])), (5, 1, "assistant", _say([call("D")])), (5, None, "tool", _say(tool_call_id="D", content="z")), (None, 1, "assistant", _say([call("E")])), (None, 2, "tool", _say(tool_call_id="E", content="z")),
+    ]
+    got = chat.link(*chat.extract(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), {"add": {"a": "number", "b": "integer"}}).collect()
+    assert sorted((str(r.conv_id), r.step, str(r.at), r.status) for r in got) == sorted([
+        ("1", 1, "0", "ok"), ("1", 1, "3", "duplicate"), ("1", 1, "4", "duplicate"), ("1", 1, "4", "duplicate"), ("1", 2, "1", "ok"),
+        ("2", 1, "None", "unanswered"), ("2", 1, "2", "ok"), ("2", 2, "3", "ok"), ("3", 1, "None", "unanswered"), ("3", 2, "1", "orphan"),
+        ("4", 1, "1", "unanswered"), ("4", 1, "2", "unanswered"), ("5", 1, "1", "unanswered"), ("5", 2, "None", "orphan"), ("None", 1, "1", "unanswered"), ("None", 2, "2", "orphan"),
+    ])

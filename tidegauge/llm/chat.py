@@ -8,10 +8,11 @@ Events are messages, calls and results. An event's place is (conv_id, at, step,
 the later turn of something it has to follow; step is 0 for messages, 1 for calls and 2 for results; level counts how
 many calls it depends on in a row. No event needs its whole conversation, so a very long one is many rows, not one task.
 
-Of several calls with one id in a conversation the first by turn counts and the others are `duplicate`; every result of
-that id is linked to it; equal rows stay as often as they are there. A result whose call is missing is `orphan` and
-stays at its turn; a call without result is `unanswered` unless its arguments are at fault. Calls that depend on
-unknown ids or on each other in a circle are `bad_dependency`. Null conv_id or turn: the row is kept, linked to nothing.
+Of several calls with one id in a conversation the first by turn counts and the others are `duplicate`, those with the
+same arguments too; every result of that id is linked to it; equal rows stay as often as they are there. A result whose
+call is missing is `orphan` and stays at its turn; a call without result is `unanswered` unless its arguments are at
+fault. Calls that depend on unknown ids or on each other in a circle are `bad_dependency`. Null conv_id, turn or id: the
+row is kept, linked to nothing: such a result is `orphan`, such a call `unanswered` unless its arguments are at fault.
 Null texts are null contents; empty texts stay empty. Empty tables give no events. Columns beside those named are not
 read.
 """
@@ -90,16 +91,24 @@ def _levels(calls: DataFrame, answered: DataFrame) -> DataFrame:
 def link(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
     """(conv_id, at, step, level, event_id, status, json) of every event."""
     key = ["conv_id", "call_id"]
-    own = _checked(calls, schemas)
-    first = own.groupBy(*key).agg(F.min(F.struct("turn", F.xxhash64("name", "arguments").alias("tie"), "depends_on")).alias("first")).select(*key, "first.*")
-    answered = results.groupBy(*key).agg(F.max("turn").alias("answered"))
+    whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("call_id").isNotNull()
+    own, linkable = _checked(calls, schemas), results.where(whole)
+    first = own.where(whole).groupBy(*key).agg(F.min(F.struct("turn", F.xxhash64("name", "arguments").alias("tie"), "depends_on")).alias("first")).select(*key, "first.*")
+    answered = linkable.groupBy(*key).agg(F.max("turn").alias("answered"))
     levels = _levels(first, answered)
-    places = first.select(*key, "tie").join(levels, key, "left").join(answered, key, "left")
-    placed = own.hint("shuffle_hash").join(places, key, "left").withColumn("mine", F.coalesce((F.xxhash64("name", "arguments") == F.col("tie")) & F.col("call_id").isNotNull(), F.lit(False)))
-    status = F.when(~F.col("mine"), "duplicate").when(F.col("level").isNull(), "bad_dependency").when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("answered").isNull(), "unanswered").otherwise("ok")
+    places = first.select(*key, F.col("turn").alias("first_turn"), "tie").join(levels, key, "left").join(answered, key, "left")
+    placed = own.withColumn("whole", whole).hint("shuffle_hash").join(places, key, "left")
+    mine = (F.col("turn") == F.col("first_turn")) & (F.xxhash64("name", "arguments") == F.col("tie"))
+    status = (
+        F.when(F.col("whole") & ~mine, "duplicate").when(F.col("whole") & F.col("level").isNull(), "bad_dependency").when(F.col("fault").isNotNull(), F.col("fault"))
+        .when(~F.col("whole") | F.col("answered").isNull(), "unanswered").otherwise("ok")
+    )
+    own_place = F.col("whole") & mine
     body = F.struct(F.col("parsed").alias("arguments"), F.when(F.size("depends_on") > 0, F.sort_array("depends_on")).alias("depends_on"), F.col("call_id").alias("id"), F.lit("tool_call").alias("kind"), "name")
-    call_rows = placed.select("conv_id", F.greatest("turn", "after").alias("at"), F.lit(1).alias("step"), F.coalesce("level", F.lit(0)).alias("level"), F.col("call_id").alias("event_id"), status.alias("status"), F.to_json(body).alias("json"))
-    linked = results.hint("shuffle_hash").join(places.select(*key, "level", F.col("after").alias("call_at"), F.lit(True).alias("found")), key, "left")
+    call_rows = placed.select("conv_id", F.when(own_place, F.greatest("turn", "after")).otherwise(F.col("turn")).alias("at"), F.lit(1).alias("step"), F.when(own_place, F.coalesce("level", F.lit(0))).otherwise(0).alias("level"), F.col("call_id").alias("event_id"), status.alias("status"), F.to_json(body).alias("json"))
+    linked = results.withColumn("whole", whole).hint("shuffle_hash").join(places.select(*key, F.col("level").alias("call_level"), F.col("after").alias("call_after"), F.lit(True).alias("known")), key, "left")
+    found = F.col("whole") & F.col("known").isNotNull()
+    linked = linked.select("conv_id", "turn", "call_id", "content", found.alias("found"), F.when(found, F.col("call_level")).alias("level"), F.when(found, F.col("call_after")).alias("call_at"))
     answer = F.struct("content", F.lit("tool_result").alias("kind"), F.col("call_id").alias("tool_call_id"))
     result_rows = linked.select("conv_id", F.greatest("turn", "call_at").alias("at"), F.lit(2).alias("step"), F.coalesce("level", F.lit(0)).alias("level"), F.col("call_id").alias("event_id"), F.when(F.col("found"), "ok").otherwise("orphan").alias("status"), F.to_json(answer).alias("json"))
     said = F.struct(F.col("text").alias("content"), F.lit("message").alias("kind"), "role")

@@ -95,7 +95,7 @@ class Filter:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         total, counts = self.counts(texts)
-        letters = [any(c.isalpha() for c in t) if n == 0 else True for t, n in zip(texts, total, strict=True)]
+        letters = [any(map(str.isalpha, t)) for t in texts]  # n-grams are also made of marks
         best = counts.argmax(1)
         score = counts[np.arange(len(texts)), best] / np.maximum(counts.sum(1), 1e-9)
         return [self.languages[b] if has else "und" for b, has in zip(best, letters, strict=True)], np.where(letters, score, 0.0)

@@ -89,15 +89,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns' own calls and results, and beside them each user's turn as a call of an `answer` tool with the
-    assistant's turn after it as the result."""
+    assistant's turn after it as the result. In every third conversation a call depends on the one two turns before it, up
+    to four in a row; in every seventh it is made again a turn later, and in every eleventh it names no known tool."""
     from tidegauge.llm import chat
 
     turns = table(spark, sf_dir, "conversations")
     messages, calls, results = chat.extract(turns)
     call_id = lambda turn: F.substring(F.md5(F.concat_ws(":", "conv_id", turn).cast("binary")), 1, 12)
-    asked = turns.where("role = 'user'").select("conv_id", "turn", call_id(F.col("turn")).alias("call_id"), F.lit("answer").alias("name"), F.to_json(F.struct("turn", F.col("text").alias("question"))).alias("arguments"), F.array().cast("array<string>").alias("depends_on"))
+    waits = (F.col("conv_id") % 3 == 0) & (F.col("turn") % 8 >= 2)
+    asked = turns.where("role = 'user'").select(
+        "conv_id", "turn", call_id(F.col("turn")).alias("call_id"), F.when(F.col("conv_id") % 11 == 0, "ask").otherwise("answer").alias("name"),
+        F.to_json(F.struct("turn", F.col("text").alias("question"))).alias("arguments"), F.when(waits, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    )
+    again = asked.where("conv_id % 7 = 0").withColumn("turn", F.col("turn") + 1)
     given = turns.where("role = 'assistant'").select("conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return chat.link(messages, calls.unionByName(asked), results.unionByName(given), {"answer": {"question": "string", "turn": "integer"}})
+    return chat.link(messages, calls.unionByName(asked).unionByName(again), results.unionByName(given), {"answer": {"question": "string", "turn": "integer"}})
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,23 +257,30 @@ ORACLES: dict[str, str] = {
     "op4_extendible_shards": _SHARDS.format(limit=SHARD_BYTES),
     "extendible_shards_fine": _SHARDS.format(limit=FINE_SHARD_BYTES),
     "op10_tool_call_links": """
-        WITH calls AS (
-            SELECT conv_id, turn, substr(md5(conv_id || ':' || turn), 1, 12) AS call_id,
-                   '{"arguments":{"question":' || to_json(text) || ',"turn":' || turn || '},"id":"' || substr(md5(conv_id || ':' || turn), 1, 12) || '","kind":"tool_call","name":"answer"}' AS json
-            FROM conversations WHERE role = 'user'
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, turn, substr(md5(conv_id || ':' || turn), 1, 12) AS call_id, conv_id % 3 = 0 AND turn % 8 >= 2 AS waits, substr(md5(conv_id || ':' || (turn - 2)), 1, 12) AS dep,
+                   CASE WHEN conv_id % 11 = 0 THEN 'ask' ELSE 'answer' END AS name, '{"arguments":{"question":' || to_json(text) || ',"turn":' || turn || '}' AS head FROM conversations WHERE role = 'user'
+        ), levels AS (
+            SELECT conv_id, call_id, turn, 0 AS level FROM calls WHERE NOT waits
+            UNION ALL
+            SELECT c.conv_id, c.call_id, c.turn, l.level + 1 FROM calls c JOIN levels l ON c.waits AND l.conv_id = c.conv_id AND l.call_id = c.dep
         ), results AS (
             SELECT conv_id, turn, substr(md5(conv_id || ':' || (turn - 1)), 1, 12) AS call_id, text FROM conversations WHERE role = 'assistant'
-        ), first AS (
-            SELECT conv_id, call_id, min(turn) AS turn FROM calls GROUP BY ALL
+        ), written AS (
+            SELECT c.conv_id, c.call_id, c.turn, c.name, l.level, head || CASE WHEN waits THEN ',"depends_on":["' || dep || '"]' ELSE '' END || ',"id":"' || c.call_id || '","kind":"tool_call","name":"' || c.name || '"}' AS json,
+                   EXISTS (SELECT 1 FROM results r WHERE r.conv_id = c.conv_id AND r.call_id = c.call_id) AS answered
+            FROM calls c LEFT JOIN levels l USING (conv_id, call_id)
         )
         SELECT conv_id, turn AS at, 0 AS step, 0 AS level, NULL AS event_id, 'ok' AS status,
                '{"content":' || to_json(text) || ',"kind":"message","role":' || to_json(role) || '}' AS json FROM conversations
         UNION ALL
-        SELECT c.conv_id, c.turn, 1, 0, c.call_id, CASE WHEN EXISTS (SELECT 1 FROM results r WHERE r.conv_id = c.conv_id AND r.call_id = c.call_id) THEN 'ok' ELSE 'unanswered' END, json FROM calls c
+        SELECT conv_id, turn, 1, coalesce(level, 0), call_id, CASE WHEN level IS NULL THEN 'bad_dependency' WHEN name = 'ask' THEN 'unknown_tool' WHEN answered THEN 'ok' ELSE 'unanswered' END, json FROM written
+        UNION ALL
+        SELECT conv_id, turn + 1, 1, 0, call_id, 'duplicate', json FROM written WHERE conv_id % 7 = 0
         UNION ALL
-        SELECT r.conv_id, greatest(r.turn, f.turn), 2, 0, r.call_id, CASE WHEN f.call_id IS NULL THEN 'orphan' ELSE 'ok' END,
+        SELECT r.conv_id, r.turn, 2, coalesce(w.level, 0), r.call_id, CASE WHEN w.call_id IS NULL THEN 'orphan' ELSE 'ok' END,
                '{"content":' || to_json(r.text) || ',"kind":"tool_result","tool_call_id":"' || r.call_id || '"}'
-        FROM results r LEFT JOIN first f ON f.conv_id = r.conv_id AND f.call_id = r.call_id
+        FROM results r LEFT JOIN written w ON w.conv_id = r.conv_id AND w.call_id = r.call_id
     """,
     "op6_line_dedup": f"""
         WITH lines AS (
