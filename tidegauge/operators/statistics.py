@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.spectral import trust_score
+
 
 def assemble_features(long: DataFrame, key: list[str], name: str, value: str, names: list[str]) -> DataFrame:
     """Long name/value rows as one wide row a key, in fixed order, missing ones 0, and as `features`."""
@@ -122,11 +124,8 @@ def edmd_pairs(df: DataFrame, series: str, order: str, vector: str, degree: int
     return rows.withColumn("psi_next", F.lead("psi").over(Window.partitionBy(series).orderBy(order))).where("psi_next is not null")
 
 
-def edmd_fit(df: DataFrame, series: str, order: str, vector: str, degree: int = 2, weight: str | None = None) -> DataFrame:
-    """(series, m, operator, re, im, gap, error, condition): K with psi_k K ~ psi_k+1 from the pairs' products; sums are
-    aggregated, and one small problem a series is solved; a pair may have its first row's weight."""
-    pairs = edmd_pairs(df, series, order, vector, degree).withColumn("_z", _weighted(F.concat("psi", "psi_next"), weight))
-    kind = df.schema[series].dataType.simpleString()
+def _edmd_solve(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m, operator, re, im, gap, error, condition) from pairs whose `_z` is a basis and the next row's basis."""
 
     def solve(frames):
         for pdf in frames:
@@ -143,10 +142,18 @@ def edmd_fit(df: DataFrame, series: str, order: str, vector: str, degree: int =
                 size = np.abs(e)
                 gap = float(size[0] - size[1]) / max(size[0], 1e-12) if k > 1 else 1.0
                 off = np.trace(b) - 2 * np.trace(op.T @ a) + np.trace(op.T @ g @ op)
-                out.append((r[series], int(m), op.ravel().tolist(), e.real.tolist(), e.imag.tolist(), gap, float(np.sqrt(max(off, 0.0) / max(np.trace(b), 1e-12))), float(np.linalg.cond(g))))
-            yield pd.DataFrame(out, columns=[series, "m", "operator", "re", "im", "gap", "error", "condition"])
+                out.append((*[r[c] for c in keys], int(m), op.ravel().tolist(), e.real.tolist(), e.imag.tolist(), gap, float(np.sqrt(max(off, 0.0) / max(np.trace(b), 1e-12))), float(np.linalg.cond(g))))
+            yield pd.DataFrame(out, columns=[*keys, "m", "operator", "re", "im", "gap", "error", "condition"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keys)
+    return gram(pairs, keys, "_z").mapInPandas(solve, f"{kinds}, m long, operator array<double>, re array<double>, im array<double>, gap double, error double, condition double")
 
-    return gram(pairs, [series], "_z").mapInPandas(solve, f"{series} {kind}, m long, operator array<double>, re array<double>, im array<double>, gap double, error double, condition double")
+
+def edmd_fit(df: DataFrame, series: str, order: str, vector: str, degree: int = 2, weight: str | None = None) -> DataFrame:
+    """(series, m, operator, re, im, gap, error, condition): K with psi_k K ~ psi_k+1 from the pairs' products; sums are
+    aggregated, and one small problem a series is solved; a pair may have its first row's weight."""
+    pairs = edmd_pairs(df, series, order, vector, degree).withColumn("_z", _weighted(F.concat("psi", "psi_next"), weight))
+    return _edmd_solve(pairs, [series])
 
 
 def windowed(df: DataFrame, series: str, order: str, width: int, stride: int) -> DataFrame:
@@ -159,11 +166,75 @@ def windowed(df: DataFrame, series: str, order: str, width: int, stride: int) ->
     return spread.withColumn("half", ((F.col("_i") - F.col("window") * stride) >= width // 2).cast("int")).drop("_i", "_n")
 
 
-def windowed_edmd(df: DataFrame, series: str, order: str, vector: str, width: int, stride: int) -> DataFrame:
-    """An EDMD of every window of every series (degree 1)."""
-    rows = windowed(df, series, order, width, stride).withColumn("_k", F.concat_ws(":", F.col(series).cast("string"), F.col("window").cast("string")))
-    fit = edmd_fit(rows, "_k", order, vector, degree=1)
-    return fit.select(F.split("_k", ":")[0].alias(series), F.split("_k", ":")[1].cast("long").alias("window"), "m", "re", "im", "gap", "error", "condition")
+def z_scored(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """df with its vectors' parts less their mean and over their deviation in their group; parts that hardly vary are only
+    centred."""
+    parts = df.select(key, F.posexplode(vector).alias("_i", "_x")).groupBy(key, "_i").agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
+    scale = parts.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct("_i", "_m", F.when(F.col("_s") < 1e-10, 1.0).otherwise(F.col("_s")).alias("_s")))).alias("_z"))
+    return df.join(scale, F.col(key).eqNullSafe(F.col("_key"))).withColumn(vector, F.zip_with(vector, "_z", lambda x, z: (x - z["_m"]) / z["_s"])).drop("_key", "_z")
+
+
+def windowed_edmd(df: DataFrame, series: str, order: str, vector: str, width: int, stride: int | None = None, degree: int = 1, most_condition: float = 1e6, over: float = 0.01) -> DataFrame:
+    """(series, window, m, re, im, gap, error, condition, drift, trust, rejected) of every window of `width` rows, a new one
+    every `stride` rows (a quarter of the width): the EDMD of the z-scored series. Values larger than 1 + `over` are put on
+    the unit circle; drift is the distance of the two halves' magnitudes; windows of a condition over `most_condition` are
+    rejected. A pair of rows is made once and counted in each window, and half, that holds both; only sums are shuffled."""
+    stride = stride or max(width // 4, 1)
+    rows = z_scored(df.select(series, order, F.col(vector).cast("array<double>").alias(vector)), series, vector)
+    by = Window.partitionBy(series)
+    rows = rows.withColumn("_i", F.row_number().over(by.orderBy(order)) - 1).withColumn("_n", F.count("*").over(by))
+    pairs = edmd_pairs(rows, series, order, vector, degree).withColumn("_z", F.concat("psi", "psi_next"))
+    first = F.greatest(F.ceil((F.col("_i") + 2 - width) / stride), F.lit(0))
+    last = F.least(F.floor(F.col("_i") / stride), F.floor((F.col("_n") - width) / stride))
+    pairs = pairs.where((F.col("_n") >= width) & (first <= last)).withColumn("window", F.explode(F.sequence(first, last)))
+    at = F.col("_i") - F.col("window") * stride
+    half = F.when(at + 1 < width // 2, 1).when(at >= width // 2, 2)
+    pairs = pairs.select(series, "window", F.explode(F.array_compact(F.array(F.lit(0), half))).alias("part"), "_z")
+    fit = _edmd_solve(pairs, [series, "window", "part"])
+    size = F.transform(F.arrays_zip("re", "im"), lambda z: F.hypot(z["re"], z["im"]))
+    halves = fit.where("part > 0").groupBy(F.col(series).alias("_s"), F.col("window").alias("_w")).agg(F.max_by(size, "part").alias("_b"), F.min_by(size, "part").alias("_a"), F.count("*").alias("_halves"))
+    drift = F.when(F.col("_halves") == 2, F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))).otherwise(0.0)
+    met = fit.where("part = 0").join(halves, F.col(series).eqNullSafe(F.col("_s")) & (F.col("window") == F.col("_w")), "left").withColumn("drift", F.coalesce(drift, F.lit(0.0)))
+    shrink = lambda c: F.zip_with(c, size, lambda x, m: F.when(m > 1 + over, x / m).otherwise(x))
+    trust = trust_score(F.col("gap"), F.col("error"), F.col("drift"), F.col("condition"))
+    return met.select(series, "window", "m", shrink("re").alias("re"), shrink("im").alias("im"), "gap", "error", "condition", "drift", trust.alias("trust"), (F.col("condition") > most_condition).alias("rejected"))
+
+
+def reduce_windows(windows: DataFrame, series: str, energy: float = 0.9) -> DataFrame:
+    """(series, windows, rejected, re, im, kept, energy, gap, error, condition, trust): what a series' windows that are not
+    rejected have in common. Magnitudes are medians over windows, phases those of the window whose trust is nearest to the
+    median; the largest values are kept until they hold a share `energy` of all squares."""
+    sound = windows.where("NOT rejected")
+    whole = windows.groupBy(series).agg(F.count_if(~F.col("rejected")).alias("windows"), F.count_if("rejected").alias("rejected"))
+    told = sound.groupBy(series).agg(F.avg("error").alias("error"), F.percentile("condition", 0.5).alias("condition"), F.avg("trust").alias("trust"), F.percentile("trust", 0.5).alias("_middle"))
+    parts = sound.select(series, F.posexplode(F.transform(F.arrays_zip("re", "im"), lambda z: F.hypot(z["re"], z["im"]))).alias("_i", "_x"))
+    sizes = parts.groupBy(series, "_i").agg(F.percentile("_x", 0.5).alias("_m")).groupBy(series).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda a: a["_m"]).alias("_sizes"))
+    middle = sound.join(told.select(series, "_middle"), series).groupBy(series).agg(F.min_by(F.transform(F.arrays_zip("re", "im"), lambda z: F.atan2(z["im"], z["re"])), F.struct(F.abs(F.col("trust") - F.col("_middle")), "window")).alias("_phases"))
+    out = whole.join(told, series, "left").join(sizes, series, "left").join(middle, series, "left")
+    ranked = F.reverse(F.array_sort(F.zip_with("_sizes", "_phases", lambda m, p: F.struct(m.alias("m"), p.alias("p")))))
+    square = lambda n: F.aggregate(F.slice("_ranked", 1, n), F.lit(0.0), lambda s, z: s + z["m"] * z["m"])
+    out = out.withColumn("_ranked", ranked).withColumn("_all", square(F.size("_ranked")))
+    share = lambda n: F.when(F.col("_all") > 1e-15, square(n) / F.col("_all")).otherwise(1.0)
+    kept = F.array_min(F.filter(F.sequence(F.lit(1), F.size("_ranked")), lambda n: (share(n) >= energy) | (n == F.size("_ranked"))))
+    out = out.withColumn("kept", F.when(F.col("_ranked").isNotNull(), kept))
+    top = lambda f: F.transform(F.slice("_ranked", 1, F.col("kept")), f)
+    gap = F.get("_ranked", F.lit(0))["m"] - F.coalesce(F.get("_ranked", F.lit(1))["m"], F.lit(0.0))
+    return out.select(series, "windows", "rejected", top(lambda z: z["m"] * F.cos(z["p"])).alias("re"), top(lambda z: z["m"] * F.sin(z["p"])).alias("im"), "kept", share(F.col("kept")).alias("energy"), gap.alias("gap"), "error", "condition", "trust")
+
+
+def running_moments(df: DataFrame, key: str, order: str, vector: str, decay: float = 0.95) -> DataFrame:
+    """(key, n, mean, cov) after each group's last row: an exponentially weighted mean, from the first row on, and the
+    weighted mean of the products of what was off it, decay C + (1 - decay) d d^T with d the row less the mean that holds it.
+    Means are an affine recurrence of each part, folded in chunks; the covariance is one weighted sum of products."""
+    from tidegauge.operators.windows import linear_recurrence
+
+    rows = df.select(key, order, F.posexplode(F.col(vector).cast("array<double>")).alias("_part", "_x"))
+    means = linear_recurrence(rows, [key, "_part"], order, "_x", decay, 1.0 - decay, "_m")
+    off = means.groupBy(key, order).agg(F.sort_array(F.collect_list(F.struct("_part", "_m", (F.col("_x") - F.col("_m")).alias("_d")))).alias("_v"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) - 1
+    weighed = off.withColumn("_w", F.sqrt((1.0 - decay) * F.pow(F.lit(decay), back))).withColumn("_z", F.transform("_v", lambda v: v["_d"] * F.col("_w")))
+    last = off.groupBy(key).agg(F.transform(F.max_by("_v", order), lambda v: v["_m"]).alias("mean"))
+    return gram(weighed, [key], "_z").join(last, key).select(key, "n", "mean", F.col("products").alias("cov"))
 
 
 def fit_calendar_lift(pairs: DataFrame, channels: DataFrame, key: str, x: str, y: str, kappa: float = 2.0, least_weight: float = 0.01, least_rows: int = 5) -> DataFrame:

@@ -234,8 +234,12 @@ def j04_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def j06_duffing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("x"))
-    return states.duffing_filter(e, "user_id", "ts", "x")
+    """Each user's values as amplitudes and their steps as frequencies of the backbone."""
+    from tidegauge.streaming.folds import BackboneFilter, fold
+
+    by_user = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 500).alias("amplitude"), F.lit(True).alias("active"))
+    return fold(e.withColumn("frequency", F.abs(F.col("amplitude") - F.lag("amplitude").over(by_user))), "user_id", "event_id", BackboneFilter("frequency", "amplitude", "active")).drop("active")
 
 
 @query("SELECT user_id, event_id, round(0.3::DOUBLE * value / 500, 6) AS delta_regime, round(0.2::DOUBLE * (value / 1000 + 0.3::DOUBLE * value / 500), 6) AS delta_fundamental FROM events")

@@ -165,7 +165,48 @@ def j05_regime_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("x"))
     step = F.coalesce(F.col("x") - F.lag("x").over(Window.partitionBy("user_id").orderBy("ts")), F.lit(0.0))
-    return regime_events(e.withColumn("v", F.array("x", step)), "user_id", "ts", "v").select("user_id", "ts", "regime", "event")
+    return regime_events(e.withColumn("v", F.array("x", step)), "user_id", "ts", "v")
+
+
+@query()
+def j09_reharmonize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chained tracker over each user's values and their steps; returns are the values' changes."""
+    from pyspark.sql import Window
+
+    from tidegauge.streaming.folds import reharmonize
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 500).alias("x"))
+    step = F.coalesce(F.col("x") - F.lag("x").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(0.0))
+    return reharmonize(e.withColumn("step", step).withColumn("v", F.array("x", "step")), "user_id", "event_id", "v", "step")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value / 500 - 0.2::DOUBLE AS r, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM events),
+    c AS (SELECT *, sum(r) OVER p AS cumulative, count(*) OVER p AS n, coalesce(var_samp(r) OVER p, 0) AS variance, avg(r) OVER p AS mean FROM e WINDOW p AS (PARTITION BY user_id, w ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+    k AS (SELECT *, greatest(max(cumulative) OVER (PARTITION BY user_id, w ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) - cumulative AS down FROM c),
+    d AS (SELECT *, max(down) OVER (PARTITION BY user_id, w ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS drawdown FROM k)
+    SELECT user_id, event_id, CASE WHEN w > 0 THEN w END::INT AS window, CASE WHEN w > 0 THEN n END::INT AS returns, round(CASE WHEN w > 0 THEN cumulative END, 6) AS cumulative, round(CASE WHEN w > 0 THEN variance END, 6) AS variance,
+        round(CASE WHEN w > 0 THEN drawdown END, 6) AS drawdown, round(CASE WHEN w > 0 THEN CASE WHEN n >= 3 THEN mean / sqrt(greatest(variance, 1e-15::DOUBLE)) ELSE 0 END END, 6) AS sharpe FROM d""")
+def j09_profit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker's last stage on its own: each user's returns from one purchase to the next."""
+    from tidegauge.streaming.folds import ProfitWindows, fold
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 500 - 0.2).alias("r"), (F.col("event_type") == "purchase").alias("bought"))
+    told = fold(e, "user_id", "event_id", ProfitWindows("r", "bought", 3))
+    return told.select("user_id", "event_id", "window", "returns", *[F.round(c, 6).alias(c) for c in ("cumulative", "variance", "drawdown", "sharpe")])
+
+
+@query("""WITH RECURSIVE v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS n, embedding::DOUBLE[] AS x FROM embeddings),
+    m AS (SELECT label, i, n, x, x AS m FROM v WHERE i = 1 UNION ALL SELECT v.label, v.i, v.n, v.x, list_transform(range(1, 65), lambda k: 0.95::DOUBLE * m.m[k] + 0.05::DOUBLE * v.x[k]) FROM v JOIN m ON v.label = m.label AND v.i = m.i + 1),
+    d AS (SELECT label, i, n, m, list_transform(range(1, 65), lambda k: x[k] - m[k]) AS d FROM m)
+    SELECT label, max(n) AS n, round(list_sum(arg_max(m, i)), 6) AS mean_sum, round(sum(0.05::DOUBLE * 0.95::DOUBLE ** (n - i) * list_sum(list_transform(d, lambda a: a * a))), 6) AS cov_trace, round(sum(0.05::DOUBLE * 0.95::DOUBLE ** (n - i) * list_sum(d) ** 2), 6) AS cov_sum FROM d GROUP BY label""")
+def j04_running_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running mean and covariance of each label's vectors, told by their sums and the trace."""
+    from tidegauge.operators.statistics import running_moments
+
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    told = running_moments(vectors(spark, sf_dir), "label", "vec_id", "v")
+    trace = total(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.get("cov", k * 65)))
+    return told.select("label", "n", F.round(total("mean"), 6).alias("mean_sum"), F.round(trace, 6).alias("cov_trace"), F.round(total("cov"), 6).alias("cov_sum"))
 
 
 @query()

@@ -70,6 +70,13 @@ def e14_windowed_edmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.windowed_edmd(x, "user_id", "ts", "x", 20, 10)
 
 
+@query()
+def e14_reduced_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's windows have in common."""
+    x = table(spark, sf_dir, "events").select("user_id", "ts", F.array(F.col("value") / 500, (F.col("event_id") % 7) / 7.0).alias("x"))
+    return st.reduce_windows(st.windowed_edmd(x, "user_id", "ts", "x", 40), "user_id")
+
+
 @query("""SELECT event_type, count(*) AS trials, count(*) FILTER (value > 100) AS successes, round(1 - count(*) FILTER (value > 100) / count(*), 6) AS failure_rate, round(avg(value) FILTER (value > 100), 6) AS mean,
     round(quantile_cont(value, 0.5::DOUBLE) FILTER (value > 100), 6) AS median, round(quantile_cont(value, 0.75::DOUBLE) FILTER (value > 100), 6) AS p75, round(quantile_cont(value, 0.95::DOUBLE) FILTER (value > 100), 6) AS p95, min(value) FILTER (value > 100) AS least, max(value) FILTER (value > 100) AS most FROM events GROUP BY 1""")
 def d16_trial_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,29 +53,21 @@ def _in_order(df: DataFrame, key: str, order: str, fn: Callable, out: str) -> Da
                 told, state = fn(name, rows, state)
                 yield told
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, out)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks as the session has, however few the bytes
+    return df.repartition(n, key).sortWithinPartitions(key, order).mapInPandas(run, out)
 
 
-def tick_state(stream: DataFrame, key: str = "symbol", order: str = "ts", price: str = "price") -> DataFrame:
+def tick_state(stream: DataFrame, key: str = "symbol", order: str = "ts", price: str = "price", idle: float | None = None) -> DataFrame:
     """Per tick: the last price and its momentum over the tick before; a zero price changes nothing. A batch input gives
-    the same rows by windows."""
-    if not stream.isStreaming:
+    the same rows by windows. A symbol that is idle for so many seconds starts afresh, and a stream lets its state go."""
+    if not stream.isStreaming and idle is None:
         before = F.lag(price).over(Window.partitionBy(key).orderBy(order))
         ticks = stream.where(F.col(price) != 0)
         return ticks.select(key, order, price, F.coalesce((F.col(price) - before) / before, F.lit(0.0)).alias("momentum"))
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames).sort_values(order)
-        rows = rows[rows[price] != 0]
-        last = state.get[0] if state.exists else None
-        before = rows[price].shift(1)
-        if len(rows):
-            before.iloc[0] = last if last is not None else np.nan
-            state.update((float(rows[price].iloc[-1]),))
-            yield pd.DataFrame({key: k[0], order: rows[order], price: rows[price], "momentum": ((rows[price] - before) / before).fillna(0.0)})
+    from tidegauge.streaming.folds import Ticks, fold
 
-    kind = stream.schema
-    return _stateful(stream, key, step, f"{key} {kind[key].dataType.simpleString()}, {order} timestamp, {price} double, momentum double", "last double")
+    return fold(stream.where(F.col(price) != 0).select(key, order, price), key, order, Ticks(price), idle)
 
 
 def shock_state(events: DataFrame, key: str, ts: str, impact: str, now: Column, tau_hours: float) -> DataFrame:
@@ -85,24 +77,13 @@ def shock_state(events: DataFrame, key: str, ts: str, impact: str, now: Column,
     return events.groupBy(key).agg(F.sum(F.col(impact) * decay).alias("shock"), F.max(decay).alias("max_decay"), F.max_by(impact, ts).alias("last_impact"))
 
 
-def shock_stream(stream: DataFrame, key: str, ts: str, impact: str, tau_hours: float) -> DataFrame:
-    """Per event: the decayed level right after it. Decay is multiplicative, so a key's state is a level and a time."""
-    kind = stream.schema[key].dataType.simpleString()
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames).sort_values(ts)
-        level, at = state.get if state.exists else (0.0, None)
-        out = []
-        for t, x in zip(rows[ts], rows[impact], strict=True):
-            now = t.timestamp()
-            if at is not None:
-                level *= math.exp(-max(0.0, now - at) / 3600.0 / tau_hours)
-            level, at = level + float(x), now if at is None else max(at, now)
-            out.append(level)
-        state.update((level, at))
-        yield pd.DataFrame({key: k[0], ts: rows[ts], "level": out})
+def shock_stream(stream: DataFrame, key: str, ts: str, impact: str, tau_hours: float, idle: float | None = None) -> DataFrame:
+    """Per event: the decayed level right after it. Decay is multiplicative, so a key's state is a level and a time. A key
+    that is idle for so many seconds starts afresh: what has decayed for long may be let go."""
+    from tidegauge.streaming.folds import Shocks, fold
 
-    return _stateful(stream, key, step, f"{key} {kind}, {ts} timestamp, level double", "level double, at double")
+    rows = stream.select(key, ts, F.col(impact).cast("double").alias(impact), (micros(F.col(ts)) / 1e6).alias("_t"))
+    return fold(rows, key, ts, Shocks(impact, "_t", tau_hours), idle).select(key, ts, "level")
 
 
 def reliability(df: DataFrame, key: str, order: str, predicted: str, observed: str) -> DataFrame:
@@ -128,82 +109,14 @@ def reliability(df: DataFrame, key: str, order: str, predicted: str, observed: s
     return _stateful(df, key, step, f"{key} {kind}, {order} timestamp, trust double", "trust double")
 
 
-class RegimeTracker:
-    """Regimes that persist: the first starts after `enter` vectors in a row, a regime ends after `leave` vectors farther
-    than `far` (in cosine distance) from its centroid, and a new one near an old one (above `merge`) takes up its id."""
-
-    def __init__(self, enter: int = 5, leave: int = 3, far: float = 0.3, merge: float = 0.85, rate: float = 0.1):
-        self.enter, self.leave, self.far, self.merge, self.rate = enter, leave, far, merge, rate
-        self.current, self.away = -1, 0
-        self.known: list[list[float]] = []
-        self.buffer: list[list[float]] = []
-
-    @staticmethod
-    def near(a: np.ndarray, b: np.ndarray) -> float:
-        n = float(np.linalg.norm(a) * np.linalg.norm(b))
-        return float(a @ b) / n if n > 1e-12 else 0.0
-
-    def step(self, x: np.ndarray) -> tuple[int, str]:
-        """(regime, what happened: '', 'enter' or 'switch')."""
-        if self.current < 0:
-            self.buffer.append([float(v) for v in x])
-            if len(self.buffer) < self.enter:
-                return -1, ""
-            return self._promote("enter")
-        centre = np.array(self.known[self.current])
-        if 1.0 - self.near(x, centre) <= self.far:
-            self.known[self.current] = [float(v) for v in (1 - self.rate) * centre + self.rate * x]
-            self.away, self.buffer = 0, []
-            return self.current, ""
-        self.away += 1
-        self.buffer.append([float(v) for v in x])
-        return self._promote("switch") if self.away >= self.leave else (self.current, "")
-
-    def _promote(self, what: str) -> tuple[int, str]:
-        centre = np.mean(self.buffer, axis=0)
-        likeness = [self.near(centre, np.array(k)) for k in self.known]
-        if likeness and max(likeness) >= self.merge:
-            self.current = int(np.argmax(likeness))
-        else:
-            self.known.append([float(v) for v in centre])
-            self.current = len(self.known) - 1
-        self.away, self.buffer = 0, []
-        return self.current, what
-
-    def dump(self) -> tuple:
-        return self.current, self.away, self.known, self.buffer
-
-    def load(self, state: tuple) -> RegimeTracker:
-        self.current, self.away = int(state[0]), int(state[1])
-        self.known, self.buffer = [list(map(float, v)) for v in state[2]], [list(map(float, v)) for v in state[3]]
-        return self
-
-
-def regime_events(df: DataFrame, key: str, order: str, vector: str, **options) -> DataFrame:
-    """(key, order, regime, event) of every row; the same for batches (a series at a time) and streams."""
-    kind = df.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, {order} timestamp, regime int, event string"
-
-    def walk(name, rows: pd.DataFrame, tracker: RegimeTracker) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        told = [tracker.step(np.asarray(x, float)) for x in rows[vector]]
-        return pd.DataFrame({key: name, order: rows[order], "regime": [t[0] for t in told], "event": [t[1] for t in told]})
-
-    def onward(name, rows: pd.DataFrame, tracker: RegimeTracker | None) -> tuple[pd.DataFrame, RegimeTracker]:
-        tracker = tracker or RegimeTracker(**options)
-        return walk(name, rows, tracker), tracker
-
-    if not df.isStreaming:
-        return _in_order(df.select(key, order, vector), key, order, onward, out)
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = RegimeTracker(**options)
-        if state.exists:
-            tracker.load(state.get)
-        yield walk(k[0], pd.concat(frames), tracker)
-        state.update(tracker.dump())
+def regime_events(df: DataFrame, key: str, order: str, vector: str, energy: Column | None = None, idle: float | None = None, **options) -> DataFrame:
+    """(key, order, regime, event, confidence, energy_mean, energy_std, magnitude) of every row, for tables and streams; the
+    energy is the vector's length unless another one is given. See `folds.Regimes`."""
+    from tidegauge.streaming.folds import Regimes, fold
 
-    return _stateful(df, key, step, out, "current int, away int, known array<array<double>>, buffer array<array<double>>")
+    length = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x * x))
+    rows = df.select(key, order, vector, F.coalesce(length if energy is None else energy, F.lit(0.0)).alias("_energy"))
+    return fold(rows, key, order, Regimes(vector, "_energy", **options), idle).drop(vector, "_energy")
 
 
 def duffing_filter(df: DataFrame, key: str, order: str, value: str, noise: float = 1e-3, drift: float = 1e-4) -> DataFrame:
