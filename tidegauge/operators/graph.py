@@ -5,9 +5,10 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions import market
 from tidegauge.operators.store import checkpointed
 
 
@@ -42,6 +43,32 @@ def path_cost(path: DataFrame, edges: DataFrame, cost: str = "cost") -> DataFram
     return joined.agg(F.when(F.count("*") == F.count("_c"), F.sum("_c")).alias("cost"))
 
 
+def _inverse(p: Column, q: Column) -> Column:
+    """The inverse of p modulo q, from 0 to q - 1, by the extended Euclidean algorithm; null if they have a common divisor."""
+    start = F.struct(F.pmod(p, q).alias("a"), q.alias("b"), F.lit(1).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+
+    def step(s: Column, _: Column) -> Column:
+        by = F.when(s["b"] != 0, F.floor(s["a"] / s["b"])).otherwise(0)
+        done = s["b"] == 0
+        return F.struct(F.when(done, s["a"]).otherwise(s["b"]).alias("a"), F.when(done, s["b"]).otherwise(s["a"] - by * s["b"]).alias("b"), F.when(done, s["x"]).otherwise(s["y"]).alias("x"), F.when(done, s["y"]).otherwise(s["x"] - by * s["y"]).alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: F.when(s["a"] == 1, F.pmod(s["x"], q)))
+
+
+def fraction_edges(nodes: DataFrame) -> DataFrame:
+    """(src, dst), both directions, of fractions that are neighbours: |p b - a q| = 1. nodes: (node, p, q), q over 0 and p and
+    q under 2^31. Of two neighbours the one with the larger denominator knows the other: its denominator is the inverse of
+    plus or minus p modulo q, so each fraction asks for two others by equality and no pairs are compared. Fractions that
+    are not in lowest terms have no neighbours; equal fractions are neighbours of the same ones."""
+    own = nodes.where("q > 0").select("node", F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"))
+    inverse = market.let(_inverse(F.col("p"), F.col("q")), lambda x: F.when(F.col("q") == 1, F.lit(1).cast("long")).otherwise(x))
+    told = own.withColumn("inverse", inverse).where("inverse is not null")
+    sides = told.select("node", "p", "q", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("inverse").alias("b")), F.struct(F.lit(-1).alias("sign"), F.when(F.col("q") == 1, 1).otherwise(F.col("q") - F.col("inverse")).alias("b")))).alias("s"))
+    asked = sides.select(F.col("node").alias("src"), F.expr("(p * s.b - s.sign) div q").alias("p"), F.col("s.b").alias("q"))
+    met = asked.join(own.withColumnRenamed("node", "dst"), ["p", "q"]).select("src", "dst")
+    return met.unionByName(met.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
 def bfs(edges: DataFrame, source: int) -> DataFrame:
     """(node, hops) of all nodes reachable from a source; each round only its new nodes move on."""
     spark = edges.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import PowerIterationClustering
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import market
 from tidegauge.operators import statistics as st
+from tidegauge.operators.store import written
 
 
 def _literal(v: list[float]) -> F.Column:
@@ -109,3 +111,43 @@ def fiber_resonance(profiles: DataFrame, domain: str) -> DataFrame:
     p = profiles.select(F.col(domain).alias("d"), ratios.alias("r"))
     pairs = p.alias("x").join(p.alias("y"), F.col("x.d") < F.col("y.d"))
     return pairs.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), market.cosine(F.col("x.r"), F.col("y.r")).alias("similarity"))
+
+
+def shared_directions(df: DataFrame, domain: str, vector: str, k: int, least: float = 0.5) -> DataFrame:
+    """(direction, strength, least_norm, v): directions that lie in the subspaces of all domains, where a domain's subspace
+    is spanned by its k leading eigenvectors of sums of products. Directions are eigenvectors of the sum of the domains'
+    projectors, the strongest first, with their largest part positive; those stay whose projection onto every domain's
+    subspace has at least the norm `least`. Only one small matrix a domain is solved, and one for all."""
+    kind = df.schema[domain].dataType.simpleString()
+
+    def project(frames):
+        for pdf in frames:
+            out = []
+            for name, p in zip(pdf[domain], pdf["products"], strict=True):
+                d = int(round(len(p) ** 0.5))
+                e, v = np.linalg.eigh(np.asarray(p).reshape(d, d))
+                basis = v[:, ::-1][:, : min(k, int((e > 1e-12 * max(e[-1], 1e-300)).sum()))]
+                out.append((name, (basis @ basis.T).ravel().tolist()))
+            yield pd.DataFrame(out, columns=[domain, "projector"])
+
+    projectors = written(st.gram(df.where(F.col(domain).isNotNull()), [domain], vector).select(domain, "products").mapInPandas(project, f"{domain} {kind}, projector array<double>"), "projectors")
+    cells = projectors.select(F.posexplode("projector").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    whole = cells.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda a: a["x"]).alias("total")).join(F.broadcast(projectors.agg(F.count("*").alias("n"))), F.lit(True))  # one row each
+
+    def solve(frames):
+        for pdf in frames:
+            for total, n in zip(pdf["total"], pdf["n"], strict=True):
+                d = int(round(len(total) ** 0.5))
+                if not d or n < 2:
+                    continue
+                e, v = np.linalg.eigh(np.asarray(total).reshape(d, d))
+                order = np.argsort(-e, kind="stable")
+                v = v[:, order] * np.sign(v[np.abs(v).argmax(0), np.arange(d)])[order]
+                yield pd.DataFrame({"direction": range(1, d + 1), "strength": e[order] / n, "v": list(v.T.tolist())})
+
+    found = whole.where("size(total) > 0").mapInPandas(solve, "direction int, strength double, v array<double>")
+    size = F.size("v")
+    norm = F.aggregate(F.transform("projector", lambda p, i: p * F.get("v", F.floor(i / size).cast("int")) * F.get("v", (i % size).cast("int"))), F.lit(0.0), lambda s, x: s + x)
+    met = projectors.join(F.broadcast(found), F.lit(True)).withColumn("norm", F.sqrt(F.greatest(norm, F.lit(0.0))))  # as many directions as parts
+    told = met.groupBy("direction").agg(F.first("strength").alias("strength"), F.min("norm").alias("least_norm"), F.first("v").alias("v"))
+    return told.where(F.col("least_norm") >= least)

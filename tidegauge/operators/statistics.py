@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.spectral import trust_score
+from tidegauge.operators.blocks import MOST_ROWS, in_blocks
+from tidegauge.operators.store import written
 
 
 def assemble_features(long: DataFrame, key: list[str], name: str, value: str, names: list[str]) -> DataFrame:
@@ -219,7 +222,7 @@ def reduce_windows(windows: DataFrame, series: str, energy: float = 0.9) -> Data
     out = out.withColumn("kept", F.when(F.col("_ranked").isNotNull(), kept))
     top = lambda f: F.transform(F.slice("_ranked", 1, F.col("kept")), f)
     gap = F.get("_ranked", F.lit(0))["m"] - F.coalesce(F.get("_ranked", F.lit(1))["m"], F.lit(0.0))
-    return out.select(series, "windows", "rejected", top(lambda z: z["m"] * F.cos(z["p"])).alias("re"), top(lambda z: z["m"] * F.sin(z["p"])).alias("im"), "kept", share(F.col("kept")).alias("energy"), gap.alias("gap"), "error", "condition", "trust")
+    return out.select(series, "windows", "rejected", top(lambda z: z["m"] * F.cos(z["p"])).alias("re"), top(lambda z: z["m"] * F.sin(z["p"])).alias("im"), "kept", F.when(F.col("kept").isNotNull(), share(F.col("kept"))).alias("energy"), gap.alias("gap"), "error", "condition", "trust")
 
 
 def running_moments(df: DataFrame, key: str, order: str, vector: str, decay: float = 0.95) -> DataFrame:
@@ -319,9 +322,10 @@ def cv_summary(fits: DataFrame, column: str = "a", most_range: float = 5.0) -> D
     return out.withColumn("stable", F.col("range_percent") < most_range)
 
 
-def skyline(df: DataFrame, key: str, minimise: list[str], maximise: list[str] | None = None) -> DataFrame:
-    """Rows that no other row dominates. Each partition finds its own skyline first; what is left, a small part, is
-    compared with all of them."""
+def skyline(df: DataFrame, key: str, minimise: list[str], maximise: list[str] | None = None, fan: int = 8, most: int = MOST_ROWS) -> DataFrame:
+    """Rows that no other row dominates; equal rows stay together. Each partition finds its own skyline, and these are merged
+    `fan` at a time in a tree, until at most `most` rows are left for the last task. A skyline of more rows than that is
+    compared with itself in blocks of a checked size instead."""
     cols = [*minimise, *(maximise or [])]
     sign = np.array([1.0] * len(minimise) + [-1.0] * len(maximise or []))
 
@@ -340,12 +344,23 @@ def skyline(df: DataFrame, key: str, minimise: list[str], maximise: list[str] |
         if best is not None:
             yield best
 
-    some = df.select(key, *cols).mapInPandas(local, df.select(key, *cols).schema)
+    rows = df.select(key, *cols)
+    some = written(rows.mapInPandas(local, rows.schema), "skyline")
+    n, parts = some.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1 and n > most:
+        parts, before = -(-parts // fan), n
+        some = written(some.repartition(parts, *cols).mapInPandas(local, rows.schema), "skyline") if parts > 1 else some
+        n = some.count()
+        if n > 0.9 * before:  # merging takes little away: most of it is skyline
+            break
+    if n <= most:
+        return some.coalesce(1).mapInPandas(local, rows.schema)
     other = some.select(*[F.col(c).alias(f"_{c}") for c in cols]).distinct()
     no_worse = [F.col(f"_{c}") <= F.col(c) for c in minimise] + [F.col(f"_{c}") >= F.col(c) for c in maximise or []]
     better = [F.col(f"_{c}") < F.col(c) for c in minimise] + [F.col(f"_{c}") > F.col(c) for c in maximise or []]
-    all_ = lambda xs, f: __import__("functools").reduce(f, xs)
-    return some.join(other, all_(no_worse, lambda a, b: a & b) & all_(better, lambda a, b: a | b), "left_anti")
+    beats = functools.reduce(Column.__and__, no_worse) & functools.reduce(Column.__or__, better)
+    beaten = in_blocks(other, f"_{cols[0]}", lambda block: some.join(block, beats, "left_semi").select(key))
+    return some.join(beaten.distinct(), key, "left_anti")
 
 
 def hash_uniform(*parts: Column) -> Column:

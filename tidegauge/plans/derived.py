@@ -113,6 +113,12 @@ def d45_fiber_resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.fiber_resonance(st.spectral_summary(st.source_profile(vectors(spark, sf_dir), "label", "v"), "label", 8), "label")
 
 
+@query()
+def d45_shared_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions that the subspaces of all labels have in common."""
+    return learning.shared_directions(vectors(spark, sf_dir), "label", "v", 16)
+
+
 @query("""WITH r AS (SELECT DISTINCT source AS repo, unnest(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM documents), g AS (SELECT DISTINCT item_id AS gap, unnest(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM benchmark),
     n AS (SELECT gap, count(*) AS n FROM g GROUP BY 1), s AS (SELECT gap, repo, count(*) / max(n) AS relevance FROM g JOIN r USING (w) JOIN n USING (gap) GROUP BY ALL) SELECT gap, repo, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY gap ORDER BY relevance DESC, repo)::INT AS rank FROM s QUALIFY rank <= 3""")
 def f07_rank_for_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
