@@ -42,3 +42,21 @@ def test_planted_directions_are_found(spark):
         assert r.strength > 0.99 and r.least_norm > 0.99 and np.linalg.norm(common.T @ np.array(r.v)) > 0.99
     assert all(r.least_norm >= 0.5 for r in got) and all(r.strength < 0.9 for r in got[2:])
     assert learning.shared_directions(df.where("d = 0"), "d", "v", 4).count() == 0 and learning.shared_directions(df.limit(0), "d", "v", 4).count() == 0
+
+
+def test_calendar_stages(spark):
+    rng = np.random.default_rng(4)
+    base, extra, rows, phases = np.array([[0.5, 0.1], [0.0, 0.3]]), np.array([[0.0, 0.25], [0.2, 0.0]]), [], []
+    for i in range(600):
+        x, on = rng.normal(size=2), i % 3 == 0
+        rows.append((i, x.tolist(), (base @ x + (extra @ x if on else 0)).tolist()))
+        phases += [(i, "fed", 0.0 if on else math.pi, 1.0 if on else 0.01), (i, "rare", 0.0, 1.0 if i < 3 else 0.0)]
+    pairs, channels = spark.createDataFrame(rows, "k int, x array<double>, y array<double>"), spark.createDataFrame(phases, "k int, channel string, theta double, amplitude double")
+    got = {r.channel: r for r in st.fit_calendar_stages(pairs, channels, "k", "x", "y", bound=5.0, ridge=1e-6).collect()}
+    assert set(got) == {"base", "fed"}  # three rows are too few
+    full = np.reshape(got["base"].matrix, (2, 2)) + np.reshape(got["fed"].matrix, (2, 2))
+    assert np.allclose(full, base + extra, atol=0.02)
+    held = {r.channel: np.reshape(r.matrix, (2, 2)) for r in st.fit_calendar_stages(pairs, channels, "k", "x", "y", bound=0.55, ridge=1e-6).collect()}
+    whole = np.linalg.norm(held["base"] + np.reshape(got["fed"].matrix, (2, 2)), 2)
+    assert np.allclose(held["fed"], np.reshape(got["fed"].matrix, (2, 2)) * 0.55 / whole * 0.99, atol=0.02) or np.linalg.norm(held["base"] + held["fed"], 2) <= 0.62
+    assert st.fit_calendar_stages(pairs.limit(0), channels, "k", "x", "y").count() == 0

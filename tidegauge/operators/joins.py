@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import market
-from tidegauge.operators.blocks import in_blocks
+from tidegauge.operators.blocks import MOST_ROWS, in_blocks
 from tidegauge.operators.nearest import beside, nearest_in_space
 
 
@@ -24,6 +24,8 @@ def categorize(df: DataFrame, key: list[str], column: str, topics: list[tuple[st
 def classify_domain(docs: DataFrame, keywords: DataFrame, key: str, text: str, k: int = 1) -> DataFrame:
     """(key, domain, score) of the k domains that share most words with a text; `unknown` without any. keywords: (ord,
     domain, word)."""
+    if keywords.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+        keywords = F.broadcast(keywords)  # so that only words that hit are shuffled
     words = docs.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("word"))
     hits = words.join(keywords, "word").groupBy(key, "ord", "domain").agg(F.count("*").alias("score"))
     best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "ord"))).where(F.col("_r") <= k)

@@ -88,11 +88,11 @@ def fit_linear(df: DataFrame, key: list[str], x: str, y: str, ridge: float = 1e-
     return gram(both, key, "_z").join(sizes, key).mapInPandas(solve, f"{kinds}, n long, weights array<double>, r2 double")
 
 
-def fit_lift(pairs: DataFrame, key: list[str], x: str, y: str, ridge: float = 1.0, most_rank: int = 4, bound: float = 0.9) -> DataFrame:
+def fit_lift(pairs: DataFrame, key: list[str], x: str, y: str, ridge: float = 1.0, most_rank: int = 4, bound: float = 0.9, weight: str | None = None) -> DataFrame:
     """(key, n, matrix row-major (outputs by inputs), rank, radius): ridge regression without bias of vectors y on vectors
-    x, cut to its leading singular directions and scaled down where the largest singular value is over the bound. Keys
+    x, of rows that may have weights, cut to its leading singular directions and scaled down where the largest singular value is over the bound. Keys
     with fewer than three pairs have none. Sums are aggregated; one small matrix a key is solved."""
-    both = pairs.withColumn("_z", F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>")))
+    both = pairs.withColumn("_z", _weighted(F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>")), weight))
     sizes = both.groupBy(*key).agg(F.max(F.size(x)).alias("dx"))
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key)
 
@@ -111,12 +111,43 @@ def fit_lift(pairs: DataFrame, key: list[str], x: str, y: str, ridge: float = 1.
     return gram(both, key, "_z").where("n >= 3").join(sizes, key).mapInPandas(solve, f"{kinds}, n long, matrix array<double>, rank int, radius double")
 
 
+def _times(matrix: Column, x: Column) -> Column:
+    """A row-major matrix by a vector."""
+    d = F.size(x)
+    row = lambda i: F.aggregate(F.zip_with(F.slice(matrix, i * d + 1, d), x.cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
+    return F.when(matrix.isNotNull(), F.transform(F.sequence(F.lit(0), (F.size(matrix) / d).cast("int") - 1), row))
+
+
 def apply_lift(df: DataFrame, lift: DataFrame, key: list[str], x: str) -> DataFrame:
     """Adds `lifted`: the lift of a row's key applied to its vector; null where the key has none."""
-    d = F.size(x)
-    row = lambda i: F.aggregate(F.zip_with(F.slice("matrix", i * d + 1, d), F.col(x).cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
-    lifted = F.when(F.col("matrix").isNotNull(), F.transform(F.sequence(F.lit(0), (F.size("matrix") / d).cast("int") - 1), row))
-    return df.join(lift.select(*key, "matrix"), key, "left").withColumn("lifted", lifted).drop("matrix")
+    return df.join(lift.select(*key, "matrix"), key, "left").withColumn("lifted", _times(F.col("matrix"), F.col(x))).drop("matrix")
+
+
+def fit_calendar_stages(pairs: DataFrame, channels: DataFrame, key: str, x: str, y: str, kappa: float = 2.0, least_weight: float = 0.01, least_rows: int = 5, ridge: float = 1.0, most_rank: int = 4, bound: float = 0.9) -> DataFrame:
+    """(channel, n, matrix, rank, radius): a lift of y on x over all pairs, as the channel `base`, and for each calendar
+    channel a weighted lift of what the first one leaves, over pairs that weigh more than `least_weight` (von Mises in the
+    phase), if there are `least_rows`. Where the sum of all, every channel at full weight, has a singular value over the
+    bound, the channels' lifts are scaled by the bound over it, less a hundredth. channels: (key, channel, theta,
+    amplitude)."""
+    from tidegauge.functions.spectral import von_mises
+
+    base = written(fit_lift(pairs.withColumn("channel", F.lit("base")), ["channel"], x, y, ridge, most_rank, bound), "calendar-base")
+    met = pairs.join(F.broadcast(base.select("matrix")), F.lit(True))  # one row
+    left = met.select(key, x, F.zip_with(y, _times(F.col("matrix"), F.col(x)), lambda a, b: a - b).alias("_left"))
+    rows = left.join(channels, key).withColumn("_w", von_mises(F.col("amplitude"), F.col("theta"), kappa)).where(F.col("_w") > least_weight)
+    cycles = fit_lift(rows, ["channel"], x, "_left", ridge, most_rank, bound, "_w").where(F.col("n") >= least_rows)
+    both = written(base.unionByName(cycles), "calendar-lifts")
+    whole = both.select(F.posexplode("matrix").alias("i", "a")).groupBy("i").agg(F.sum("a").alias("a")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "a"))), lambda c: c["a"]).alias("total"))
+    sizes = pairs.agg(F.max(F.size(x)).alias("d"))
+
+    def ratio(frames):
+        for pdf in frames:
+            tops = [np.linalg.norm(np.asarray(t).reshape(-1, int(d)), 2) if len(t) else 0.0 for t, d in zip(pdf["total"], pdf["d"], strict=True)]
+            yield pd.DataFrame({"ratio": [bound / top * 0.99 if top > bound else 1.0 for top in tops]})
+
+    scale = whole.join(F.broadcast(sizes), F.lit(True)).where("d is not null").mapInPandas(ratio, "ratio double")  # one row each
+    by = F.when(F.col("channel") == "base", 1.0).otherwise(F.col("ratio"))
+    return both.join(F.broadcast(scale), F.lit(True)).select("channel", "n", F.transform("matrix", lambda a: a * by).alias("matrix"), "rank", (F.col("radius") * by).alias("radius"))
 
 
 def edmd_pairs(df: DataFrame, series: str, order: str, vector: str, degree: int = 2) -> DataFrame:

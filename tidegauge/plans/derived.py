@@ -323,11 +323,11 @@ def j11_dedup_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d08_calendar_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's orders from the day before, weighted by each calendar channel's phase."""
+    """A day's orders from the day before, and what is left of them by each calendar channel's phase."""
     daily = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg((F.sum("o_totalprice") / 1e6).alias("total"), (F.count("*") / 10.0).alias("n"))
     pairs = daily.select("d", F.array("total", "n").alias("y")).join(daily.select(F.date_add("d", 1).alias("d"), F.array("total", "n").alias("x")), "d")
     channels = cal_ops.phases(pairs.select("d")).select("d", F.posexplode(F.arrays_zip("theta", "amplitudes")).alias("channel", "p")).select("d", "channel", F.col("p.theta").alias("theta"), F.col("p.amplitudes").alias("amplitude"))
-    return st.fit_calendar_lift(pairs, channels, "d", "x", "y").select("channel", "n", "weights", "r2")
+    return st.fit_calendar_stages(pairs, channels.withColumn("channel", F.col("channel").cast("string")), "d", "x", "y")
 
 
 @query("""SELECT page_id, 'link' AS kind, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value FROM pages UNION ALL SELECT page_id, 'token', unnest(list_filter(string_split_regex(lower(trim(url)), '\\s+'), lambda t: t <> '')) FROM pages""")

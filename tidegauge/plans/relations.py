@@ -124,13 +124,13 @@ def i02_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(_links(spark, sf_dir), -1)
 
 
-@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_quantity::BIGINT * 100000 + l_partkey % 89 + 1 AS node, l_partkey % 89 + 1 AS p, l_quantity::BIGINT AS q FROM lineitem), e AS (SELECT x.node AS src, y.node AS dst FROM n x JOIN n y ON abs(x.p * y.q - y.p * x.q) = 1),
-    b(node, hops) USING KEY (node) AS (SELECT 100002::BIGINT, 0 UNION SELECT dst, min(b.hops) + 1 FROM b JOIN e ON src = b.node LEFT JOIN recurring.b r ON r.node = dst WHERE r.node IS NULL GROUP BY dst) SELECT node, hops FROM b""")
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_quantity::BIGINT * 100000 + l_partkey % 24 AS node, l_partkey % 24 AS p, l_quantity::BIGINT AS q FROM lineitem), e AS (SELECT x.node AS src, y.node AS dst FROM n x JOIN n y ON abs(x.p * y.q - y.p * x.q) = 1),
+    b(node, hops) USING KEY (node) AS (SELECT 100000::BIGINT, 0 UNION SELECT dst, min(b.hops) + 1 FROM b JOIN e ON src = b.node LEFT JOIN recurring.b r ON r.node = dst WHERE r.node IS NULL GROUP BY dst) SELECT node, hops FROM b""")
 def i02_fraction_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops from 2/1 over neighbouring fractions, of parts' keys modulo 89 over quantities, of all line items."""
-    p, q = F.col("l_partkey") % 89 + 1, F.col("l_quantity").cast("long")
+    """Hops from 0/1 over neighbouring fractions, of parts' keys modulo 24 over quantities, of all line items."""
+    p, q = F.col("l_partkey") % 24, F.col("l_quantity").cast("long")
     nodes = table(spark, sf_dir, "lineitem").select((q * 100000 + p).alias("node"), p.alias("p"), q.alias("q")).distinct()
-    return graph.bfs(graph.fraction_edges(nodes), 100002)
+    return graph.bfs(graph.fraction_edges(nodes), 100000)
 
 
 @query(f"WITH RECURSIVE {_LINKS}, b(node, distance) USING KEY (node) AS (SELECT -1::BIGINT, 0::DOUBLE UNION SELECT dst, min(b.distance + cost) FROM b JOIN e ON src = b.node LEFT JOIN recurring.b r ON r.node = dst WHERE r.node IS NULL OR b.distance + cost < r.distance GROUP BY dst) SELECT node, distance FROM b")
