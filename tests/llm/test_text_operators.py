@@ -358,3 +358,24 @@ def test_texts_of_marks_have_no_language(spark):
     docs = spark.createDataFrame(rows, DOCS).withColumn("lang", F.lit("en"))
     told = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.train(docs, lambda c: c < 100)).collect()}
     assert told[100] == "und" and told[101] == "und" and told[102] == "en" and told[3] == "en"
+
+
+def test_a_line_index_grows_a_hundredfold_and_back(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 60)
+    line = lambda i: f"line number {i} of many, long enough to be counted as one"
+    docs = lambda lo, hi: spark.createDataFrame([(d, "\n".join(line(k) for k in (d * 3, d * 3 + 1, d % 7))) for d in range(lo, hi)], DOCS)
+    start = line_dedup.build(docs(0, 12), 40)
+    steps, index = [12, 30, 60, 120, 200, 300, 450, 600, 800, 1000, 1200], start
+    for lo, hi in zip(steps, steps[1:]):
+        index = line_dedup.insert(index, docs(lo, hi))
+    told = lambda x: (sorted(map(tuple, x.counts.collect())), sorted(map(tuple, x.postings.collect())))
+    anew = line_dedup.build(docs(0, 1200), 40)
+    assert told(index) == told(anew) and index.shard_bits > start.shard_bits
+    assert sum(r.n_keys for r in index.filters.collect()) == anew.counts.count()
+    line_dedup.save(index, f"{tmp_path}/index")
+    index = line_dedup.load(spark, f"{tmp_path}/index")
+    assert sorted(map(tuple, line_dedup.apply(index, docs(0, 1200)).collect())) == sorted(map(tuple, line_dedup.apply(anew, docs(0, 1200)).collect()))
+    with pytest.raises(ValueError):
+        line_dedup.insert(index, docs(5, 6))
+    back = line_dedup.delete(index, docs(12, 1200).select("doc_id"))
+    assert told(back) == told(start) and sum(r.n_keys for r in back.filters.collect()) == start.counts.count()

@@ -7,8 +7,10 @@ State is three tables, in shards by the first bits of the key's digest: postings
 reference counts derived from them (key, n_docs, last_doc), and a cuckoo filter of each shard's live keys. Inserting documents
 probes the filters first: keys that no filter knows are new and need no look at the counts. Deleting documents takes
 their postings out, lowers the counts, and removes keys that no document holds any more from the filters, so that
-insertions are undone exactly. Applying an index probes filters of the keys that are over the threshold, and only
-their hits are compared with the exact counts.
+insertions are undone exactly. A filter that is full is made anew, larger, from its shard's counts; once shards hold twice
+the keys they are meant for, all are split. Applying an index probes filters of the keys that are over the threshold, and
+only their hits are compared with the exact counts; where these filters would take over 32 MB they are not made, and all
+keys meet the counts in that same join. `save` and `load` keep an index as files.
 
 Null and empty texts are one empty line. Rows with a null id neither count nor lose lines. Repeated rows of an id are
 one document, whose lines all count once; each of the rows loses its lines. Empty tables give empty ones. Other
@@ -25,7 +27,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import WHITE, map_batches, written
@@ -187,17 +189,25 @@ def build_filters(keys: DataFrame, shard_bits: int) -> DataFrame:
     return keys.select(_shard(shard_bits).alias("shard"), "a", "b").groupBy("shard").applyInPandas(run, _FILTERS)
 
 
+def _bits(counts: DataFrame) -> int:
+    return max(0, math.ceil(math.log2(max(1, counts.count()) / SHARD_KEYS)))
+
+
 def build(docs: DataFrame, least_chars: int = 40, with_filters: bool = True) -> Index:
-    """An index of all rows of `docs`, in the shared checkpoint folder."""
+    """An index of all rows of `docs`, in the shared checkpoint folder. Without filters it can only be applied, and its
+    postings are not kept."""
     postings = _postings(docs, least_chars)
+    postings = written(postings, "line-postings") if with_filters else postings
     counts = written(_counts(postings), "line-counts")
-    bits = max(0, math.ceil(math.log2(max(1, counts.count()) / SHARD_KEYS)))
+    bits = _bits(counts)
     return Index(postings, counts, written(build_filters(counts, bits), "line-filters") if with_filters else None, least_chars, bits)
 
 
 def insert(index: Index, docs: DataFrame) -> Index:
-    """The index with more documents. Ids that are indexed already have to be deleted first."""
+    """The index with more documents. Ids that are indexed already have to be deleted first: they are an error."""
     new = written(_postings(docs, index.least_chars), "line-postings")
+    if not new.join(index.postings.select("doc_id"), "doc_id", "left_semi").isEmpty():
+        raise ValueError("documents of these ids are in the index: delete them first")
 
     def probe(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         known = np.zeros(len(left), bool)
@@ -213,8 +223,16 @@ def insert(index: Index, docs: DataFrame) -> Index:
     if not again.isEmpty():  # only keys that a filter may know are looked up
         counts = counts.unionByName(again).groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
     counts = written(counts.unionByName(first), "line-counts")
+    postings, bits = written(index.postings.unionByName(new), "line-postings"), _bits(counts)
+    if bits > index.shard_bits + 1:
+        return replace(index, postings=postings, counts=counts, filters=written(build_filters(counts, bits), "line-filters"), shard_bits=bits)
     added = first.select("a", "b").unionByName(again.join(index.counts, ["a", "b"], "left_anti").select("a", "b"))
-    return replace(index, postings=index.postings.unionByName(new), counts=counts, filters=_updated(index, added, True))
+    filters = _updated(index, added, True)
+    full = filters.where("filter is null").select("shard")
+    if not full.isEmpty():
+        anew = build_filters(counts.withColumn("shard", _shard(index.shard_bits)).join(full, "shard", "left_semi"), index.shard_bits)
+        filters = written(filters.where("filter is not null").unionByName(anew), "line-filters")
+    return replace(index, postings=postings, counts=counts, filters=filters)
 
 
 def delete(index: Index, doc_ids: DataFrame) -> Index:
@@ -233,21 +251,42 @@ def _updated(index: Index, keys: DataFrame, add: bool) -> DataFrame:
         a, b = _halves(change)
         n = int(old["n_keys"].iloc[0]) if len(old) else 0
         f = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else _filled(a, b)
-        if len(old) and add:
-            f.insert(a, b)  # a full filter ends the job: build the index anew, with more shards
-        elif len(old):
-            f.delete(a, b)
-        return pd.DataFrame({"shard": [key[0]], "n_keys": [n + len(a) if add else n - len(a)], "filter": [f.to_bytes()]})
+        blob = None
+        try:
+            if len(old):
+                (f.insert if add else f.delete)(a, b)
+            blob = f.to_bytes()
+        except OverflowError:  # told by having no filter
+            pass
+        return pd.DataFrame({"shard": [key[0]], "n_keys": [n + len(a) if add else n - len(a)], "filter": [blob]})
 
     changes = keys.select(_shard(index.shard_bits).alias("shard"), "a", "b")
     return written(index.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, _FILTERS), "line-filters")
 
 
-def _shared(filters: DataFrame):
-    """The filters for all tasks, by shard, if they are small enough together; else nothing."""
-    if (filters.agg(F.sum(F.octet_length("filter")).alias("n")).first().n or 0) > MOST_FILTER_BYTES:
+def save(index: Index, path: str) -> None:
+    """The index as Parquet tables in a folder."""
+    for name in ("postings", "counts", "filters"):
+        if (df := getattr(index, name)) is not None:
+            df.write.parquet(f"{path}/{name}")
+    index.counts.sparkSession.createDataFrame([(index.least_chars, index.shard_bits, index.filters is not None)], "least_chars int, shard_bits int, filtered boolean").write.parquet(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    about = spark.read.parquet(f"{path}/about").first()  # one row
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("postings"), read("counts"), read("filters") if about.filtered else None, about.least_chars, about.shard_bits)
+
+
+#: Bytes of filter that a key may take: two to four slots of two bytes, and a filter's least size.
+_KEY_BYTES = 8
+
+
+def _shared(keys: DataFrame, shard_bits: int):
+    """Filters of the keys for all tasks, by shard, if they are small enough together; else nothing is made."""
+    if keys.count() * _KEY_BYTES + (128 << shard_bits) > MOST_FILTER_BYTES:
         return None
-    return filters.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in filters.collect()})
+    return keys.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in build_filters(keys, shard_bits).collect()})
 
 
 def apply(index: Index, docs: DataFrame, least_docs: int = 5, keep: list[str] | None = None) -> DataFrame:
@@ -255,7 +294,7 @@ def apply(index: Index, docs: DataFrame, least_docs: int = 5, keep: list[str] |
     (before), n_dropped. Texts without a hit in the filters are finished where they are read; only the others meet
     their confirmed keys in a shuffle."""
     often = written(index.counts.where(F.col("n_docs") >= least_docs).select("a", "b", "last_doc"), "line-often")
-    shared, least_chars, bits = _shared(written(build_filters(often, index.shard_bits), "line-filters")), index.least_chars, index.shard_bits
+    shared, least_chars, bits = _shared(often, index.shard_bits), index.least_chars, index.shard_bits
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(keep or ["doc_id"])).alias("row"), F.col("text").cast("string").alias("text"))
     row = rows.schema["row"].dataType.simpleString()
 
