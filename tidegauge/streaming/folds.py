@@ -7,7 +7,7 @@ state for each key, so that both give the same rows. Folds pass their input's co
 With `idle`, a row that comes more than so many seconds after its key's last one starts afresh. A stream then also sets a
 timer for each key, and when the watermark has passed it, the state is removed. Rows behind the watermark are dropped by
 Spark. Rows of one micro-batch are folded in order of time; an older row in a later one is folded when it comes. Null
-values are each fold's own affair; a null time sorts first.
+values are each fold's own affair; a null time sorts first. In a stream, names of columns must not begin with an underscore.
 """
 
 from __future__ import annotations

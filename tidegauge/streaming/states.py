@@ -82,8 +82,8 @@ def shock_stream(stream: DataFrame, key: str, ts: str, impact: str, tau_hours: f
     that is idle for so many seconds starts afresh: what has decayed for long may be let go."""
     from tidegauge.streaming.folds import Shocks, fold
 
-    rows = stream.select(key, ts, F.col(impact).cast("double").alias(impact), (micros(F.col(ts)) / 1e6).alias("_t"))
-    return fold(rows, key, ts, Shocks(impact, "_t", tau_hours), idle).select(key, ts, "level")
+    rows = stream.select(key, ts, F.col(impact).cast("double").alias(impact), (micros(F.col(ts)) / 1e6).alias("fold_seconds"))
+    return fold(rows, key, ts, Shocks(impact, "fold_seconds", tau_hours), idle).select(key, ts, "level")
 
 
 def reliability(df: DataFrame, key: str, order: str, predicted: str, observed: str) -> DataFrame:
@@ -115,8 +115,8 @@ def regime_events(df: DataFrame, key: str, order: str, vector: str, energy: Colu
     from tidegauge.streaming.folds import Regimes, fold
 
     length = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x * x))
-    rows = df.select(key, order, vector, F.coalesce(length if energy is None else energy, F.lit(0.0)).alias("_energy"))
-    return fold(rows, key, order, Regimes(vector, "_energy", **options), idle).drop(vector, "_energy")
+    rows = df.select(key, order, vector, F.coalesce(length if energy is None else energy, F.lit(0.0)).alias("fold_energy"))
+    return fold(rows, key, order, Regimes(vector, "fold_energy", **options), idle).drop(vector, "fold_energy")
 
 
 def duffing_filter(df: DataFrame, key: str, order: str, value: str, noise: float = 1e-3, drift: float = 1e-4) -> DataFrame:
