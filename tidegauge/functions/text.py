@@ -234,9 +234,9 @@ def annotate_equation(latex: Column) -> dict[str, Column]:
 
 def concepts(text: Column) -> Column:
     """Distinct names of bold, code, Capitalised and defined terms, in snake case, of 3 to 39 characters."""
-    patterns = [r"\*\*([^*]{3,40})\*\*", r"`([^`]{2,30})`", r"\b([A-Z][a-z]{2,}(?:[ _][A-Z][a-z]+)*)\b", r"\b([\w_]{3,20})(?=\s+(?:is|refers|means|denotes)\b)"]
+    patterns = [r"\*\*([^*]{3,40})\*\*", r"`([^`]{2,30})`", r"(?U)\b([A-Z][a-z]{2,}(?:[ _][A-Z][a-z]+)*)\b", r"(?U)\b([\w_]{3,20})(?=\s+(?:is|refers|means|denotes)\b)"]
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]))
-    names = F.transform(found, lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", "_"))
+    names = F.transform(found, lambda c: F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"\s+", "_"))
     return F.array_distinct(F.filter(names, lambda c: (F.length(c) > 2) & (F.length(c) < 40)))
 
 

@@ -30,6 +30,6 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("calendar", "market", "text", "vectors", "statistics", "relations", "more", "derived"):
+for _name in ("calendar", "market", "text", "vectors", "statistics", "relations", "more", "derived", "documents"):
     if importlib.util.find_spec(f"tidegauge.plans.{_name}"):
         importlib.import_module(f"tidegauge.plans.{_name}")
