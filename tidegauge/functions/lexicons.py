@@ -36,6 +36,21 @@ FILING_TYPES = ["10-K", "10-Q", "8-K", "13F", "S-1", "DEF 14A", "424B"]
 # Source profiles by host, in the order in which they are tried: (host part, parser).
 SOURCES = [("arxiv.org", "academic"), ("sec.gov", "filing"), ("reuters.com", "news"), ("ft.com", "news"), ("seekingalpha.com", "transcript"), ("motleyfool.com", "transcript"), ("finviz.com", "social")]
 
+# Source profiles in the order in which they are tried: (domain, fetcher, seconds to wait, parser, adaptive, needs scripts).
+PROFILES = [
+    ("arxiv.org", "Fetcher", 1.5, "academic", True, False),
+    ("sec.gov", "Fetcher", 1.0, "filing", True, False),
+    ("reuters.com", "StealthyFetcher", 2.0, "news", True, False),
+    ("ft.com", "StealthyFetcher", 2.0, "news", True, False),
+    ("seekingalpha.com", "DynamicFetcher", 3.0, "transcript", True, True),
+    ("motleyfool.com", "DynamicFetcher", 3.0, "transcript", True, True),
+    ("finviz.com", "StealthyFetcher", 1.5, "social", False, False),
+]
+
+# Files that tell how a project is built, and names of files to read first (a pattern).
+PROJECT_FILES = ["requirements.txt", "setup.py", "pyproject.toml", "Cargo.toml", "package.json", "go.mod", "CMakeLists.txt"]
+KEY_FILES = r"^(README|setup\.py$|pyproject\.toml$|package\.json$|main\.py$|index\.js$|app\.py$|CMakeLists\.txt$|Makefile$)"
+
 # Subject fields by words in a URL or title, in the order in which they are tried.
 SUBJECTS = [("ece", ["circuit", "electronic", "vlsi", "semiconductor"]), ("biology", ["biology", "neuron", "synapse", "cell"]), ("finance", ["finance", "market", "trading", "economics"]), ("physics", ["physics", "mechanics", "quantum"])]
 

@@ -253,11 +253,15 @@ def research_concepts(html: Column) -> dict[str, Column]:
     return {"parameters": parts, "terms": F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b"), F.lit(1))), "has_experiment": text.rlike("(?i)experiment|measured|we observe|results show")}
 
 
-def dependencies(body: Column, most: int = 20) -> Column:
-    """Names in a requirements list or a package.json's dependencies."""
-    keys = F.map_keys(F.coalesce(F.from_json(F.get_json_object(body, "$.dependencies"), "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")))
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_extract(F.trim(x), r"^([A-Za-z0-9_.\-]+)\s*(?:[=<>~!\[;].*)?$", 1)), lambda x: x != "")
-    return F.slice(F.when(F.ltrim(body).startswith("{"), keys).otherwise(lines), 1, most)
+def dependencies(body: Column, most: int = 20, package_json: Column | None = None) -> Column:
+    """Names in a package.json's dependencies, then those for development, or in a requirements list without its comments;
+    the first `most`. `package_json` tells which it is; without it, what begins with a brace is one."""
+    listed = lambda path: F.coalesce(F.map_keys(F.from_json(F.get_json_object(body, path), "map<string,string>")), F.array().cast("array<string>"))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(body, r"\r\n|\n|\r"), strip), lambda x: ~x.startswith("#"))
+    names = F.filter(F.transform(lines, lambda x: strip(F.regexp_extract(x, r"^([^>=<!;\[]*)", 1))), lambda x: x != "")
+    json = F.ltrim(body).startswith("{") if package_json is None else package_json
+    return F.slice(F.when(json, F.concat(listed("$.dependencies"), listed("$.devDependencies"))).otherwise(names), 1, most)
 
 
 def installs(body: Column) -> Column:

@@ -89,10 +89,11 @@ def section_profile(docs: DataFrame, key: str, text: str) -> DataFrame:
     return scored.withColumn("weight", raw / F.sum(raw).over(Window.partitionBy(key)))
 
 
-def overlap_heatmap(library: DataFrame, dims: DataFrame, key: str) -> DataFrame:
-    """Active places by domain and equation type. library: (key, domains, type); dims: (key, dim)."""
+def overlap_heatmap(library: DataFrame, dims: DataFrame, key: str, types: list[str] | None = None) -> DataFrame:
+    """Active places by domain and equation type. library: (key, domains, type); dims: (key, dim). The types are columns; if
+    they are named, the table need not be read for them."""
     n = dims.groupBy(key).agg(F.countDistinct("dim").alias("_n"))
-    return library.join(n, key).select(F.explode("domains").alias("domain"), "type", "_n").groupBy("domain").pivot("type").agg(F.sum("_n")).na.fill(0)
+    return library.join(n, key).select(F.explode("domains").alias("domain"), "type", "_n").groupBy("domain").pivot("type", types).agg(F.sum("_n")).na.fill(0)
 
 
 def spectral_robustness(df: DataFrame, series: str, order: str, vector: str, folds: int = 4, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:

@@ -129,6 +129,14 @@ def compounding(df: DataFrame, key: list[str], order: str, value: str) -> DataFr
     return last.where("acceleration > 0")
 
 
+def stagnant(df: DataFrame, key: list[str], order: str, value: str, threshold: int = 10, still: float = 1e-6) -> DataFrame:
+    """(key, velocity) of keys with at least `threshold` points whose mean step over the last ten is nearly zero."""
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where(F.col("_r") <= max(threshold, 10))
+    ends = ranked.groupBy(*key).agg(F.count("*").alias("_n"), F.min_by(value, "_r").alias("_new"), F.max_by(value, F.when(F.col("_r") <= 10, F.col("_r"))).alias("_old"))
+    velocity = F.when(F.col("_n") > 1, (F.col("_new") - F.col("_old")) / (F.least("_n", F.lit(10)) - 1)).otherwise(0.0)
+    return ends.where(F.col("_n") >= threshold).select(*key, velocity.alias("velocity")).where(F.abs("velocity") < still)
+
+
 def geometry_monitor(df: DataFrame, key: list[str], order: str, width: int = 20, least_trust: float = 0.3, most_jump: int = 3, growth: float = 2.0, sigmas: float = 3.0) -> DataFrame:
     """Adds `fired`, the names of the conditions that the last `width` rows violate. Columns read: curvature, trust,
     degree, patch_count, n_equivalences."""
