@@ -99,6 +99,25 @@ def title(html: Column) -> Column:
     return F.coalesce(pick(r"(?is)<title[^>]*>(.*?)</title>"), pick(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit("Untitled"))
 
 
+def article_fields(html: Column, headline: Column | None = None, body: Column | None = None) -> dict[str, Column]:
+    """Headline, body and number of words of a page: those found by a source's own elements, else the title (or first h1) and
+    the text of the body element, without scripts, styles and comments, with single spaces and the common entities resolved.
+    What is not there is empty."""
+    filled = lambda c: F.lit(None).cast("string") if c is None else F.nullif(c, F.lit(""))
+
+    def plain(c: Column) -> Column:
+        for pattern in (r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
+            c = F.regexp_replace(c, pattern, " ")
+        for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+            c = F.replace(c, F.lit(name), F.lit(mark))
+        return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+    inside = lambda tag: F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}>|\z)", 1)
+    title_ = F.when(html.rlike(r"(?is)<title(?:\s[^>]*)?>"), plain(inside("title"))).otherwise(plain(inside("h1")))
+    text = F.coalesce(filled(body), plain(inside("body")), F.lit(""))
+    return {"headline": F.coalesce(filled(headline), title_, F.lit("")), "body": text, "n_words": F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))}
+
+
 def code_blocks(html: Column) -> Column:
     pick = lambda tag: F.regexp_extract_all(html, F.lit(f"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
     return F.transform(F.concat(pick("pre"), pick("code")), lambda c: F.trim(strip_tags(c)))

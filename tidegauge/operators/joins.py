@@ -131,6 +131,30 @@ def coherence(a: DataFrame, b: DataFrame, key: str, sigma: float, most_pairs: in
     return pairs.groupBy(key).agg(F.avg("lock").alias("coherence"), F.max("lock").alias("strongest"), F.max_by(F.struct("ia", "ib"), F.struct("lock", -F.col("ia"), -F.col("ib"))).alias("dominant"))
 
 
+def mode_locks(a: DataFrame, b: DataFrame, key: str, sigma: float, most_pairs: int = 15, largest: int = 8) -> DataFrame:
+    """(key, ia, ib, tau, lock, p, q, off): each key's first mode pairs in order, how far their frequencies are from a small
+    ratio, the lock exp(-tau / sigma), and the ratio's best fraction with its distance. Modes as for `coherence`, of which
+    no more than the first `most_pairs` on a side can be in a pair."""
+    from tidegauge.functions.spectral import best_rational, dissonance
+
+    def fit(d: DataFrame, s: str) -> DataFrame:
+        first = F.row_number().over(Window.partitionBy(key).orderBy("idx"))
+        return d.where("stability >= 0.6 and variance < 1.0").withColumn("_r", first).where(F.col("_r") <= most_pairs).select(key, F.col("idx").alias(f"i{s}"), F.col("frequency").alias(f"f{s}"))
+
+    pairs = fit(a, "a").join(fit(b, "b"), key).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("ia", "ib"))).where(F.col("_r") <= most_pairs)
+    ratio = F.col("fa") / F.greatest("fb", F.lit(1e-15))
+    told = pairs.withColumn("tau", dissonance(F.col("fa"), F.col("fb"))).withColumn("_x", ratio).withColumn("_b", best_rational(F.col("_x"), largest))
+    return told.select(key, "ia", "ib", "tau", F.exp(-F.col("tau") / max(sigma, 1e-15)).alias("lock"), F.col("_b.p").alias("p"), F.col("_b.q").alias("q"), F.abs(F.col("_x") - F.col("_b.p") / F.col("_b.q")).alias("off"))
+
+
+def coherence_state(locks: DataFrame, entropies: DataFrame, key: str) -> DataFrame:
+    """(key, coherence, dominant, entropy_drop): the mean lock, the strongest pair (the first of equal ones; null without a
+    pair), and by how much the second spectrum's entropy is lower. entropies: (key, first, second), one row a key."""
+    pair = F.struct("ia", "ib", "lock", "p", "q", "off")
+    best = locks.groupBy(key).agg(F.avg("lock").alias("_c"), F.max_by(pair, F.struct(F.col("lock"), -F.col("ia"), -F.col("ib"))).alias("dominant"))
+    return entropies.join(best, key, "left").select(key, F.coalesce("_c", F.lit(0.0)).alias("coherence"), "dominant", (F.col("first") - F.col("second")).alias("entropy_drop"))
+
+
 def market_laplacian(tickers: DataFrame, correlations: DataFrame) -> DataFrame:
     """(i, j, g): weighted Laplacian of correlation edges (|corr| 10 on the diagonal, minus corr 10 beside it) plus 100
     times volatility on the diagonal."""

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import lexicons as lex
 from tidegauge.functions import text as tx
-from tidegauge.operators import concepts, learning, profiles
+from tidegauge.operators import concepts, joins, learning, profiles
 from tidegauge.operators import windows as win
+from tidegauge.plans.more import _MODES, _modes
 from tidegauge.plans.registry import query, table
+from tidegauge.plans.statistics import _RAT
 from tidegauge.plans.text import _DIMS, _LEX, _dims, _list
 
 # Concepts without lookahead: every mark is doubled, so that one of the two may be taken on either side of a word.
@@ -148,3 +150,51 @@ def h38_repo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = F.transform(tx.hrefs(F.col("html")), lambda h: F.ltrim(h, F.lit("/")))
     pages = table(spark, sf_dir, "pages").select("page_id", F.lit(None).cast("string").alias("d"), readme.alias("readme"), files.alias("files"))
     return profiles.repo_summary(pages, "page_id", "d", "readme", "files")
+
+
+def _plain_sql(c: str) -> str:
+    for pattern in (r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
+        c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{mark}')"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+_INSIDE = {tag: _plain_sql(rf"regexp_extract(html, '(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}>|\z)', 1)") for tag in ("title", "h1", "body")}
+
+
+@query(rf"""SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title(?:\s[^>]*)?>') THEN {_INSIDE['title']} ELSE {_INSIDE['h1']} END AS headline, md5({_INSIDE['body']}) AS body_md5, len(list_filter(string_split_regex({_INSIDE['body']}, '\s+'), lambda w: w <> '')) AS n_words FROM pages""")
+def h17_generic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline, body and words of pages of which no source's own elements are known."""
+    found = table(spark, sf_dir, "pages").select("page_id", *[c.alias(k) for k, c in tx.article_fields(F.col("html")).items()])
+    return found.select("page_id", "headline", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.col("n_words").cast("long").alias("n_words"))
+
+
+_LOCKS = f"""{_MODES}, fit AS (SELECT * FROM modes WHERE 1 / (1 + abs(alpha)) >= 0.6::DOUBLE AND abs(alpha) < 1),
+    pairs AS (SELECT x.vec_id, x.idx AS ia, y.idx AS ib, x.omega AS fa, y.omega AS fb FROM fit x JOIN fit y ON x.vec_id = y.vec_id AND x.idx < 16 AND y.idx >= 16 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY x.idx, y.idx) <= 15),
+    r(p, q) AS (VALUES {_RAT}), far AS (SELECT vec_id, ia, ib, fa / fb AS x, min(abs(fa - p / q::DOUBLE * fb)) AS tau FROM pairs, r GROUP BY ALL),
+    cf AS (SELECT vec_id, ia, ib, x AS r, 1::DOUBLE AS p, 0::DOUBLE AS p0, 0::DOUBLE AS q, 1::DOUBLE AS q0, 0 AS step FROM far UNION ALL SELECT vec_id, ia, ib, CASE WHEN r - floor(r) > 1e-9::DOUBLE THEN 1 / (r - floor(r)) END, floor(r) * p + p0, p, floor(r) * q + q0, q, step + 1 FROM cf WHERE r IS NOT NULL AND step < 20 AND floor(r) * q + q0 <= 8),
+    best AS (SELECT vec_id, ia, ib, p::BIGINT AS p, q::BIGINT AS q FROM cf QUALIFY row_number() OVER (PARTITION BY vec_id, ia, ib ORDER BY step DESC) = 1),
+    locks AS (SELECT vec_id, ia, ib, tau, exp(-tau / 0.05::DOUBLE) AS lock, p, q, abs(x - p / q) AS off FROM far JOIN best USING (vec_id, ia, ib))"""
+
+
+def _locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _modes(spark, sf_dir).select("vec_id", "idx", F.col("omega").alias("frequency"), (1 / (1 + F.abs("alpha"))).alias("stability"), F.abs("alpha").alias("variance"))
+    return joins.mode_locks(m.where("idx < 16"), m.where("idx >= 16"), "vec_id", 0.05)
+
+
+@query(f"WITH RECURSIVE {_LOCKS} SELECT vec_id, ia, ib, round(tau, 6) AS tau, round(lock, 6) AS lock, p, q, round(off, 6) AS off FROM locks")
+def c11_mode_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes of the first half of each vector against those of its second half."""
+    return _locks(spark, sf_dir).select("vec_id", "ia", "ib", F.round("tau", 6).alias("tau"), F.round("lock", 6).alias("lock"), "p", "q", F.round("off", 6).alias("off"))
+
+
+@query(f"""WITH RECURSIVE {_LOCKS}, best_lock AS (SELECT * FROM locks QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY lock DESC, ia, ib) = 1), mean AS (SELECT vec_id, avg(lock) AS c FROM locks GROUP BY 1),
+    share AS (SELECT vec_id, idx < 16 AS a, omega / sum(omega) OVER (PARTITION BY vec_id, idx < 16) AS s FROM modes), ent AS (SELECT vec_id, sum(-s * ln(s)) FILTER (a) - sum(-s * ln(s)) FILTER (NOT a) AS d FROM share GROUP BY 1)
+    SELECT e.vec_id, round(coalesce(c, 0), 6) AS coherence, ia, ib, p, q, round(d, 6) AS entropy_drop FROM ent e LEFT JOIN mean USING (vec_id) LEFT JOIN best_lock USING (vec_id)""")
+def c11_coherence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _modes(spark, sf_dir)
+    totals = m.groupBy("vec_id").agg(*[F.struct(F.sum(F.when(c, F.col("omega"))).alias("t"), F.sum(F.when(c, F.col("omega") * F.log("omega"))).alias("l")).alias(n) for n, c in (("a", F.col("idx") < 16), ("b", F.col("idx") >= 16))])
+    entropy = lambda n: F.log(F.col(f"{n}.t")) - F.col(f"{n}.l") / F.col(f"{n}.t")
+    state = joins.coherence_state(_locks(spark, sf_dir), totals.select("vec_id", entropy("a").alias("first"), entropy("b").alias("second")), "vec_id")
+    return state.select("vec_id", F.round("coherence", 6).alias("coherence"), "dominant.ia", "dominant.ib", "dominant.p", "dominant.q", F.round("entropy_drop", 6).alias("entropy_drop"))

@@ -217,19 +217,23 @@ def publish_snapshot(stream: DataFrame, path: str, checkpoint: str, every: str =
 
 
 def consolidate_every(stream: DataFrame, n: int, refresh: Callable[[DataFrame], None], store: str, checkpoint: str):
-    """Appends batches to a store and calls `refresh` on it whenever another n rows have come."""
+    """Keeps batches in a store, one folder each, and calls `refresh` on all of it whenever another n rows have come.
+
+    A batch that is tried again replaces its own folder, so that no row is in twice; it may call `refresh` again. How many
+    rows there were after a batch is written beside the store, so that the next one counts itself only. An error ends the
+    stream, which then goes on from the batch that failed."""
+    kept = f"{store.rstrip('/')}-counts"
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.persist()
-        new = rows.count()
-        rows.write.mode("append").parquet(store)
-        rows.unpersist()
-        total = spark.read.parquet(store).count()
-        if new and total // n > (total - new) // n:
-            refresh(spark.read.parquet(store))
-
-    return each_batch(stream, take, checkpoint)
+        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+        new = spark.read.schema(batch.schema).parquet(f"{store}/epoch={epoch}").count()
+        before = spark.read.parquet(f"{kept}/{epoch - 1}").first()["total"] if epoch else 0
+        spark.range(1).select(F.lit(before + new).cast("long").alias("total")).write.mode("overwrite").parquet(f"{kept}/{epoch}")
+        if new and (before + new) // n > before // n:
+            refresh(spark.read.parquet(store).drop("epoch"))
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
 
 def record_trajectory(stream: DataFrame, path: str, checkpoint: str, every: str = "30 seconds"):
