@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -106,6 +109,17 @@ def spectral_robustness(df: DataFrame, series: str, order: str, vector: str, fol
     return out.withColumn("robustness", a / (1 + F.col("drift")) + b * F.tanh("gap") + c * F.exp(-F.col("_e"))).drop("_e")
 
 
+def score_batches(df: DataFrame, columns: list[str], score: Callable[[np.ndarray], np.ndarray], name: str = "score") -> DataFrame:
+    """Adds what `score` gives for rows of numbers (rows by `columns`), called once a batch; null numbers come as NaN."""
+
+    def scored(frames):
+        for pdf in frames:
+            yield pd.Series(np.asarray(score(pdf[columns].to_numpy(dtype=float)), dtype=float))
+
+    scored.__annotations__ = {"frames": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+    return df.withColumn(name, F.pandas_udf(scored, "double")(F.struct(*columns)))
+
+
 def fiber_resonance(profiles: DataFrame, domain: str) -> DataFrame:
     """(a, b, similarity) of domains' eigenvalue ratios. profiles: (domain, eigenvalues)."""
     ratios = F.transform("eigenvalues", lambda e: F.when(F.col("eigenvalues")[0] > 0, e / F.col("eigenvalues")[0]).otherwise(0.0))

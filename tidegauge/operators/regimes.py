@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,14 +31,24 @@ def mix_horizons(df: DataFrame, logits: str, predictions: str, calendar: str | N
     x = F.col(logits)
     for name, shift in ((calendar, calendar_shift), (regime, regime_shift)):
         if name:
-            rows = [F.array(*[F.lit(float(v)) for v in r]) for r in shift]
-            for k, r in enumerate(rows):
-                x = F.zip_with(x, r, lambda a, b, n=name, k=k: a + b * F.get(F.col(n), F.lit(k)))
+            moved = [sum((F.lit(float(r[h])) * F.get(F.col(name), F.lit(k)) for k, r in enumerate(shift)), F.lit(0.0)) for h in range(len(shift[0]))]
+            x = F.zip_with(x, F.array(*moved), lambda a, b: a + b)
     out = df.withColumn("_x", x).withColumn("weights", market.softmax(F.col("_x"))).drop("_x")
     held = F.greatest(F.lit(0.0), 1 - 0.15 * F.col(tongues)) if tongues else F.lit(1.0)
     return out.withColumn("blended", market.dot(F.col("weights"), F.col(predictions)) * held).withColumn("dominant", market.argmax_label(F.col("weights"), HORIZONS))
 
 
+def mix_predictors(df: DataFrame, predictors: dict[str, Callable[[], dict[str, Column]]], confidence: float = 1.0, linearity: float = 0.5, gap: float = 0.3, **shifts) -> DataFrame:
+    """`mix_horizons` of pluggable predictors, one for each of HORIZONS. A predictor is a function that gives expressions over
+    df's columns: `value`, and, if it has them, `confidence`, `linearity` and `gap`, whose weighted sum (confidence less
+    linearity plus gap) is the horizon's logit. `shifts` are the calendar, regime and tongue arguments of `mix_horizons`."""
+    told = [predictors[h]() for h in HORIZONS]
+    of = lambda t, name: t.get(name, F.lit(0.0))
+    logits = F.array(*[confidence * of(t, "confidence") - linearity * of(t, "linearity") + gap * of(t, "gap") for t in told])
+    rows = df.withColumn("_logits", logits).withColumn("predictions", F.array(*[t["value"] for t in told]))
+    return mix_horizons(rows, "_logits", "predictions", **shifts).drop("_logits")
+
+
 def horizon_predictions(value: Column, trend: Column, rsi: Column, sentiment: Column, trust: Column, decay: Column) -> dict[str, Column]:
     """A prediction for each horizon: value, trend with the index's distance from 50, and decayed trusted sentiment."""
     return {"long": F.tanh(value), "medium": F.tanh(trend + (50 - rsi) / 100), "short": sentiment * trust * decay}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import lexicons as lex
 from tidegauge.functions import text as tx
-from tidegauge.operators import concepts, joins, learning, profiles
+from tidegauge.operators import concepts, joins, learning, profiles, regimes
 from tidegauge.operators import windows as win
-from tidegauge.plans.more import _MODES, _modes
+from tidegauge.plans.more import _MODES, _modes, vectors
 from tidegauge.plans.registry import query, table
 from tidegauge.plans.statistics import _RAT
 from tidegauge.plans.text import _DIMS, _LEX, _dims, _list
@@ -198,3 +198,40 @@ def c11_coherence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     entropy = lambda n: F.log(F.col(f"{n}.t")) - F.col(f"{n}.l") / F.col(f"{n}.t")
     state = joins.coherence_state(_locks(spark, sf_dir), totals.select("vec_id", entropy("a").alias("first"), entropy("b").alias("second")), "vec_id")
     return state.select("vec_id", F.round("coherence", 6).alias("coherence"), "dominant.ia", "dominant.ib", "dominant.p", "dominant.q", F.round("entropy_drop", 6).alias("entropy_drop"))
+
+
+#: Examples of shifts: how calendar amplitudes (5) and regime shares (4) move the logits of the three horizons.
+CALENDAR_SHIFT = [[0.0, 0.2, 0.5], [0.3, 0.1, 0.0], [0.0, 0.4, 0.2], [0.1, 0.3, 0.0], [0.2, 0.0, -0.3]]
+REGIME_SHIFT = [[0.4, 0.0, -0.2], [0.0, 0.5, 0.0], [-0.2, 0.0, 0.6], [0.1, 0.1, 0.1]]
+_SHIFTS = [" + ".join(f"({r[h]}::DOUBLE) * {n}[{k + 1}]" for n, m in (("cal", CALENDAR_SHIFT), ("reg", REGIME_SHIFT)) for k, r in enumerate(m)) for h in range(3)]
+
+
+@query(f"""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS u FROM embeddings), c AS (SELECT vec_id, list_transform([[1, 21], [22, 42], [43, 64]], lambda b: v[b[1]:b[2]]) AS t, list_transform([[1, 21], [22, 42], [43, 64]], lambda b: u[b[1]:b[2]]) AS w,
+    list_transform(range(0, 5), lambda k: list_avg(u[k * 12 + 1:k * 12 + 12])) AS cal, list_transform(range(0, 4), lambda k: list_sum(u[k * 16 + 1:k * 16 + 16]) / list_sum(u)) AS reg FROM x),
+    l AS (SELECT vec_id, list_transform(t, lambda p: list_avg(p)) AS value, [{", ".join(f"1 / (1 + list_avg(w[{h + 1}])) - 0.5::DOUBLE * list_max(w[{h + 1}]) + 0.3::DOUBLE * (list_max(t[{h + 1}]) - list_min(t[{h + 1}])) + {_SHIFTS[h]}" for h in range(3))}] AS l FROM c),
+    s AS (SELECT vec_id, value, l, list_sum(list_transform(l, lambda z: exp(z))) AS total FROM l)
+    SELECT vec_id, round((exp(l[1]) * value[1] + exp(l[2]) * value[2] + exp(l[3]) * value[3]) / total * (1 - 0.15::DOUBLE * (vec_id % 3)), 6) AS blended, CASE WHEN l[1] >= l[2] AND l[1] >= l[3] THEN 'long' WHEN l[2] >= l[3] THEN 'medium' ELSE 'short' END AS dominant FROM s""")
+def h29_shifted_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirds of each vector as three predictors, with shifts by calendar, regime and tongues."""
+    size = lambda c: F.transform(c, lambda x: F.abs(x))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    mean = lambda c: total(c) / F.size(c)
+
+    def third(start: int, n: int):
+        t = F.slice("v", start, n)
+        return lambda: {"value": mean(t), "confidence": 1 / (1 + mean(size(t))), "linearity": F.array_max(size(t)), "gap": F.array_max(t) - F.array_min(t)}
+
+    calendar = F.array(*[mean(size(F.slice("v", k * 12 + 1, 12))) for k in range(5)])
+    shares = F.array(*[total(size(F.slice("v", k * 16 + 1, 16))) / total(size(F.col("v"))) for k in range(4)])
+    x = vectors(spark, sf_dir).select("vec_id", "v", calendar.alias("calendar"), shares.alias("regime"), (F.col("vec_id") % 3).alias("tongues"))
+    m = regimes.mix_predictors(x, {"long": third(1, 21), "medium": third(22, 21), "short": third(43, 22)}, calendar="calendar", calendar_shift=CALENDAR_SHIFT, regime="regime", regime_shift=REGIME_SHIFT, tongues="tongues")
+    return m.select("vec_id", F.round("blended", 6).alias("blended"), "dominant")
+
+
+@query("""SELECT user_id, event_id, round(ln(1 + value) * (1 + user_id % 7), 6) AS score FROM events""")
+def k03_score_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events scored by a function of numpy arrays."""
+    import numpy as np
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.col("user_id") % 7).cast("double").alias("group"))
+    return learning.score_batches(e, ["value", "group"], lambda a: np.log1p(a[:, 0]) * (1 + a[:, 1])).select("user_id", "event_id", F.round("score", 6).alias("score"))
