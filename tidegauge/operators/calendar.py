@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import calendar as cal
@@ -52,7 +52,7 @@ def date_range(spans: DataFrame, start_col: str, end_col: str, weekdays: bool =
     return days.where(F.weekday("d") < 5) if weekdays else days
 
 
-def momentum(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
-    """Adds the change of a value over the row before, as a share of it; null for a key's first row."""
+def momentum(df: DataFrame, key: list[str], order: str | Column, value: str) -> DataFrame:
+    """Adds the change of a value over the row before, as a share of it; null for a key's first row and after a zero."""
     before = F.lag(value).over(Window.partitionBy(*key).orderBy(order))
     return df.withColumn("momentum", F.when(before != 0, (F.col(value) - before) / before))

@@ -144,9 +144,11 @@ def e19_compress_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win.compress_history(ticks(spark, sf_dir), ["user_id"], "ts", 20).select("user_id", "event_id")
 
 
-@query(f"WITH {_TICKS} SELECT user_id, event_id, round((value - lag(value) OVER w) / lag(value) OVER w, 6) AS momentum FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
+@query(f"WITH {_TICKS}, s AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM ticks) SELECT user_id, event_id, round(CASE WHEN p <> 0 THEN (value - p) / p END, 6) AS momentum FROM s")
 def e20_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal_ops.momentum(ticks(spark, sf_dir), ["user_id"], "ts", "value").select("user_id", "event_id", *r6("momentum"))
+    """Null for a user's first event and after a value of zero, of which no share can be told; equal times go by id. Rounded
+    as SQL does, on the millionfold."""
+    return cal_ops.momentum(ticks(spark, sf_dir), ["user_id"], F.struct("ts", "event_id"), "value").select("user_id", "event_id", (F.round(F.col("momentum") * 1e6) / 1e6).alias("momentum"))
 
 
 _RATIOS = ", ".join(f"{p / q!r}::DOUBLE" for p, q in spectral.rationals(4))
