@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 GOLDEN = 0.618
 
 
-def _w(key: list[str], order: str):
+def _w(key: list[str], order: str | Column):
     return Window.partitionBy(*key).orderBy(order)
 
 
@@ -190,11 +190,12 @@ def compress_history(df: DataFrame, key: list[str], order: str, n: int, recent:
     return rows.where((F.col("_n") <= n) | (F.col("_r") <= new) | ((F.col("_n") - F.col("_r")) % stride == 0)).drop("_r", "_n")
 
 
-def path_dissonance(df: DataFrame, key: list[str], order: str, frequency: str, largest: int = 8) -> DataFrame:
+def path_dissonance(df: DataFrame, key: list[str], order: str | Column, frequency: str, largest: int = 8) -> DataFrame:
     """Each key's sum of dissonances between neighbours."""
     from tidegauge.functions.spectral import dissonance
 
-    steps = df.withColumn("_t", dissonance(F.col(frequency), F.lag(frequency).over(_w(key, order)), largest))
+    before = F.lag(frequency).over(_w(key, order))
+    steps = df.withColumn("_t", F.when(before.isNotNull(), dissonance(F.col(frequency), before, largest)))
     return steps.groupBy(*key).agg(F.sum("_t").alias("dissonance"))
 
 

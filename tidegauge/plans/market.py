@@ -154,10 +154,11 @@ def e20_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATIOS = ", ".join(f"{p / q!r}::DOUBLE" for p, q in spectral.rationals(4))
 
 
-@query(f"""WITH {_TICKS}, s AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM ticks)
-    SELECT user_id, round(sum(CASE WHEN p IS NULL THEN NULL ELSE list_min(list_transform([{_RATIOS}], lambda r: abs(value - r * p))) END), 4) AS dissonance FROM s GROUP BY user_id""")
+@query(f"""WITH {_TICKS}, s AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM ticks)
+    SELECT user_id, round(sum(CASE WHEN p IS NULL THEN NULL WHEN abs(value) < 1e-12::DOUBLE OR abs(p) < 1e-12::DOUBLE THEN 0 ELSE list_min(list_transform([{_RATIOS}], lambda r: abs(value - r * p))) END), 4) AS dissonance FROM s GROUP BY user_id""")
 def e21_path_dissonance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return win.path_dissonance(ticks(spark, sf_dir), ["user_id"], "ts", "value", 4).select("user_id", F.round("dissonance", 4).alias("dissonance"))
+    """Steps from or to a value of zero count 0; equal times go by id."""
+    return win.path_dissonance(ticks(spark, sf_dir), ["user_id"], F.struct("ts", "event_id"), "value", 4).select("user_id", F.round("dissonance", 4).alias("dissonance"))
 
 
 @query(f"WITH {_TICKS}, f AS (SELECT user_id, min(CASE WHEN abs(value) > 480 THEN ts END) AS a, min(CASE WHEN value < 1 THEN ts END) AS b, min(CASE WHEN event_type = 'purchase' THEN ts END) AS c FROM ticks GROUP BY user_id) SELECT user_id, coalesce(a, b, c) AS at, CASE WHEN a IS NOT NULL THEN 'curvature' WHEN b IS NOT NULL THEN 'ratio' WHEN c IS NOT NULL THEN 'marginal' END AS reason FROM f")
