@@ -152,6 +152,23 @@ _SHARDS = """
         FROM leaf l JOIN sizes s ON s.depth = l.depth AND s.bucket = l.h >> (60 - l.depth)
 """
 
+# The same rule for rows with copies: what does not fit together at full depth is cut by counting copies.
+_SHARDS_FINE = _SHARDS[: _SHARDS.index("), leaf AS (")] + """), first AS (
+            SELECT o.h, min(s.depth) AS depth
+            FROM (SELECT DISTINCT h FROM r) o JOIN sizes s ON s.bucket = o.h >> (60 - s.depth) AND (s.shard_bytes <= {limit} OR s.depth = 60) GROUP BY ALL
+        ), placed AS (
+            SELECT r.*, s.depth, s.shard_bytes, s.shard_docs, s.shard_bytes > {limit} AS apart, greatest(1, {limit} // greatest(r.n_bytes, 1)) AS room,
+                   count(*) OVER (PARTITION BY r.h, r.doc_id, r.n_bytes) AS copies, row_number() OVER (PARTITION BY r.h, r.doc_id, r.n_bytes) - 1 AS i
+            FROM r JOIN first f ON f.h = r.h JOIN sizes s ON s.depth = f.depth AND s.bucket = r.h >> (60 - s.depth)
+        ), cut AS (
+            SELECT *, least(room, copies - i // room * room) AS here FROM placed
+        )
+        SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth::INT, '0') END || CASE WHEN apart AND copies > room THEN '-' || (i // room) ELSE '' END AS shard,
+               depth::INT AS depth, CASE WHEN apart THEN here * n_bytes ELSE shard_bytes END AS shard_bytes, CASE WHEN apart THEN here ELSE shard_docs END AS shard_docs,
+               CASE WHEN apart THEN here * n_bytes ELSE shard_bytes END > {limit} AS oversize
+        FROM cut
+"""
+
 ORACLES: dict[str, str] = {
     "op11_merkle_manifest": f"""
         WITH RECURSIVE heads AS (
@@ -255,7 +272,7 @@ ORACLES: dict[str, str] = {
         FROM nodes n JOIN under u USING (d, prefix) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.above
     """,
     "op4_extendible_shards": _SHARDS.format(limit=SHARD_BYTES),
-    "extendible_shards_fine": _SHARDS.format(limit=FINE_SHARD_BYTES),
+    "extendible_shards_fine": _SHARDS_FINE.format(limit=FINE_SHARD_BYTES),
     "op10_tool_call_links": """
         WITH RECURSIVE calls AS (
             SELECT conv_id, turn, substr(md5(conv_id || ':' || turn), 1, 12) AS call_id, conv_id % 3 = 0 AND turn % 8 >= 2 AS waits, substr(md5(conv_id || ':' || (turn - 2)), 1, 12) AS dep,

@@ -78,13 +78,14 @@ def shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col:
 
 
 def _copies(rows: DataFrame, limit: int, block: int = 10_000) -> DataFrame:
-    """Rows of one hash that do not fit together, dealt out by counting: they are copies of each other."""
+    """Rows of one hash that do not fit together, dealt out by counting: they are copies of each other. A row that is alone
+    has no part's number."""
     same = rows.groupBy("h", "doc_id", "n_bytes").agg(F.count("*").alias("copies"))
     room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1)))).cast("long")
     blocks = same.withColumn("room", room).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {block}"))).alias("k")).repartition("h", "k")
     each = blocks.select("*", F.explode(F.expr(f"sequence(k * {block}, least(copies, (k + 1) * {block}) - 1)")).alias("i")).withColumn("part", F.expr("i div room"))
     here = F.least(F.col("room"), F.col("copies") - F.col("part") * F.col("room"))
-    return each.select("doc_id", "n_bytes", "h", F.lit(BITS).alias("depth"), (here * F.col("n_bytes")).alias("shard_bytes"), here.alias("shard_docs"), "part")
+    return each.select("doc_id", "n_bytes", "h", F.lit(BITS).alias("depth"), (here * F.col("n_bytes")).alias("shard_bytes"), here.alias("shard_docs"), F.when(F.col("copies") > F.col("room"), F.col("part")).alias("part"))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
