@@ -49,16 +49,24 @@ def concept_weights(pairs: DataFrame, text: str, c1: str, c2: str, paragraph: st
     return rows.withColumn("mi", mi).drop("_p1", "_p2", "_p12")
 
 
-def find_universals(patterns: DataFrame, least: float = 0.85) -> DataFrame:
+def find_universals(patterns: DataFrame, least: float = 0.85, dense: bool | None = None) -> DataFrame:
     """(a, b, similarity) of patterns of different dimensions with a cosine of at least `least` over their active places.
     patterns: (pattern_id, dimension, dims). Sets meet under their places (an inverted index); a set only lists as many
-    of its rarest places as it must share with any similar one (prefix filtering), so that common places join nothing."""
+    of its rarest places as it must share with any similar one (prefix filtering), so that common places join nothing.
+    Where so few places are so common that the index would give more than a small share of all pairs (counted first, or
+    told by `dense`), sets are compared block by block instead, without a table of candidates."""
     sizes = patterns.select("pattern_id", "dimension", F.array_distinct("dims").alias("dims")).where("size(dims) > 0")
     flat = sizes.select("pattern_id", F.explode("dims").alias("dim"))
     rarity = flat.groupBy("dim").agg(F.count("*").alias("df"))
     ranked = flat.join(rarity, "dim").groupBy("pattern_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "dim"))), lambda x: x["dim"]).alias("ordered"))
     prefix = F.size("ordered") - F.ceil(F.size("ordered") * least * least).cast("int") + 1
     listed = ranked.select("pattern_id", F.explode(F.slice("ordered", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("dim")).join(sizes.select("pattern_id", "dimension"), "pattern_id")
+    if dense is None:
+        listed = written(listed, "listed-places")
+        met = listed.groupBy("dim").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("s")).first()["s"]
+        dense = (met or 0.0) * DENSE > float(sizes.count()) ** 2
+    if dense:
+        return _universals_in_blocks(sizes, least)
     left, right = listed.select(F.col("pattern_id").alias("a"), F.col("dimension").alias("da"), "dim"), listed.select(F.col("pattern_id").alias("b"), F.col("dimension").alias("db"), "dim")
     pairs = left.join(right, "dim").where("da < db").select("a", "b").distinct()
     full = pairs.join(sizes.select(F.col("pattern_id").alias("a"), F.col("dims").alias("x")), "a").join(sizes.select(F.col("pattern_id").alias("b"), F.col("dims").alias("y")), "b")
@@ -66,6 +74,47 @@ def find_universals(patterns: DataFrame, least: float = 0.85) -> DataFrame:
     return full.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
+#: How many compared pairs cost as much as one candidate of an index, which is joined, shuffled and told apart.
+DENSE = 32
+
+
+def _universals_in_blocks(sizes: DataFrame, least: float) -> DataFrame:
+    """All pairs of sets by products of 0/1 matrices over the places that a pair of blocks has."""
+    kind = sizes.schema["pattern_id"].dataType.simpleString()
+
+    def alike(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        types = {"a": left.schema.field("pattern_id").type, "b": left.schema.field("pattern_id").type}
+        lists = [t["dims"].combine_chunks() for t in (left, right)]
+        counts = [np.asarray(pa.compute.list_value_length(x), dtype=np.int64) for x in lists]
+        places = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode(null_encoding="encode")
+        index, n_places, ends = np.asarray(places.indices), len(places.dictionary), counts[0].sum()
+        column = [index[:ends], index[ends:]]
+        row = [np.repeat(np.arange(len(c)), c) for c in counts]
+        ids, dims = [t["pattern_id"].to_numpy() for t in (left, right)], [t["dimension"].to_numpy() for t in (left, right)]
+        for at in range(0, len(ids[0]), 512):
+            n = min(512, len(ids[0]) - at)
+            mine = (row[0] >= at) & (row[0] < at + n)
+            shared = np.zeros((n, len(ids[1])), dtype=np.float32)  # whole numbers under 2^24
+            for first in range(0, n_places, 1024):
+                x, y = np.zeros((n, 1024), dtype=np.float32), np.zeros((len(ids[1]), 1024), dtype=np.float32)
+                for z, r, c in ((x, row[0][mine] - at, column[0][mine]), (y, row[1], column[1])):
+                    here = (c >= first) & (c < first + 1024)
+                    z[r[here], c[here] - first] = 1.0
+                used = min(1024, n_places - first)
+                shared += x[:, :used] @ y[:, :used].T
+            near = shared.astype(np.float64) >= (least - 1e-9) * np.sqrt(counts[0][at : at + n, None].astype(np.float64) * counts[1][None, :])
+            r, c = np.nonzero(near)
+            similarity = shared[r, c].astype(np.float64) / np.sqrt(counts[0][at + r].astype(np.float64) * counts[1][c])
+            one, two, p, q = dims[0][at + r], dims[1][c], ids[0][at + r], ids[1][c]
+            below, above = (one < two).astype(bool), np.zeros(len(r), dtype=bool) if same else (one > two).astype(bool)
+            keep = (below | above) & (similarity >= least)
+            if keep.any():
+                yield batch(types, a=np.where(below, p, q)[keep], b=np.where(below, q, p)[keep], similarity=similarity[keep])
+
+    known = sizes.where("pattern_id is not null and dimension is not null")
+    return block_pairs(known, "pattern_id", alike, f"a {kind}, b {kind}, similarity double", most=8192)
+
+
 def new_only(found: DataFrame, known: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Pairs without a known one of the same dimensions, near similarity and a shared type. Columns: dimensions (sorted
     array), similarity, types (array)."""
