@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import lexicons as lex
 from tidegauge.functions import text as tx
+from tidegauge.operators.blocks import batch, block_pairs, matrix, widened
 from tidegauge.operators.joins import cosine_top_k
 from tidegauge.operators.ordering import numbered
 from tidegauge.operators.statistics import gram
@@ -131,17 +136,44 @@ def equivalent_pairs(df: DataFrame, key: str, spectrum: str, threshold: float =
     """(a, b, distance) of all pairs a < b whose sorted spectra, padded with zeros, are nearer than `threshold` in the mean.
 
     The distance of two spectra is at least that of their sums over the longer length, so that pairs this near lie in the
-    same or in neighbouring bands of sums; other pairs are not formed."""
-    from tidegauge.operators.joins import wasserstein
-
+    same or in neighbouring bands of sums. Bands meet block by block; there the sums of eight parts of both spectra, whose
+    distance is never the larger one, leave the pairs whose distances are added up in full."""
+    kind = df.schema[key].dataType.simpleString()
     size = F.transform(spectrum, lambda v: F.abs(v).cast("double"))
     s = df.select(F.col(key).alias("k"), F.sort_array(size, asc=False).alias("x")).where("k is not null and size(x) > 0")
     longest = s.agg(F.max(F.size("x")).alias("_longest"))
-    s = s.join(F.broadcast(longest), F.lit(True)).select("k", "x", F.floor(F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / (threshold * F.col("_longest"))).alias("band"))
-    left = s.select(F.col("k").alias("a"), F.col("x").alias("_x"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    near = left.join(s.select(F.col("k").alias("b"), F.col("x").alias("_y"), "band"), "band").where("a < b")
-    desc = lambda c: F.transform(c, lambda v: -v)  # noqa: E731  the distance sorts upwards and pads at the end
-    return near.select("a", "b", wasserstein(desc(F.col("_x")), desc(F.col("_y"))).alias("distance")).where(F.col("distance") < threshold)
+    s = s.join(F.broadcast(longest), F.lit(True)).select("k", "x", F.floor(F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / (threshold * F.col("_longest"))).alias("band")).where("band is not null")
+    # a pair meets in the lower of its bands, where the upper one's rows do not meet each other
+    rows = s.select("k", "x", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("own")))).alias("b")).select("k", "x", "b.band", "b.own")
+
+    def near(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        types = {"a": left.schema.field("k").type, "b": left.schema.field("k").type}
+        (x, n), (y, m) = matrix(left["x"]), matrix(right["x"])
+        width = max(x.shape[1], y.shape[1])
+        x, y = widened(x, width), widened(y, width)
+        parts = np.linspace(0, width, min(8, width) + 1).astype(int)[:-1]
+        xp, yp = (np.ascontiguousarray(np.add.reduceat(z, parts, axis=1).T) for z in (x, y))
+        i, j, own, other = left["k"].to_numpy(), right["k"].to_numpy(), left["own"].to_numpy(), right["own"].to_numpy()
+        for at in range(0, len(i), 128):
+            some = slice(at, at + 128)
+            about = np.zeros((len(i[some]), len(j)))
+            for a, b in zip(xp, yp, strict=True):
+                about += np.abs(a[some, None] - b[None, :])
+            size = np.maximum(n[some, None], m[None, :])
+            less = i[some, None] < j[None, :]
+            order = less if same else (less | (i[some, None] > j[None, :]))
+            r, c = np.nonzero((about <= threshold * size * (1 + 1e-9) + 1e-12) & order & (own[some, None] | other[None, :]))
+            distance = np.zeros(len(r))
+            for a, b in zip(x[some].T, y.T, strict=True):
+                distance += np.abs(a[r] - b[c])
+            distance /= size[r, c]
+            keep = distance < threshold
+            if keep.any():
+                r, c, distance = r[keep], c[keep], distance[keep]
+                first, one, two = less[r, c], i[some][r], j[c]
+                yield batch(types, a=np.where(first, one, two), b=np.where(first, two, one), distance=distance)
+
+    return block_pairs(rows, "k", near, f"a {kind}, b {kind}, distance double", ["band"], most=8192)
 
 
 def repo_summary(repos: DataFrame, key: str, description: str, readme: str, files: str) -> DataFrame:
