@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import market
+from tidegauge.operators.blocks import batch, block_pairs, dots, matrix, widened
 from tidegauge.operators.store import checkpointed
 
 
@@ -148,20 +151,29 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def merge_redundant(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
     """(component, members, mean) of vectors of which each is parallel to another of its group but for a residual below
-    eps. Unit vectors that are so near, or whose opposites are, lie in the same or touching cells of a grid over their
-    first three parts, where they meet."""
-    from tidegauge.functions import market
-
+    eps. Unit vectors meet block by block, in which a matrix product picks the candidates whose residuals are then worked
+    out in order; only near pairs leave a block."""
     u = df.select(F.col(key).alias("id"), market.normalized(F.col(vector).cast("array<double>")).alias("u"))
-    side = math.sqrt(2 - 2 * math.sqrt(1 - min(eps, 1.0) ** 2)) + 1e-9
-    cell = lambda k, sign=1: F.floor(sign * F.coalesce(F.get("u", F.lit(k)), F.lit(0.0)) / side)
-    around = F.array(*[F.struct(*[F.lit(x).alias(f"o{k}") for k, x in enumerate(o)]) for o in itertools.product((-1, 0, 1), repeat=3)])
-    whole = u.where(F.size("u") > 0)
-    left = whole.withColumn("o", F.explode(around)).select("id", "u", *[(cell(k) + F.col(f"o.o{k}")).alias(f"c{k}") for k in range(3)])
-    right = whole.select("id", "u", F.explode(F.array(*[F.struct(*[cell(k, sign).alias(f"c{k}") for k in range(3)]) for sign in (1, -1)])).alias("c")).select("id", "u", "c.*")
-    pairs = left.alias("a").join(right.alias("b"), (F.col("a.id") < F.col("b.id")) & (F.col("a.c0") == F.col("b.c0")) & (F.col("a.c1") == F.col("b.c1")) & (F.col("a.c2") == F.col("b.c2")))
-    c = market.dot(F.col("a.u"), F.col("b.u"))
-    near = pairs.where(F.sqrt(F.greatest(F.lit(0.0), 1 - c * c)) < eps).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    kind = u.schema["id"].dataType.simpleString()
+    whole = u.where(F.size("u") > 0).where("id is not null").select("id", F.transform("u", lambda x: F.coalesce(x, F.lit(0.0))).alias("u"))
+
+    def parallel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        types = {"src": left.schema.field("id").type, "dst": left.schema.field("id").type}
+        x, y = matrix(left["u"])[0], matrix(right["u"])[0]
+        x, y = (widened(z, max(x.shape[1], y.shape[1])) for z in (x, y))
+        i, j, yt = left["id"].to_numpy(), right["id"].to_numpy(), np.ascontiguousarray(y.T)
+        for at in range(0, len(i), 128):
+            about = x[at : at + 128] @ yt
+            r, c = np.nonzero(about * about > 1 - eps * eps - 1e-9)
+            some = i[at + r] < j[c] if same else i[at + r] != j[c]
+            r, c = at + r[some], c[some]
+            cosine = dots(x[r].T, y[c].T)
+            close = np.sqrt(np.maximum(0.0, 1 - cosine * cosine)) < eps
+            if close.any():
+                one, two = i[r[close]], j[c[close]]
+                yield batch(types, src=np.where(one < two, one, two), dst=np.where(one < two, two, one))
+
+    near = block_pairs(whole, "id", parallel, f"src {kind}, dst {kind}")
     named = u.join(components(near), u["id"] == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"), "u")
     mean = named.select("component", F.posexplode("u").alias("i", "x")).groupBy("component", "i").agg(F.avg("x").alias("x")).groupBy("component").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda a: a["x"]).alias("mean"))
     return named.groupBy("component").agg(F.count("*").alias("members")).join(mean, "component")
