@@ -140,3 +140,12 @@ def test_windows_tell_a_drifting_system_from_a_steady_one(spark):
     assert got["steady"].error < 1e-6 < got["drifting"].error and got["steady"].rejected == 0 and (got["flat"].rejected, got["flat"].windows, got["flat"].kept, got["flat"].energy) == (5, 0, None, None)
     phases = sorted(abs(math.atan2(b, a)) for a, b in zip(got["steady"].re, got["steady"].im))
     assert got["steady"].kept in (2, 3) and abs(phases[-1] - 0.4) < 1e-3 and got["steady"].energy >= 0.9
+
+
+def test_rows_of_a_window_are_folded_in_many_tasks(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(400).select((F.col("id") % 40).alias("k"), "id", (F.col("id") + 1.0).alias("x"))
+    before = F.coalesce(F.lag("x").over(Window.partitionBy("k").orderBy("id")), F.lit(1.0))
+    told = folds.fold(rows.withColumn("y", F.col("x") + before), "k", "id", folds.Ticks("y"))
+    assert told.select(F.spark_partition_id().alias("p")).distinct().count() > 1

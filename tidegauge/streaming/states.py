@@ -53,8 +53,10 @@ def _in_order(df: DataFrame, key: str, order: str, fn: Callable, out: str) -> Da
                 told, state = fn(name, rows, state)
                 yield told
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks as the session has, however few the bytes
-    return df.repartition(n, key).sortWithinPartitions(key, order).mapInPandas(run, out)
+    # As many tasks as the session has, however few the bytes. Dealt by a hash of the key: a repartition by the key itself is
+    # left out where rows come from a window over that key, and its partitions are then merged by their bytes.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(key)).sortWithinPartitions(key, order).mapInPandas(run, out)
 
 
 def tick_state(stream: DataFrame, key: str = "symbol", order: str = "ts", price: str = "price", idle: float | None = None) -> DataFrame:
