@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -322,6 +327,57 @@ def token_dims(token: Column, dim: int) -> Column:
     return F.array(digest_mod(F.md5(b), 32, dim), digest_mod(F.sha2(b, 256), 64, dim), digest_mod(F.sha1(b), 40, max(1, dim // 3)))
 
 
+def _digests(words: list[bytes], dim: int) -> np.ndarray:
+    """`token_dims` of words, a row for each."""
+    third = max(1, dim // 3)
+    found = [(int.from_bytes(hashlib.md5(w).digest()) % dim, int.from_bytes(hashlib.sha256(w).digest()) % dim, int.from_bytes(hashlib.sha1(w).digest()) % third) for w in words]
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def _listed(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of lists of tokens: each token's list and its number among the different ones, which come last."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    flat = tokens.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(tokens)), sizes), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+
+
+def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), values)
+
+
+def token_places(tokens: Column, dim: int) -> Column:
+    """The different places of a list's tokens, in order: `token_dims` of all of them, a token of a batch hashed once."""
+
+    def places(lists: pa.Array) -> pa.Array:
+        row, token, words = _listed(lists)
+        at, held = _digests(words.cast(pa.binary()).to_pylist(), dim), []
+        for k in range(0, len(lists), 1024):
+            some = slice(*np.searchsorted(row, [k, k + 1024]))
+            seen = np.zeros((min(1024, len(lists) - k), dim), bool)
+            seen[(row[some] - k)[:, None], at[token[some]]] = True
+            held.append(np.argwhere(seen) + [k, 0])
+        held = np.concatenate([*held, np.empty((0, 2), np.int64)])
+        return _lists(held[:, 0], len(lists), pa.array(held[:, 1], pa.int32()))
+
+    places.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(places, "array<int>")(tokens)
+
+
+def lone_tokens(tokens: Column, dim: int) -> Column:
+    """A list's different tokens, and of each whether it is alone at its place by MD5."""
+
+    def alone(lists: pa.Array) -> pa.Array:
+        row, token, words = _listed(lists)
+        row, token = np.divmod(np.unique(row * max(len(words), 1) + token), max(len(words), 1))
+        at = np.array([int.from_bytes(hashlib.md5(w).digest()) % dim for w in words.cast(pa.binary()).to_pylist()], np.int64)[token]
+        _, place, owners = np.unique(row * dim + at, return_inverse=True, return_counts=True)
+        told = pa.StructArray.from_arrays([words.take(pa.array(token)), pa.array(owners[place] == 1)], names=["token", "alone"])
+        return _lists(row, len(lists), told)
+
+    alone.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(alone, "array<struct<token:string,alone:boolean>>")(tokens)
+
+
 def hdv_encode(text: Column, dim: int = 10_000) -> Column:
     """Sorted active places of a text's tokens."""
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(text)), lambda t: token_dims(t, dim)))))

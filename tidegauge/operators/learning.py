@@ -93,9 +93,9 @@ def section_profile(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def overlap_heatmap(library: DataFrame, dims: DataFrame, key: str, types: list[str] | None = None) -> DataFrame:
-    """Active places by domain and equation type. library: (key, domains, type); dims: (key, dim). The types are columns; if
-    they are named, the table need not be read for them."""
-    n = dims.groupBy(key).agg(F.countDistinct("dim").alias("_n"))
+    """Active places by domain and equation type. library: (key, domains, type); dims: (key, dims), different
+    places, one row for each key. The types are columns; if they are named, the table need not be read for them."""
+    n = dims.select(key, F.size("dims").cast("long").alias("_n"))
     return library.join(n, key).select(F.explode("domains").alias("domain"), "type", "_n").groupBy("domain").pivot("type", types).agg(F.sum("_n")).na.fill(0)
 
 

@@ -12,7 +12,7 @@ from tidegauge.operators import windows as win
 from tidegauge.plans.more import _MODES, _modes, vectors
 from tidegauge.plans.registry import query, table
 from tidegauge.plans.statistics import _RAT
-from tidegauge.plans.text import _DIMS, _LEX, _dims, _list
+from tidegauge.plans.text import _DIMS, _LEX, _list, _places
 
 # Concepts without lookahead: every mark is doubled, so that one of the two may be taken on either side of a word.
 _NAMES = r"""seen AS (SELECT doc_id, s, regexp_replace(s, '([^\p{L}\p{M}\p{N}_])', '\1\1', 'g') AS d FROM (SELECT doc_id, unnest(string_split_regex(text, '\n#{1,4}\s|\n-{3,}\n|\n{3,}')) AS s FROM documents)),
@@ -139,7 +139,7 @@ _KINDS = ["algebraic", "exponential", "logarithmic", "power", "trigonometric"]
 def d40_overlap_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active places of documents by language and by the kind of equation that their text looks like."""
     library = table(spark, sf_dir, "documents").select("doc_id", F.array("lang").alias("domains"), tx.equation_type(F.col("text")).alias("type"))
-    return learning.overlap_heatmap(library, _dims(spark, sf_dir), "doc_id", _KINDS)
+    return learning.overlap_heatmap(library, _places(spark, sf_dir, "doc_id"), "doc_id", _KINDS)
 
 
 @query()

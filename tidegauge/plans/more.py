@@ -12,7 +12,7 @@ from tidegauge.operators import graph, joins, learning, regimes, relations
 from tidegauge.plans.calendar import _DAYS, _EVENTS, days
 from tidegauge.plans.registry import query, table
 from tidegauge.plans.statistics import _RAT
-from tidegauge.plans.text import _DIMS, _dims
+from tidegauge.plans.text import _DIMS, _lang_dims
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def d27_build_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DIMS} SELECT lang AS domain, count(DISTINCT dim) AS n FROM dims GROUP BY 1")
 def d40_domain_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dims(spark, sf_dir).groupBy(F.col("lang").alias("domain")).agg(F.countDistinct("dim").alias("n"))
+    return _lang_dims(spark, sf_dir).groupBy(F.col("lang").alias("domain")).agg(F.countDistinct("dim").alias("n"))
 
 
 @query("""WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst, l_discount AS a, l_tax AS b, l_quantity / 50 AS c FROM lineitem), m AS (SELECT max(a) AS a, max(b) AS b, max(c) AS c FROM e), x AS (SELECT src, dst, e.a / m.a + e.b / m.b + e.c / m.c AS cost FROM e, m), y AS (SELECT * FROM x UNION ALL SELECT dst, src, cost FROM x) SELECT src, dst, round(min(cost), 6) AS cost FROM y GROUP BY ALL""")

@@ -188,24 +188,39 @@ _DIMS = f"""toks AS (SELECT DISTINCT doc_id, lang, unnest(list_filter(string_spl
     dims AS (SELECT doc_id, lang, {_fold_sql('md5(t)', 4, 997)} AS dim FROM toks UNION SELECT doc_id, lang, {_fold_sql('sha256(t)', 8, 997)} FROM toks UNION SELECT doc_id, lang, {_fold_sql('sha1(t)', 5, 332)} FROM toks)"""
 
 
-def _dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("t"))
-    return docs.select("doc_id", "lang", F.explode(tx.token_dims(F.col("t"), 997)).alias("dim")).distinct()
+def _tokens(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """(by, tokens) of documents, one row for each `by`: rows that share one are put together, if there are any."""
+    docs = table(spark, sf_dir, "documents")
+    read = docs.select(*by, tx.tokens(F.col("text")).alias("tokens"))
+    if docs.groupBy(*by).count().where("count > 1").isEmpty():
+        return read
+    return read.groupBy(*by).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+
+
+def _places(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """(by, dims), one row for each `by` that has a token: its places."""
+    return _tokens(spark, sf_dir, *by).select(*by, tx.token_places(F.col("tokens"), 997).alias("dims")).where(F.size("dims") > 0)
+
+
+def _lang_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, dim) of all documents, with repeats."""
+    docs = table(spark, sf_dir, "documents").select("lang", tx.token_places(tx.tokens(F.col("text")), 997).alias("dims"))
+    return docs.select("lang", F.explode("dims").alias("dim"))
 
 
 @query(f"WITH {_DIMS} SELECT doc_id, count(*) AS n_dims, sum(dim)::BIGINT AS sum_dims, max(dim)::BIGINT AS max_dim FROM dims GROUP BY 1")
 def h30_hdv_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dims(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_dims"), F.sum("dim").alias("sum_dims"), F.max("dim").cast("long").alias("max_dim"))
+    return _places(spark, sf_dir, "doc_id", "lang").select("doc_id", F.explode("dims").alias("dim")).groupBy("doc_id").agg(F.count("*").alias("n_dims"), F.sum("dim").alias("sum_dims"), F.max("dim").cast("long").alias("max_dim"))
 
 
 @query(f"WITH {_DIMS} SELECT dim::INT AS dim, count(DISTINCT lang) AS n_domains FROM dims GROUP BY dim HAVING count(DISTINCT lang) >= 2")
 def d25_overlap_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dims(spark, sf_dir).groupBy("dim").agg(F.countDistinct("lang").alias("n_domains")).where("n_domains >= 2")
+    return _lang_dims(spark, sf_dir).groupBy("dim").agg(F.countDistinct("lang").alias("n_domains")).where("n_domains >= 2")
 
 
 @query(f"WITH {_DIMS} SELECT lang, dim::INT AS dim, count(*) AS n FROM dims GROUP BY ALL")
 def d26_domain_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dims(spark, sf_dir).groupBy("lang", "dim").agg(F.count("*").alias("n"))
+    return _places(spark, sf_dir, "doc_id", "lang").select("lang", F.explode("dims").alias("dim")).groupBy("lang", "dim").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS t FROM conversations), d AS (SELECT conv_id, {_fold_sql('md5(t)', 4, 64)} AS dim, 1 / (1 + 0.1::DOUBLE * turn) AS w FROM w)
@@ -220,7 +235,5 @@ def h31_workflow_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT doc_id, t, {_fold_sql('md5(t)', 4, 997)} AS dim FROM t), o AS (SELECT doc_id, dim, count(*) AS owners FROM d GROUP BY ALL) SELECT doc_id, t AS token, round(sqrt(count(*) FILTER (owners = 1)), 6) AS salience FROM d JOIN o USING (doc_id, dim) GROUP BY ALL""")
 def h33_token_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all tokens of each document."""
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
-    d = tokens.withColumn("dim", tx.digest_mod(F.md5(F.col("token").cast("binary")), 32, 997))
-    owners = d.groupBy("doc_id", "dim").agg(F.count("*").alias("owners"))
-    return d.join(owners, ["doc_id", "dim"]).groupBy("doc_id", "token").agg(F.round(F.sqrt(F.count_if(F.col("owners") == 1).cast("double")), 6).alias("salience"))
+    told = _tokens(spark, sf_dir, "doc_id").where("doc_id is not null").select("doc_id", F.explode(tx.lone_tokens(F.col("tokens"), 997)).alias("t"))
+    return told.select("doc_id", "t.token", F.round(F.sqrt(F.col("t.alone").cast("double")), 6).alias("salience"))
