@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -280,15 +279,42 @@ def code_edges(modules: DataFrame) -> DataFrame:
 
 def merge_experience(memory: DataFrame, new: DataFrame, key_near: float = 0.15, spectrum_near: float = 0.25) -> DataFrame:
     """Upserts rows (id, k1, k2, k3, spec, improvement, n_obs): a new row near an old one in key and spectrum raises its
-    count and keeps the better improvement; others are added."""
-    m, n = memory.alias("m"), new.alias("n")
-    keys = ("k1", "k2", "k3")
-    cell = lambda *step: F.struct(*[(F.floor(F.col(k) / key_near) + d).alias(k) for k, d in zip(keys, step, strict=True)])
-    probes = n.withColumn("_b", F.explode(F.array(*[cell(*step) for step in itertools.product((-1, 0, 1), repeat=3)])))
-    far = F.sqrt(sum(((F.col(f"m.{k}") - F.col(f"n.{k}")) ** 2 for k in keys), F.lit(0.0)))
-    apart = market.norm(F.zip_with(F.col("m.spec"), F.col("n.spec"), lambda x, y: x - y))
-    hits = m.withColumn("_b", cell(0, 0, 0)).alias("m").join(probes.alias("n"), F.col("m._b") == F.col("n._b")).where((far <= key_near) & (apart < spectrum_near))
-    best = hits.groupBy(F.col("n.id").alias("new_id")).agg(F.min_by(F.struct(F.col("m.id").alias("id")), F.struct(far.alias("far"), F.col("m.id"))).alias("o"), F.max("n.improvement").alias("improvement"))
+    count and keeps the better improvement; others are added. Blocks of new rows meet blocks of old ones; matrix products
+    pick each new row's candidates, whose distances are then summed in order, and its nearest of a block goes on."""
+    whole = F.array(*[F.col(k).cast("double") for k in ("k1", "k2", "k3")])
+    spec = F.col("spec").cast("array<double>")
+    left = new.select(F.col("id").alias("new_id"), "improvement", whole.alias("x"), spec.alias("s"))
+    right = memory.where("id is not null").select("id", whole.alias("y"), spec.alias("t"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((left, "new_id"), (left, "improvement"), (right, "id"))]
+
+    def near(new: pa.Table, old: pa.Table) -> Iterator[pa.RecordBatch]:
+        (x, _), (y, _), (s, ls), (t, lt) = (matrix(c) for c in (new["x"], old["y"], new["s"], old["t"]))
+        s, t = (widened(z, max(s.shape[1], t.shape[1])) for z in (s, t))
+        ids = np.unique(old["id"].to_numpy(), return_inverse=True)[1]
+        yt, tt, yy, ttt = np.ascontiguousarray(y.T), np.ascontiguousarray(t.T), (y * y).sum(1), (t * t).sum(1)
+        for at in range(0, len(x), 128):
+            a, b = x[at : at + 128], s[at : at + 128]
+            aa, bb = (a * a).sum(1)[:, None], (b * b).sum(1)[:, None]
+            far, apart = aa + yy - 2 * (a @ yt), bb + ttt - 2 * (b @ tt)
+            room, more = 1e-12 * (1 + aa + yy), 1e-12 * (1 + bb + ttt)  # for rounding
+            alike = (ls[at : at + 128, None] == lt) & (lt >= 0)
+            maybe = alike & (far <= key_near**2 + room) & (apart < spectrum_near**2 + more)
+            sure = maybe & (far <= key_near**2 - room) & (apart < spectrum_near**2 - more)
+            bound = np.where(sure, far + 2 * room, np.inf).min(axis=1, initial=np.inf)
+            r, c = np.nonzero(maybe & (far - 2 * room <= bound[:, None]))
+            off, wide = x[at + r] - y[c], s[at + r] - t[c]
+            off, wide = np.sqrt(dots(off.T, off.T)), np.sqrt(dots(wide.T, wide.T))
+            hit = (off <= key_near) & (wide < spectrum_near)
+            r, c, off = r[hit], c[hit], off[hit]
+            order = np.lexsort((ids[c], off, r))
+            r, c, off = r[order], c[order], off[order]
+            first = np.diff(r, prepend=-1) > 0
+            if first.any():
+                rows, mates = pa.array(at + r[first]), pa.array(c[first])
+                yield batch({}, new_id=new["new_id"].take(rows).combine_chunks(), improvement=new["improvement"].take(rows).combine_chunks(), id=old["id"].take(mates).combine_chunks(), far=off[first])
+
+    hits = blocks_across(left, "new_id", right, "id", near, f"new_id {kinds[0]}, improvement {kinds[1]}, id {kinds[2]}, far double")
+    best = hits.groupBy("new_id").agg(F.min_by(F.struct("id"), F.struct("far", "id")).alias("o"), F.max("improvement").alias("improvement"))
     gain = best.groupBy(F.col("o.id").alias("id")).agg(F.count("*").alias("_more"), F.max("improvement").alias("_best"))
     kept = memory.join(gain, "id", "left").withColumn("n_obs", F.col("n_obs") + F.coalesce("_more", F.lit(0))).withColumn("improvement", F.greatest("improvement", F.coalesce("_best", "improvement"))).drop("_more", "_best")
     return kept.unionByName(new.join(best.select(F.col("new_id").alias("id")), "id", "left_anti"))
