@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import market
 
-#: Positions whose hashes a worker keeps, 4 bytes for each of 256 bytes; those beyond are hashed again for each text.
-KEPT = 1 << 14
-_UNSET = np.iinfo(np.int32).min
+#: Positions whose hashes a worker keeps, 2 bytes (4 from 16,384 places on) for each of 256 bytes, of which only those that
+#: a text has are ever taken up; those beyond are hashed again for each text.
+KEPT = 1 << 17
 _TABLES: dict[int, np.ndarray] = {}
 
 
 def _place(dim: int, byte: int, position: int) -> int:
-    """Place and sign of a byte's hash at a position: place + dim for a plus and -1 - place for a minus."""
-    h = int(hashlib.md5(f"{byte}_{position}".encode()).hexdigest(), 16)
-    return h % dim + dim if h // dim % 2 == 0 else -1 - h % dim
+    """Place and sign of a byte's hash at a position: 1 + place, below zero for a minus."""
+    h = int.from_bytes(hashlib.md5(b"%d_%d" % (byte, position)).digest()) % (2 * dim)
+    return h + 1 if h < dim else dim - h - 1
 
 
 def _places(dim: int, data: np.ndarray) -> np.ndarray:
-    table = _TABLES.setdefault(dim, np.full((KEPT, 256), _UNSET, np.int32))
+    if dim not in _TABLES:
+        _TABLES[dim] = np.zeros((KEPT, 256), np.int16 if dim < 1 << 14 else np.int32)
+    table = _TABLES[dim]
     near = np.arange(min(len(data), KEPT))
-    new = near[table[near, data[:KEPT]] == _UNSET]
+    new = near[table[near, data[:KEPT]] == 0]
     table[new, data[new]] = [_place(dim, b, p) for b, p in zip(data[new].tolist(), new.tolist(), strict=True)]
     far = [_place(dim, b, p) for p, b in enumerate(data[KEPT:].tolist(), KEPT)]
     return np.concatenate([table[near, data[:KEPT]], np.array(far, np.int32)])
@@ -40,7 +42,7 @@ def hash_embed(text: Column, dim: int = 200) -> Column:
         out = []
         for t in texts:
             code = _places(dim, np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8))
-            plus, minus = code[code >= 0] - dim, -1 - code[code < 0]
+            plus, minus = code[code > 0] - 1, -1 - code[code < 0]
             v = np.bincount(plus, minlength=dim)[:dim] - np.bincount(minus, minlength=dim)[:dim].astype(float)
             n = np.linalg.norm(v)
             out.append((v / n if n > 0 else v).tolist())
