@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 MOST_ROWS = 20_000
 
 
+#: Rows of a task at most, in expectation, where rows are sorted or aggregated by keys that hardly repeat.
+TASK_ROWS = 2_000_000
+
+
+def parts_for(rows: DataFrame) -> int:
+    """Parts of some TASK_ROWS rows, as many as the session has at least; `rows` are counted, so they should be a table."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+
+
 def in_blocks(rows: DataFrame, key: str, fn: Callable[[DataFrame], DataFrame], most: int = MOST_ROWS) -> DataFrame:
     """The union of `fn` over blocks of `rows`, each marked for broadcast. Rows are counted first; more than `most` are
     dealt out by a hash of `key`, which has to be nearly unique."""

@@ -11,21 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import market
-from tidegauge.operators.blocks import batch, block_pairs, dots, matrix, widened
-from tidegauge.operators.store import checkpointed
+from tidegauge.operators.blocks import batch, block_pairs, dots, matrix, parts_for, widened
+from tidegauge.operators.store import checkpointed, written
+
+
+def _by_source(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges in parts of a bounded size by `src`, in its order, so that a round neither deals nor sorts them; and the parts."""
+    raw = written(edges, "edges")
+    n = parts_for(raw)
+    return checkpointed(raw.repartition(n, "src").sortWithinPartitions("src")), n
 
 
 def shortest_path(edges: DataFrame, source: int, cost: str = "cost") -> DataFrame:
     """(node, distance, parent) of all nodes reachable from a source, by relaxing edges until nothing changes. edges:
     (src, dst, cost), both directions where meant. A cycle of negative cost raises an error."""
     spark = edges.sparkSession
-    e = checkpointed(edges.select("src", "dst", F.col(cost).cast("double").alias("_c")))
+    e, n = _by_source(edges.select("src", "dst", F.col(cost).cast("double").alias("_c")))
     best = checkpointed(spark.createDataFrame([(source, 0.0, None)], "node long, distance double, parent long"))
     front, most_rounds = best, None
     for k in itertools.count(1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("_c")).alias("distance"), F.col("src").alias("parent"))
         both = best.withColumn("_new", F.lit(0)).unionByName(step.withColumn("_new", F.lit(1)))
-        merged = checkpointed(both.groupBy("node").agg(F.min(F.struct("distance", "_new", "parent")).alias("m")).select("node", "m.*"))
+        merged = checkpointed(both.repartition(n, "node").groupBy("node").agg(F.min(F.struct("distance", "_new", "parent")).alias("m")).select("node", "m.*"))
         front = merged.where("_new = 1").drop("_new")
         best = merged.select("node", "distance", "parent")
         if front.isEmpty():
@@ -75,10 +82,10 @@ def fraction_edges(nodes: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, source: int) -> DataFrame:
     """(node, hops) of all nodes reachable from a source; each round only its new nodes move on."""
     spark = edges.sparkSession
-    e = checkpointed(edges.select("src", "dst").distinct())
+    e, n = _by_source(edges.select("src", "dst"))
     seen = front = checkpointed(spark.createDataFrame([(source, 0)], "node long, hops int"))
     for k in itertools.count(1):
-        reached = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        reached = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).repartition(n, "node").distinct()
         front = checkpointed(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break

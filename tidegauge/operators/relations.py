@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.blocks import parts_for
 from tidegauge.operators.ordering import running_sums
 
 
@@ -68,9 +69,10 @@ def merge_discoveries(df: DataFrame, centers: DataFrame, near: float = 0.1) -> D
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, kind: str, of: str) -> DataFrame:
-    """One row: nodes, undirected edges, and the share of nodes of one kind."""
+    """One row: nodes, undirected edges, and the share of nodes of one kind. Edges are counted, then dealt in parts of a bounded
+    size; they should be a table."""
     n = nodes.agg(F.count("*").alias("nodes"), F.avg((F.col(kind) == of).cast("double")).alias("share"))
-    e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count("*").alias("edges"))
+    e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).repartition(parts_for(edges), "a", "b").distinct().agg(F.count("*").alias("edges"))
     return n.join(F.broadcast(e), F.lit(True))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import graph, joins, relations
 from tidegauge.operators import statistics as st
+from tidegauge.operators.blocks import parts_for
+from tidegauge.operators.store import written
 from tidegauge.plans.registry import query, table
 from tidegauge.plans.statistics import _RAT
 
@@ -104,7 +106,8 @@ _LINKS = "w AS (SELECT -1 - l_suppkey AS a, l_partkey AS b, min(l_quantity)::DOU
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers (below zero) and parts of all line items, both ways; the smallest quantity is the cost."""
-    w = table(spark, sf_dir, "lineitem").groupBy((-1 - F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b")).agg(F.min("l_quantity").cast("double").alias("cost"))
+    li = table(spark, sf_dir, "lineitem")
+    w = li.select((-1 - F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"), "l_quantity").repartition(parts_for(li), "a", "b").groupBy("a", "b").agg(F.min("l_quantity").cast("double").alias("cost"))
     return w.select(F.col("a").alias("src"), F.col("b").alias("dst"), "cost").union(w.select("b", "a", "cost"))
 
 
@@ -152,6 +155,6 @@ def i05_ready_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LINKS} SELECT (SELECT count(*) FROM (SELECT a FROM w UNION SELECT b FROM w)) AS nodes, (SELECT count(*) FROM w) AS edges, round((SELECT count(DISTINCT a) FROM w) / (SELECT count(*) FROM (SELECT a FROM w UNION SELECT b FROM w)), 6) AS share")
 def d50_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _links(spark, sf_dir)
+    e = written(_links(spark, sf_dir), "links")
     nodes = e.select(F.col("src").alias("node")).distinct().withColumn("kind", F.when(F.col("node") < 0, "supplier").otherwise("part"))
     return relations.graph_summary(nodes, e, "kind", "supplier").select("nodes", "edges", F.round("share", 6).alias("share"))
