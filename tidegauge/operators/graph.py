@@ -70,7 +70,7 @@ def fraction_edges(nodes: DataFrame) -> DataFrame:
     q under 2^31. Of two neighbours the one with the larger denominator knows the other: its denominator is the inverse of
     plus or minus p modulo q, so each fraction asks for two others by equality and no pairs are compared. Fractions that
     are not in lowest terms have no neighbours; equal fractions are neighbours of the same ones."""
-    own = nodes.where("q > 0").select("node", F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"))
+    own = checkpointed(nodes.where("q > 0").select("node", F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q")))  # so that inverses are of nodes, not of the rows they come from
     inverse = market.let(_inverse(F.col("p"), F.col("q")), lambda x: F.when(F.col("q") == 1, F.lit(1).cast("long")).otherwise(x))
     told = own.withColumn("inverse", inverse).where("inverse is not null")
     sides = told.select("node", "p", "q", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("inverse").alias("b")), F.struct(F.lit(-1).alias("sign"), F.when(F.col("q") == 1, 1).otherwise(F.col("q") - F.col("inverse")).alias("b")))).alias("s"))
