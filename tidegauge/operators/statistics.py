@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.spectral import trust_score
-from tidegauge.operators.blocks import MOST_ROWS, in_blocks
+from tidegauge.operators.blocks import MOST_ROWS, in_blocks, matrix
 from tidegauge.operators.store import written
 
 
@@ -158,6 +160,27 @@ def edmd_pairs(df: DataFrame, series: str, order: str, vector: str, degree: int
     return rows.withColumn("psi_next", F.lead("psi").over(Window.partitionBy(series).orderBy(order))).where("psi_next is not null")
 
 
+def _spectra(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Operators, their eigenvalues from the largest on, and the three parts of the scaled sums, of sums of products of bases
+    and the next rows' bases; leading axes are systems."""
+    k = sums.shape[-1] // 2
+    full = sums / np.maximum(sums[..., :1, :1], 1e-12)  # the constant's square: the number of pairs, or their weight
+    g, a, b = full[..., :k, :k], full[..., :k, k:], full[..., k:, k:]
+    op = np.linalg.pinv(g, rcond=1e-10) @ a
+    e = np.linalg.eigvals(op).astype(complex)
+    return op, np.take_along_axis(e, np.lexsort((e.imag, e.real, -np.abs(e)), axis=-1), -1), (g, a, b)
+
+
+def _edmd_quality(op: np.ndarray, e: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gap, error and condition of what `_spectra` gives."""
+    g, a, b = parts
+    size, turned = np.abs(e), np.swapaxes(op, -1, -2)
+    gap = (size[..., 0] - size[..., 1]) / np.maximum(size[..., 0], 1e-12) if size.shape[-1] > 1 else np.ones(size.shape[:-1])
+    trace = lambda m: np.trace(m, axis1=-2, axis2=-1)
+    off = trace(b) - 2 * trace(turned @ a) + trace(turned @ g @ op)
+    return gap, np.sqrt(np.maximum(off, 0.0) / np.maximum(trace(b), 1e-12)), np.linalg.cond(g)
+
+
 def _edmd_solve(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, m, operator, re, im, gap, error, condition) from pairs whose `_z` is a basis and the next row's basis."""
 
@@ -166,17 +189,9 @@ def _edmd_solve(pairs: DataFrame, keys: list[str]) -> DataFrame:
             out = []
             for _, r in pdf.iterrows():
                 d = len(r["sums"])
-                k, m = d // 2, r["n"]
-                full = np.asarray(r["products"]).reshape(d, d)
-                full = full / max(full[0, 0], 1e-12)  # the constant's square: the number of pairs, or their weight
-                g, a, b = full[:k, :k], full[:k, k:], full[k:, k:]
-                op = np.linalg.pinv(g, rcond=1e-10) @ a
-                e = np.linalg.eigvals(op)
-                e = e[np.lexsort((e.imag, e.real, -np.abs(e)))]
-                size = np.abs(e)
-                gap = float(size[0] - size[1]) / max(size[0], 1e-12) if k > 1 else 1.0
-                off = np.trace(b) - 2 * np.trace(op.T @ a) + np.trace(op.T @ g @ op)
-                out.append((*[r[c] for c in keys], int(m), op.ravel().tolist(), e.real.tolist(), e.imag.tolist(), gap, float(np.sqrt(max(off, 0.0) / max(np.trace(b), 1e-12))), float(np.linalg.cond(g))))
+                op, e, parts = _spectra(np.asarray(r["products"]).reshape(d, d))
+                gap, error, condition = (float(x) for x in _edmd_quality(op, e, parts))
+                out.append((*[r[c] for c in keys], int(r["n"]), op.ravel().tolist(), e.real.tolist(), e.imag.tolist(), gap, error, condition))
             yield pd.DataFrame(out, columns=[*keys, "m", "operator", "re", "im", "gap", "error", "condition"])
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keys)
@@ -190,14 +205,63 @@ def edmd_fit(df: DataFrame, series: str, order: str, vector: str, degree: int =
     return _edmd_solve(pairs, [series])
 
 
-def windowed(df: DataFrame, series: str, order: str, width: int, stride: int) -> DataFrame:
-    """Rows in all windows of `width` rows, a new one every `stride` rows: adds `window` and `half` (0 or 1); only whole
-    windows."""
-    n = F.count("*").over(Window.partitionBy(series))
-    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(series).orderBy(order)) - 1).withColumn("_n", n)
-    first, last = F.greatest(F.ceil((F.col("_i") - width + 1) / stride), F.lit(0)), F.least(F.floor(F.col("_i") / stride), F.floor((F.col("_n") - width) / stride))
-    spread = rows.where((F.col("_n") >= width) & (first <= last)).withColumn("window", F.explode(F.sequence(first, last)))
-    return spread.withColumn("half", ((F.col("_i") - F.col("window") * stride) >= width // 2).cast("int")).drop("_i", "_n")
+#: Rows of a series that are dealt together where its windows are worked out.
+CHUNK_ROWS = 4096
+
+#: Rows of windows, repeated for each window, that a task holds at once.
+WINDOW_ROWS = 65_536
+
+
+def _pair_windows(df: DataFrame, series: str, order: str, vector: str, width: int, stride: int, fn: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, pa.Array]], schema: str, beside: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(series, window, `schema`) of all whole windows of `width` rows, a new one every `stride` rows, that hold a pair of
+    rows in a row with vectors, by `fn(x, paired, beside, at)`: vectors of rows in order, null parts as 0; whether a row and
+    the next have vectors; numbers that go with a row; and where windows start. A series is dealt in chunks of some
+    CHUNK_ROWS rows, and a row is copied only where two chunks meet, not for each window; `beside` adds the numbers, as `_beside`,
+    after that, once a row."""
+    by, each = Window.partitionBy(series), -(-max(CHUNK_ROWS, width) // stride)
+    x = F.transform(F.col(vector).cast("array<double>"), lambda a: F.coalesce(a, F.lit(0.0)))
+    rows = df.select(series, order, x.alias("_x")).withColumn("_n", F.count("*").over(by)).withColumn("_i", F.row_number().over(by.orderBy(order, "_x")).cast("long") - 1)
+    at = F.floor(F.col("_i") / stride)
+    first, last = F.greatest(F.ceil((F.col("_i") - width + 1) / stride), F.lit(0)), F.least(at, F.floor((F.col("_n") - width) / stride))
+    rows = rows.where((F.col("_n") >= width) & (first <= last)).withColumn("_chunk", F.explode(F.sequence(F.floor(first / each), F.floor(last / each))))
+    starts = (F.col("_i") % stride == 0) & (F.col("_i") + width <= F.col("_n")) & (F.floor(at / each) == F.col("_chunk"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks as the session has, however few the bytes
+    dealt = rows.withColumn("window", F.when(starts, at).otherwise(-1)).repartition(n, series, "_chunk").sortWithinPartitions(series, "_chunk", "_i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for more in batches:
+            t = pa.Table.from_batches([more]) if held is None else pa.concat_tables([held, pa.Table.from_batches([more])])
+            whole = max(len(t) - width + 1, 0)
+            held = t.slice(whole)  # all windows that start here are still to come
+            window = t["window"].to_numpy()
+            begun = np.flatnonzero(window[:whole] >= 0)
+            if not len(begun) or width < 2:
+                continue
+            (x, sizes), (numbers, _), names = matrix(t["_x"]), matrix(t["_beside"]), t[series].combine_chunks()
+            paired = (sizes[:-1] >= 0) & (sizes[1:] >= 0)
+            begun = begun[np.lib.stride_tricks.sliding_window_view(paired, width - 1)[begun].any(1)]
+            dims, most = np.lib.stride_tricks.sliding_window_view(sizes, width)[begun].max(1), max(1, WINDOW_ROWS // width)
+            for d in np.unique(dims[dims > 0]):
+                some = begun[dims == d]
+                for at in (some[k : k + most] for k in range(0, len(some), most)):
+                    yield pa.RecordBatch.from_pydict({series: names.take(pa.array(at)), "window": pa.array(window[at]), **fn(x[:, :d], paired, numbers, at)})
+
+    ready = beside(dealt) if beside else dealt.withColumn("_beside", F.array().cast("array<double>"))
+    return ready.select(series, "window", "_x", "_beside").mapInArrow(run, f"`{series}` {df.schema[series].dataType.simpleString()}, window long, {schema}")
+
+
+def _window_sums(z: np.ndarray, paired: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(windows, sets, 2 k, 2 k): sums of products of the bases `z` of rows and their next ones, over the pairs of each window
+    that starts at `at`; weights are (windows or 1, sets, pairs of a window)."""
+    both = np.hstack([z[:-1], z[1:]]) * paired[:, None]
+    d = both.shape[1]
+    products = (both[:, :, None] * both[:, None, :]).reshape(-1, d * d)
+    return (weights @ products[at[:, None] + np.arange(weights.shape[-1])]).reshape(len(at), -1, d, d)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
 
 
 def z_scored(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -284,18 +348,22 @@ def bootstrap_spectrum(df: DataFrame, series: str, order: str, vector: str, widt
     """(series, window, lead, low, high, frequency, stability, variance): each window's leading eigenvalue with its 5 to 95 %
     range over replicates, in which every pair has a hash-drawn exponential weight; stability is the share of
     replicates in which it stays within the unit circle."""
-    rows = windowed(df, series, order, width, stride).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    u = hash_uniform(F.col(series), F.col(order), F.col("_r"), F.lit(seed))
-    rows = rows.withColumn("_w", F.when(F.col("_r") == 0, 1.0).otherwise(-F.ln(F.greatest(u, F.lit(1e-9)))))
-    rows = rows.withColumn("_k", F.concat_ws("|", F.col(series).cast("string"), F.col("window").cast("string"), F.col("_r").cast("string")))
-    fit = edmd_fit(rows.drop(series), "_k", order, vector, degree=0, weight="_w")
-    part = lambda i: F.split("_k", r"\|")[i]
-    lead = fit.select(part(0).alias(series), part(1).cast("long").alias("window"), part(2).cast("int").alias("_r"), F.hypot(F.col("re")[0], F.col("im")[0]).alias("_m"), F.abs(F.atan2(F.col("im")[0], F.col("re")[0])).alias("_f"))
-    real, drawn = F.col("_r") == 0, F.when(F.col("_r") > 0, F.col("_m"))
-    return lead.groupBy(series, "window").agg(
-        F.max(F.when(real, F.col("_m"))).alias("lead"), F.percentile(drawn, F.lit(0.05)).alias("low"), F.percentile(drawn, F.lit(0.95)).alias("high"), F.max(F.when(real, F.col("_f"))).alias("frequency"),
-        F.avg(F.when(F.col("_r") > 0, (F.col("_m") <= 1.0 + 1e-9).cast("double"))).alias("stability"), F.coalesce(F.var_pop(drawn), F.lit(0.0)).alias("variance"),
-    )
+    def weighed(rows: DataFrame) -> DataFrame:
+        named = rows.withColumn("_name", F.nullif(F.concat_ws(":", F.col(series).cast("string"), F.col(order).cast("string")), F.lit("")))  # once for all draws
+        drawn = [-F.ln(F.greatest(hash_uniform(F.col("_name"), F.lit(r), F.lit(seed)), F.lit(1e-9))) for r in range(1, draws + 1)]
+        return named.withColumn("_beside", F.array(F.lit(1.0), *drawn))
+
+    def lead(x: np.ndarray, paired: np.ndarray, weights: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
+        e = _spectra(_window_sums(x, paired, np.swapaxes(weights[at[:, None] + np.arange(width - 1)], 1, 2), at))[1][:, :, 0]
+        size = np.abs(e)
+        told = {"lead": size[:, 0], "frequency": np.abs(np.arctan2(e[:, 0].imag, e[:, 0].real))}
+        if draws:
+            size = np.sort(size[:, 1:], axis=1)
+            told |= {"low": np.percentile(size, 5, axis=1), "high": np.percentile(size, 95, axis=1), "stability": (size <= 1.0 + 1e-9).mean(1), "variance": size.var(1)}
+        return {c: pa.array(told[c]) if c in told else pa.nulls(len(at), pa.float64()) for c in ("lead", "low", "high", "frequency", "stability", "variance")}
+
+    fit = _pair_windows(df, series, order, vector, width, stride, lead, "lead double, low double, high double, frequency double, stability double, variance double", weighed)
+    return fit.select(F.col(series).cast("string").alias(series), "window", "lead", "low", "high", "frequency", "stability", F.coalesce("variance", F.lit(0.0)).alias("variance"))
 
 
 def reharmonize(df: DataFrame, series: str, order: str, vector: str, scales: tuple[int, int, int] = (20, 40, 60), sigma: float = 0.1) -> DataFrame:
