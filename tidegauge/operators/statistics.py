@@ -276,23 +276,24 @@ def windowed_edmd(df: DataFrame, series: str, order: str, vector: str, width: in
     """(series, window, m, re, im, gap, error, condition, drift, trust, rejected) of every window of `width` rows, a new one
     every `stride` rows (a quarter of the width): the EDMD of the z-scored series. Values larger than 1 + `over` are put on
     the unit circle; drift is the distance of the two halves' magnitudes; windows of a condition over `most_condition` are
-    rejected. A pair of rows is made once and counted in each window, and half, that holds both; only sums are shuffled."""
+    rejected. A pair of rows is made once and counted, by numpy, in each window, and half, that holds both."""
     stride = stride or max(width // 4, 1)
+    at = np.arange(width - 1)
+    halves = np.array([at >= 0, at + 1 < width // 2, at >= width // 2], dtype=float)
+
+    def fit(x: np.ndarray, paired: np.ndarray, _: np.ndarray, starts: np.ndarray) -> dict[str, pa.Array]:
+        d = x.shape[1]
+        basis = [x] if degree == 0 else [np.ones((len(x), 1)), x, *([x[:, [i]] * x[:, i:] for i in range(d)] if degree > 1 else [])]
+        op, e, parts = _spectra(_window_sums(np.hstack(basis), paired, halves[None], starts))
+        counts, size = paired[starts[:, None] + at] @ halves.T, np.abs(e)
+        gap, error, condition = _edmd_quality(op[:, 0], e[:, 0], [p[:, 0] for p in parts])
+        drift = np.where((counts[:, 1:] > 0).all(1), np.sqrt(((size[:, 1] - size[:, 2]) ** 2).sum(1)), 0.0)
+        told = {"gap": gap, "error": error, "condition": condition, "drift": drift}
+        return {"m": pa.array(counts[:, 0].astype(np.int64)), "re": _lists(e[:, 0].real), "im": _lists(e[:, 0].imag), **{c: pa.array(v) for c, v in told.items()}}
+
     rows = z_scored(df.select(series, order, F.col(vector).cast("array<double>").alias(vector)), series, vector)
-    by = Window.partitionBy(series)
-    rows = rows.withColumn("_i", F.row_number().over(by.orderBy(order)) - 1).withColumn("_n", F.count("*").over(by))
-    pairs = edmd_pairs(rows, series, order, vector, degree).withColumn("_z", F.concat("psi", "psi_next"))
-    first = F.greatest(F.ceil((F.col("_i") + 2 - width) / stride), F.lit(0))
-    last = F.least(F.floor(F.col("_i") / stride), F.floor((F.col("_n") - width) / stride))
-    pairs = pairs.where((F.col("_n") >= width) & (first <= last)).withColumn("window", F.explode(F.sequence(first, last)))
-    at = F.col("_i") - F.col("window") * stride
-    half = F.when(at + 1 < width // 2, 1).when(at >= width // 2, 2)
-    pairs = pairs.select(series, "window", F.explode(F.array_compact(F.array(F.lit(0), half))).alias("part"), "_z")
-    fit = _edmd_solve(pairs, [series, "window", "part"])
+    met = _pair_windows(rows, series, order, vector, width, stride, fit, "m long, re array<double>, im array<double>, gap double, error double, condition double, drift double")
     size = F.transform(F.arrays_zip("re", "im"), lambda z: F.hypot(z["re"], z["im"]))
-    halves = fit.where("part > 0").groupBy(F.col(series).alias("_s"), F.col("window").alias("_w")).agg(F.max_by(size, "part").alias("_b"), F.min_by(size, "part").alias("_a"), F.count("*").alias("_halves"))
-    drift = F.when(F.col("_halves") == 2, F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))).otherwise(0.0)
-    met = fit.where("part = 0").join(halves, F.col(series).eqNullSafe(F.col("_s")) & (F.col("window") == F.col("_w")), "left").withColumn("drift", F.coalesce(drift, F.lit(0.0)))
     shrink = lambda c: F.zip_with(c, size, lambda x, m: F.when(m > 1 + over, x / m).otherwise(x))
     trust = trust_score(F.col("gap"), F.col("error"), F.col("drift"), F.col("condition"))
     return met.select(series, "window", "m", shrink("re").alias("re"), shrink("im").alias("im"), "gap", "error", "condition", "drift", trust.alias("trust"), (F.col("condition") > most_condition).alias("rejected"))
@@ -302,6 +303,7 @@ def reduce_windows(windows: DataFrame, series: str, energy: float = 0.9) -> Data
     """(series, windows, rejected, re, im, kept, energy, gap, error, condition, trust): what a series' windows that are not
     rejected have in common. Magnitudes are medians over windows, phases those of the window whose trust is nearest to the
     median; the largest values are kept until they hold a share `energy` of all squares."""
+    windows = written(windows, "windows")  # read four times
     sound = windows.where("NOT rejected")
     whole = windows.groupBy(series).agg(F.count_if(~F.col("rejected")).alias("windows"), F.count_if("rejected").alias("rejected"))
     told = sound.groupBy(series).agg(F.avg("error").alias("error"), F.percentile("condition", 0.5).alias("condition"), F.avg("trust").alias("trust"), F.percentile("trust", 0.5).alias("_middle"))
