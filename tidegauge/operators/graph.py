@@ -12,14 +12,27 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import market
 from tidegauge.operators.blocks import batch, block_pairs, dots, matrix, parts_for, widened
-from tidegauge.operators.store import checkpointed, written
+from tidegauge.operators.store import checkpointed, kept, written
+
+
+def _dealt(edges: DataFrame, n: int) -> DataFrame:
+    """Edges in parts by `src`, in its order, so that a round neither deals nor sorts them."""
+    return kept(edges.repartition(n, "src").sortWithinPartitions("src"))
 
 
 def _by_source(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Edges in parts of a bounded size by `src`, in its order, so that a round neither deals nor sorts them; and the parts."""
+    """Edges dealt into parts of a bounded size; and the parts."""
     raw = written(edges, "edges")
     n = parts_for(raw)
-    return checkpointed(raw.repartition(n, "src").sortWithinPartitions("src")), n
+    return _dealt(raw, n), n
+
+
+def _by_both(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Different edges (src, dst) dealt into parts of a bounded size, turned ones too; and the parts."""
+    raw = written(edges, "edges")
+    n = parts_for(raw)
+    out = _dealt(raw.repartition(n, "src").distinct(), n)
+    return out, _dealt(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")), n), n
 
 
 def shortest_path(edges: DataFrame, source: int, cost: str = "cost") -> DataFrame:
@@ -108,13 +121,30 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def _least_reaching(e: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that reaches each node of `e` (src, dst), itself included."""
-    label = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("label", F.col("node")))
-    front = label
+def _sent(front: DataFrame, edges: DataFrame, n: int, value: Column) -> DataFrame:
+    """(node, value): an aggregate of what rows of `front` (node, ...) send along edges that are dealt by source."""
+    along = front.join(edges, F.col("node") == F.col("src")).drop("node", "src").withColumnRenamed("dst", "node")
+    return along.repartition(n, "node").groupBy("node").agg(value)
+
+
+def _trimmed(out: DataFrame, back: DataFrame, n: int) -> DataFrame:
+    """(node) of nodes that keep an edge in and one out when others are taken off; only counts of edges change."""
+    outs, ins = (kept(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias(c))) for e, c in ((out, "_outs"), (back, "_ins")))
+    left = kept(outs.join(ins, "node"))
+    gone = checkpointed(outs.join(ins, "node", "left_anti").select("node").union(ins.join(outs, "node", "left_anti").select("node")))
+    while not (gone.isEmpty() or left.isEmpty()):
+        fewer = left.join(_sent(gone, out, n, F.count("*").alias("_i")), "node", "left").join(_sent(gone, back, n, F.count("*").alias("_o")), "node", "left")
+        now = kept(fewer.select("node", (F.col("_outs") - F.coalesce("_o", F.lit(0))).alias("_outs"), (F.col("_ins") - F.coalesce("_i", F.lit(0))).alias("_ins")))
+        left, gone = now.where("_outs > 0 AND _ins > 0"), now.where("_outs = 0 OR _ins = 0").select("node")
+    return left.select("node")
+
+
+def _least_reaching(nodes: DataFrame, out: DataFrame, n: int) -> DataFrame:
+    """(node, label): the smallest of `nodes` that reaches each of them over edges `out` among them, itself included."""
+    label = front = kept(nodes.select("node", F.col("node").alias("label")))
     while True:
-        offered = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("_l"))
-        moved = checkpointed(label.join(offered, "node", "left").select("node", F.least("label", "_l").alias("label"), (F.col("_l") < F.col("label")).alias("_moved")))
+        offered = _sent(front, out, n, F.min("label").alias("_l"))
+        moved = kept(label.join(offered, "node", "left").select("node", F.least("label", "_l").alias("label"), (F.col("_l") < F.col("label")).alias("_moved")))
         label, front = moved.select("node", "label"), moved.where("_moved").select("node", "label")
         if front.isEmpty():
             return label
@@ -125,35 +155,32 @@ def cycles(edges: DataFrame) -> DataFrame:
 
     Nodes without an edge in or out among those left are taken off. Of the rest, each node learns the smallest node that
     reaches it; those that reach that node back, over nodes which learned the same, form its set. Found sets are taken
-    off too, until no edge is left. No step holds more rows than there are edges.
+    off too, until no edge is left. Edges are dealt once by source and once by target for each time that sets are taken off;
+    between, only tables of nodes change. No step holds more rows than there are edges.
     """
-    e = checkpointed(edges.select("src", "dst").where("src != dst").distinct())
+    e = edges.select("src", "dst").where("src != dst")
     found = e.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    left = e.count()
-    while left:
-        while True:
-            e = checkpointed(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            was, left = left, e.count()
-            if was == left:
-                break
-        if not left:
-            break
-        label = _least_reaching(e)
-        one, two = label.select(F.col("node").alias("src"), "label"), label.select(F.col("node").alias("dst"), F.col("label").alias("_l"))
-        back = checkpointed(e.join(one, "src").join(two, "dst").where("label = _l").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label"))
-        closed = front = checkpointed(label.where("node = label"))
+    while True:
+        out, back, n = _by_both(e)
+        nodes = _trimmed(out, back, n)
+        if nodes.isEmpty():
+            return found
+        label, root = _least_reaching(nodes, out, n), F.col("node") == F.col("label")
+        state = kept(label.select("node", "label", root.alias("_closed"), root.alias("_new")))
         while True:
-            more = front.join(back.select("src", "dst"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label").distinct()
-            front = checkpointed(more.join(closed, "node", "left_anti"))
+            front = state.where("_new").select("node", "label")
             if front.isEmpty():
                 break
-            closed = checkpointed(closed.unionByName(front))
+            # a node's label is none that is smaller than its successors', so that the largest offered is the only one it can equal
+            met = state.join(_sent(front, back, n, F.max("label").alias("_l")), "node", "left")
+            new = ~F.col("_closed") & F.coalesce(F.col("_l") == F.col("label"), F.lit(False))
+            state = kept(met.select("node", "label", (F.col("_closed") | new).alias("_closed"), new.alias("_new")))
+        closed, left = state.where("_closed"), state.where("NOT _closed")
         big = closed.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1").select("label")
         found = found.union(closed.join(big, "label", "left_semi").select("node", F.col("label").alias("component")))
-        gone = closed.select("node")
-        e = checkpointed(e.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
-        left = e.count()
-    return found
+        if left.isEmpty():
+            return found
+        e = out.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def merge_redundant(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:

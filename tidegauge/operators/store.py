@@ -34,3 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Checkpointed with its parts and their order known to later plans, so that joins by the same parts shuffle and sort
+    nothing; a checkpoint of an adaptive plan does not tell them."""
+    conf = df.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)

@@ -114,11 +114,16 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEXT = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE src <> dst)"
 
 
-def _next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and those that follow them in an order."""
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and those that follow them in an order, once for each time."""
     by_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(by_order).alias("dst"))
-    return li.where("src <> dst").distinct()
+    return li.where("src <> dst")
+
+
+def _next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and those that follow them in an order."""
+    return _steps(spark, sf_dir).distinct()
 
 
 @query(f"WITH RECURSIVE {_LINKS}, b(node, hops) USING KEY (node) AS (SELECT -1::BIGINT, 0 UNION SELECT dst, min(b.hops) + 1 FROM b JOIN e ON src = b.node LEFT JOIN recurring.b r ON r.node = dst WHERE r.node IS NULL GROUP BY dst) SELECT node, hops FROM b")
@@ -144,7 +149,7 @@ def i01_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def i03_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongly connected parts; the closure that SQL would take has the square of the parts as rows."""
-    return graph.cycles(_next(spark, sf_dir))
+    return graph.cycles(_steps(spark, sf_dir))
 
 
 @query(f"WITH {_NEXT}, n AS (SELECT p_partkey AS node, p_size <= 48 AS known FROM part), u AS (SELECT DISTINCT dst FROM e JOIN n ON src = node WHERE NOT known) SELECT n.node, count(e.dst) AS out_degree FROM n LEFT JOIN e ON e.src = n.node WHERE NOT known AND n.node NOT IN (SELECT dst FROM u) GROUP BY 1")
