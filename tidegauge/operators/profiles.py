@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import lexicons as lex
 from tidegauge.functions import text as tx
-from tidegauge.operators.blocks import batch, block_pairs, matrix, widened
+from tidegauge.operators.blocks import TILE, apart, batch, block_pairs, matrix, rounded, tiles, widened
 from tidegauge.operators.joins import cosine_top_k
 from tidegauge.operators.ordering import numbered
 from tidegauge.operators.statistics import gram
@@ -132,14 +132,16 @@ def match_template(new: DataFrame, stored: DataFrame, least: float = 0.75) -> Da
     return best.select("q", F.col("id").alias("template"), "similarity")
 
 
-def equivalent_pairs(df: DataFrame, key: str, spectrum: str, threshold: float = 0.3) -> DataFrame:
-    """(a, b, distance) of all pairs a < b whose sorted spectra, padded with zeros, are nearer than `threshold` in the mean.
+def equivalent_pairs(df: DataFrame, key: str, spectrum: str, threshold: float = 0.3, digits: int | None = None) -> DataFrame:
+    """(a, b, distance) of all pairs a < b whose sorted spectra, padded with zeros, are nearer than `threshold` in the mean;
+    rounded to `digits` where these are.
 
     The distance of two spectra is at least that of their sums over the longer length, so that pairs this near lie in the
-    same or in neighbouring bands of sums. Bands meet block by block; there the sums of eight parts of both spectra, whose
-    distance is never the larger one, leave the pairs whose distances are added up in full."""
-    kind = df.schema[key].dataType.simpleString()
-    size = F.transform(spectrum, lambda v: F.abs(v).cast("double"))
+    same or in neighbouring bands of sums. Bands meet block by block; there the sums of up to sixteen runs of parts of both
+    spectra, short ones where parts are large, whose distance is never the larger one, leave the pairs whose distances are
+    added up in full."""
+    kind, part = df.schema[key].dataType.simpleString(), df.schema[spectrum].dataType.elementType.simpleString()
+    size = F.transform(spectrum, lambda v: F.abs(v) if part == "float" else F.abs(v).cast("double"))
     s = df.select(F.col(key).alias("k"), F.sort_array(size, asc=False).alias("x")).where("k is not null and size(x) > 0")
     longest = s.agg(F.max(F.size("x")).alias("_longest"))
     s = s.join(F.broadcast(longest), F.lit(True)).select("k", "x", F.floor(F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / (threshold * F.col("_longest"))).alias("band")).where("band is not null")
@@ -151,29 +153,53 @@ def equivalent_pairs(df: DataFrame, key: str, spectrum: str, threshold: float =
         (x, n), (y, m) = matrix(left["x"]), matrix(right["x"])
         width = max(x.shape[1], y.shape[1])
         x, y = widened(x, width), widened(y, width)
-        parts = np.linspace(0, width, min(8, width) + 1).astype(int)[:-1]
-        xp, yp = (np.ascontiguousarray(np.add.reduceat(z, parts, axis=1).T) for z in (x, y))
-        i, j, own, other = left["k"].to_numpy(), right["k"].to_numpy(), left["own"].to_numpy(), right["own"].to_numpy()
-        for at in range(0, len(i), 128):
-            some = slice(at, at + 128)
-            about = np.zeros((len(i[some]), len(j)))
-            for a, b in zip(xp, yp, strict=True):
-                about += np.abs(a[some, None] - b[None, :])
-            size = np.maximum(n[some, None], m[None, :])
-            less = i[some, None] < j[None, :]
-            order = less if same else (less | (i[some, None] > j[None, :]))
-            r, c = np.nonzero((about <= threshold * size * (1 + 1e-9) + 1e-12) & order & (own[some, None] | other[None, :]))
-            distance = np.zeros(len(r))
-            for a, b in zip(x[some].T, y.T, strict=True):
-                distance += np.abs(a[r] - b[c])
-            distance /= size[r, c]
-            keep = distance < threshold
-            if keep.any():
-                r, c, distance = r[keep], c[keep], distance[keep]
-                first, one, two = less[r, c], i[some][r], j[c]
-                yield batch(types, a=np.where(first, one, two), b=np.where(first, two, one), distance=distance)
-
-    return block_pairs(rows, "k", near, f"a {kind}, b {kind}, distance double", ["band"], most=8192)
+        parts = np.unique((np.linspace(0, 1, 16, endpoint=False) ** 2 * width).astype(int))
+        xp, yp = (np.add.reduceat(z, parts, axis=1) for z in (x, y))
+        most = xp.sum(1).max(initial=0.0) + yp.sum(1).max(initial=0.0)
+        room = lambda t: 2 * width * float(np.finfo(t).eps) * most  # noqa: E731  for rounding
+        single = np.float32 if room(np.float32) < 0.05 * threshold * width else np.float64
+        xp, yp, xt, yt = (np.ascontiguousarray(z.T) for z in (xp.astype(single), yp.astype(single), x, y))
+        x, y, ones, pad = x.astype(single), y.astype(single), np.ones(width, dtype=single), np.empty((2, 2 * TILE), dtype=single)
+        i, j = left["k"].to_numpy(), right["k"].to_numpy()
+        mine, theirs = (np.flatnonzero(t["own"].to_numpy()) for t in (left, right))
+        guests, others = (np.flatnonzero(~t["own"].to_numpy()) for t in (left, right))
+
+        def met(p: np.ndarray, q: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+            u, v, long, wide = xp[:, p], yp[:, q], n[p], m[q]
+            alike = len(p) and len(q) and long.min() == long.max() == wide.min() == wide.max()
+            for some, first in tiles(len(p), len(q), same, 2 * TILE):
+                about = apart(u[:, some], v[:, first:], pad)
+                most = threshold * (long[0] if alike else np.maximum(long[some, None], wide[None, first:])) + room(single)
+                r, c = np.divmod(np.flatnonzero(~(about > most)), about.shape[1])  # what is not a number is told below
+                r, c = r + some.start, c + first
+                if same:
+                    above = c > r
+                    r, c = r[above], c[above]
+                r, c = p[r], q[c]
+                if len(r):
+                    about = np.concatenate([np.abs(np.take(x, r[at : at + 1024], axis=0) - np.take(y, c[at : at + 1024], axis=0)) @ ones for at in range(0, len(r), 1024)])
+                    maybe = ~(about > threshold * np.maximum(n[r], m[c]) + room(single))
+                    r, c = r[maybe], c[maybe]
+                one, two, distance = np.empty(len(r)), np.empty(len(r)), np.zeros(len(r))
+                for a, b in zip(xt, yt, strict=True):
+                    np.subtract(np.take(a, r, out=one, mode="clip"), np.take(b, c, out=two, mode="clip"), out=one)
+                    distance += np.abs(one, out=one)
+                distance /= np.maximum(n[r], m[c])
+                keep = distance < threshold
+                r, c, distance = i[r[keep]], j[c[keep]], distance[keep]
+                less, more = (r < c).astype(bool), (r > c).astype(bool)
+                a, b = np.where(less, r, c), np.where(less, c, r)
+                if not (less | more).all():  # keys that are not one row's alone
+                    a, b, distance = (z[less | more] for z in (a, b, distance))
+                if len(a):
+                    yield batch(types, a=a, b=b, distance=distance if digits is None else rounded(distance, digits))
+
+        yield from met(mine, theirs, same)
+        yield from met(mine, others, False)
+        if not same:
+            yield from met(guests, theirs, False)
+
+    return block_pairs(rows, "k", near, f"a {kind}, b {kind}, distance double", ["band"], most=32768)
 
 
 def repo_summary(repos: DataFrame, key: str, description: str, readme: str, files: str) -> DataFrame:

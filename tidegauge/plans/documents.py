@@ -111,7 +111,7 @@ def c15_match_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, b, round(d, 6) AS distance FROM d WHERE d < 0.006::DOUBLE""")
 def c05_equivalent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors with nearly the same sizes of parts, over all labels."""
-    return profiles.equivalent_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.006).select("a", "b", F.round("distance", 6).alias("distance"))
+    return profiles.equivalent_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.006, digits=6)
 
 
 @query("""WITH l AS (SELECT user_id, floor(value / 100) AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events), s AS (SELECT user_id, count(*) AS n, max(level) FILTER (r = 1) AS a, max(level) FILTER (r = 10) AS b FROM l WHERE r <= 10 GROUP BY 1)
