@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +139,7 @@ def equivalent_pairs(df: DataFrame, key: str, spectrum: str, threshold: float =
     The distance of two spectra is at least that of their sums over the longer length, so that pairs this near lie in the
     same or in neighbouring bands of sums. Bands meet block by block; there the sums of up to sixteen runs of parts of both
     spectra, short ones where parts are large, whose distance is never the larger one, leave the pairs whose distances are
-    added up in full."""
+    added up, in single precision first if that can tell some."""
     kind, part = df.schema[key].dataType.simpleString(), df.schema[spectrum].dataType.elementType.simpleString()
     size = F.transform(spectrum, lambda v: F.abs(v) if part == "float" else F.abs(v).cast("double"))
     s = df.select(F.col(key).alias("k"), F.sort_array(size, asc=False).alias("x")).where("k is not null and size(x) > 0")
@@ -158,41 +158,60 @@ def equivalent_pairs(df: DataFrame, key: str, spectrum: str, threshold: float =
         most = xp.sum(1).max(initial=0.0) + yp.sum(1).max(initial=0.0)
         room = lambda t: 2 * width * float(np.finfo(t).eps) * most  # noqa: E731  for rounding
         single = np.float32 if room(np.float32) < 0.05 * threshold * width else np.float64
-        xp, yp, xt, yt = (np.ascontiguousarray(z.T) for z in (xp.astype(single), yp.astype(single), x, y))
-        x, y, ones, pad = x.astype(single), y.astype(single), np.ones(width, dtype=single), np.empty((2, 2 * TILE), dtype=single)
+        xp, yp, xs, ys, ones = np.ascontiguousarray(xp.T), np.ascontiguousarray(yp.T), x.astype(single), y.astype(single), np.ones(width, dtype=single)
+        step = most / 30_000  # sums in steps are whole numbers of 16 bits, if that tells enough apart
+        whole = 0 < step * len(parts) < 0.1 * threshold * width
+        if whole:
+            xp, yp = (np.rint(z / step).astype(np.int16) for z in (xp, yp))
+        pad = np.empty((2, 2 * TILE if whole else TILE), dtype=xp.dtype)
         i, j = left["k"].to_numpy(), right["k"].to_numpy()
         mine, theirs = (np.flatnonzero(t["own"].to_numpy()) for t in (left, right))
         guests, others = (np.flatnonzero(~t["own"].to_numpy()) for t in (left, right))
 
+        def off(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray, total: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            """Totals of the rows r of x less the rows c of y, some at a time."""
+            out = np.empty(len(r), dtype=x.dtype)
+            for at in range(0, len(r), 512):
+                d = np.take(x, r[at : at + 512], axis=0)
+                d -= np.take(y, c[at : at + 512], axis=0)
+                out[at : at + 512] = total(np.abs(d, out=d))
+            return out
+
+        def told(r: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            size = np.maximum(n[r], m[c])
+            maybe = ~(off(xs, ys, r, c, lambda d: d @ ones) > threshold * size + room(single))
+            r, c, size = r[maybe], c[maybe], size[maybe]
+            distance = off(x, y, r, c, lambda d: np.add.reduce(np.ascontiguousarray(d.T), axis=0)) / size  # from the first to the last
+            keep = distance < threshold
+            r, c, distance = i[r[keep]], j[c[keep]], distance[keep]
+            less, more = (r < c).astype(bool), (r > c).astype(bool)
+            a, b = np.where(less, r, c), np.where(less, c, r)
+            if not (less | more).all():  # keys that are not one row's alone
+                a, b, distance = (z[less | more] for z in (a, b, distance))
+            if len(a):
+                yield batch(types, a=a, b=b, distance=distance if digits is None else rounded(distance, digits))
+
         def met(p: np.ndarray, q: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
-            u, v, long, wide = xp[:, p], yp[:, q], n[p], m[q]
+            u, v, long, wide = np.take(xp, p, axis=1), np.take(yp, q, axis=1), n[p], m[q]
             alike = len(p) and len(q) and long.min() == long.max() == wide.min() == wide.max()
-            for some, first in tiles(len(p), len(q), same, 2 * TILE):
-                about = apart(u[:, some], v[:, first:], pad)
-                most = threshold * (long[0] if alike else np.maximum(long[some, None], wide[None, first:])) + room(single)
-                r, c = np.divmod(np.flatnonzero(~(about > most)), about.shape[1])  # what is not a number is told below
+            found, pending = [], 0
+            for some, first in tiles(len(p), len(q), same, pad.shape[1]):
+                far = threshold * (long[0] if alike else np.maximum(long[some, None], wide[None, first:]))
+                # half a step is lost at either end; what is not a number is told below
+                far = np.minimum(far / step + len(parts) + 1, 32_000).astype(np.int16) if whole else far + room(np.float64)
+                close = ~(apart(u[:, some], v[:, first:], pad) > far)
+                r, c = np.divmod(np.flatnonzero(close), max(close.shape[1], 1))
                 r, c = r + some.start, c + first
                 if same:
                     above = c > r
                     r, c = r[above], c[above]
-                r, c = p[r], q[c]
-                if len(r):
-                    about = np.concatenate([np.abs(np.take(x, r[at : at + 1024], axis=0) - np.take(y, c[at : at + 1024], axis=0)) @ ones for at in range(0, len(r), 1024)])
-                    maybe = ~(about > threshold * np.maximum(n[r], m[c]) + room(single))
-                    r, c = r[maybe], c[maybe]
-                one, two, distance = np.empty(len(r)), np.empty(len(r)), np.zeros(len(r))
-                for a, b in zip(xt, yt, strict=True):
-                    np.subtract(np.take(a, r, out=one, mode="clip"), np.take(b, c, out=two, mode="clip"), out=one)
-                    distance += np.abs(one, out=one)
-                distance /= np.maximum(n[r], m[c])
-                keep = distance < threshold
-                r, c, distance = i[r[keep]], j[c[keep]], distance[keep]
-                less, more = (r < c).astype(bool), (r > c).astype(bool)
-                a, b = np.where(less, r, c), np.where(less, c, r)
-                if not (less | more).all():  # keys that are not one row's alone
-                    a, b, distance = (z[less | more] for z in (a, b, distance))
-                if len(a):
-                    yield batch(types, a=a, b=b, distance=distance if digits is None else rounded(distance, digits))
+                found.append((p[r], q[c]))
+                pending += len(r)
+                if pending >= TILE:
+                    yield from told(*(np.concatenate(z) for z in zip(*found, strict=True)))
+                    found, pending = [], 0
+            if pending:
+                yield from told(*(np.concatenate(z) for z in zip(*found, strict=True)))
 
         yield from met(mine, theirs, same)
         yield from met(mine, others, False)
