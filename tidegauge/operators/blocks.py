@@ -125,6 +125,11 @@ def apart(x: np.ndarray, y: np.ndarray, pad: np.ndarray) -> np.ndarray:
     return total
 
 
+def added(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, from the first part to the last."""
+    return np.add.reduce(np.ascontiguousarray(x.T), axis=0) if len(x) > 1 else np.add.accumulate(x, axis=1)[:, -1]
+
+
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     """As Spark's `round` has it, without a decimal for each value: half up, by the digits that a value is written with."""
     up = 10.0**digits

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import lexicons as lex
 from tidegauge.functions import text as tx
-from tidegauge.operators.blocks import TILE, apart, batch, block_pairs, matrix, rounded, tiles, widened
+from tidegauge.operators.blocks import TILE, added, apart, batch, block_pairs, matrix, rounded, tiles, widened
 from tidegauge.operators.joins import cosine_top_k
 from tidegauge.operators.ordering import numbered
 from tidegauge.operators.statistics import gram
@@ -181,7 +181,7 @@ def equivalent_pairs(df: DataFrame, key: str, spectrum: str, threshold: float =
             size = np.maximum(n[r], m[c])
             maybe = ~(off(xs, ys, r, c, lambda d: d @ ones) > threshold * size + room(single))
             r, c, size = r[maybe], c[maybe], size[maybe]
-            distance = off(x, y, r, c, lambda d: np.add.reduce(np.ascontiguousarray(d.T), axis=0)) / size  # from the first to the last
+            distance = off(x, y, r, c, added) / size
             keep = distance < threshold
             r, c, distance = i[r[keep]], j[c[keep]], distance[keep]
             less, more = (r < c).astype(bool), (r > c).astype(bool)
